@@ -55,7 +55,7 @@ RULE_TEXTS = {
     "rule_resource_leak": (
         "A {name} is opened outside try-with-resources; an exception before close() leaves the "
         "handle open.",
-        "try ({name} res = new {name}(...)) {{ ... }} closes it on every path.",
+        "try ({name} res = new {name}(...)) { ... } closes it on every path.",
     ),
 }
 
