@@ -45,10 +45,10 @@ TOKEN_PATTERN = "|".join([
 def token_kind(tok: Column) -> Column:
     first = F.substring(tok, 1, 1)
     long = F.length(tok) > 1
+    letter = first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$")
     return (
-        F.when(tok == "", "eof")
+        F.when(letter, "word")
         .when(first.isin(" ", "\t", "\n", "\r", "\f"), "space")
-        .when(first.rlike(r"[\p{L}_$]"), "word")
         .when(first == '"', F.when(tok.startswith('"""') & (F.length(tok) >= 6), "text")
               .when(long, "string").otherwise("bad"))
         .when(first == "'", F.when(long, "char").otherwise("bad"))
@@ -58,15 +58,26 @@ def token_kind(tok: Column) -> Column:
         .when(tok.startswith("/*"),
               F.when(tok.endswith("*/") & (F.length(tok) >= 4), "comment").otherwise("bad"))
         .when((first == "<") & tok.endswith(">"), "generic")
+        .when(tok == "", "eof")
+        .when(first.rlike(r"\p{L}"), "word")
         .otherwise("op")
     )
 
 
-def _line_breaks(tok: Column, kind: Column) -> Column:
+def line_breaks(tok: Column, kind: Column) -> Column:
     multi = kind.isin("space", "comment", "text", "generic", "bad")
     return F.when(multi, F.regexp_count(tok, F.lit("\r\n|\r|\n"))).otherwise(0)
 
 
+def bracket_step(tok: Column, kind: Column) -> Column:
+    return (
+        F.when(kind != "op", 0)
+        .when(tok.isin("(", "[", "{"), 1)
+        .when(tok.isin(")", "]", "}"), -1)
+        .otherwise(0)
+    )
+
+
 def spread_files(files: DataFrame) -> DataFrame:
     """Files hashed by ``file_id``, before they are cut into tokens.
 
@@ -85,35 +96,20 @@ def cut(files: DataFrame) -> DataFrame:
     )
 
 
-def in_file_order() -> Window:
-    return Window.partitionBy("file_id").orderBy("pos")
-
-
-def located(tokens: DataFrame) -> DataFrame:
-    """Add line, character offsets (1-based) and bracket depth by running sums."""
-    up_to = in_file_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    breaks = _line_breaks(F.col("tok"), F.col("kind"))
-    is_op = F.col("kind") == "op"
-    step = (
-        F.when(is_op & F.col("tok").isin("(", "[", "{"), 1)
-        .when(is_op & F.col("tok").isin(")", "]", "}"), -1)
-        .otherwise(0)
-    )
-    return (
-        tokens.withColumn("breaks", breaks)
-        .withColumn("step", step)
-        .withColumn("line", (1 + F.sum("breaks").over(up_to) - F.col("breaks")).cast("int"))
-        .withColumn("c1", F.sum(F.length("tok")).over(up_to).cast("int"))
-        .withColumn("c0", F.col("c1") - F.length("tok") + 1)
-        .withColumn("depth", F.sum("step").over(up_to).cast("int"))
-    )
+def up_to_here() -> Window:
+    return (Window.partitionBy("file_id").orderBy("pos")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def token_table(files: DataFrame) -> DataFrame:
     """(file_id, pos, tok, line, kind, depth); depth counts open brackets, own bracket included."""
-    depth = F.when(F.col("step") < 0, F.col("depth") + 1).otherwise(F.col("depth"))
-    return (
-        located(cut(spread_files(files)))
-        .where(F.col("kind") != "eof")
-        .select("file_id", "pos", "tok", "line", "kind", depth.alias("depth"))
+    tokens = cut(spread_files(files)).select(
+        "*", line_breaks(F.col("tok"), F.col("kind")).alias("breaks"),
+        bracket_step(F.col("tok"), F.col("kind")).alias("step"))
+    opened, lines = F.sum("step").over(up_to_here()), F.sum("breaks").over(up_to_here())
+    return tokens.where(F.col("kind") != "eof").select(
+        "file_id", "pos", "tok",
+        (1 + lines - F.col("breaks")).cast("int").alias("line"),
+        "kind",
+        (opened + F.when(F.col("step") < 0, 1).otherwise(0)).cast("int").alias("depth"),
     )

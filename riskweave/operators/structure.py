@@ -21,229 +21,250 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
 from riskweave.functions.columns import literal_array, method_hint, truncate
-from riskweave.operators.lexer import cut, in_file_order, located, spread_files
+from riskweave.operators.lexer import bracket_step, cut, line_breaks, spread_files, up_to_here
 
 WATCHED_NAMES = sorted({*K.SQL_CALLS, "exec", "getInstance", "ProcessBuilder", *K.FILE_TYPES, *K.CLOSEABLE_TYPES})
 
+# Token classes.  Comparing small numbers keeps the generated code short
+# enough for the JIT compiler; the texts themselves are rarely needed.
+LPAREN, LBRACKET, LBRACE, RPAREN, RBRACKET, RBRACE = 1, 2, 3, 4, 5, 6
+SEMICOLON, COMMA, DOT, COLONS, ASSIGN, PLUS, MINUS, PLUS_ASSIGN, STEP, LOOSER, AT, OTHER = range(7, 19)
+ID, PRIMITIVE, RECORD, STRING, TEXT, CHAR, NUMBER = range(20, 27)
+NEW, FOR, WHILE, DO, TRY, CATCH, FINALLY, ELSE, CLASS, INTERFACE, THROWS, SELF, LITERAL, KEYWORD = range(30, 44)
+BEGIN, END, EOF, BAD, NOTHING = range(50, 55)
+
+_CLASS_OF_TOKEN = {
+    **{word: KEYWORD for word in K.JAVA_KEYWORDS}, **{word: PRIMITIVE for word in K.JAVA_PRIMITIVES},
+    **{op: LOOSER for op in K.LOOSER_THAN_PLUS},
+    "(": LPAREN, "[": LBRACKET, "{": LBRACE, ")": RPAREN, "]": RBRACKET, "}": RBRACE,
+    ";": SEMICOLON, ",": COMMA, ".": DOT, "::": COLONS, "=": ASSIGN, "+": PLUS, "-": MINUS, "+=": PLUS_ASSIGN,
+    "++": STEP, "--": STEP, "@": AT, "record": RECORD,
+    "new": NEW, "for": FOR, "while": WHILE, "do": DO, "try": TRY, "catch": CATCH, "finally": FINALLY,
+    "else": ELSE, "class": CLASS, "interface": INTERFACE, "throws": THROWS, "this": SELF, "super": SELF,
+    "true": LITERAL, "false": LITERAL, "null": LITERAL,
+}
+_CLASS_OF_KIND = {"word": ID, "string": STRING, "text": TEXT, "char": CHAR, "number": NUMBER, "eof": EOF, "bad": BAD}
+_OPENING, _CLOSING = [LPAREN, LBRACKET, LBRACE], [RPAREN, RBRACKET, RBRACE]
+
+# A place is one number that orders tokens and holds the character offset and
+# the line: offset * 2**31 + line.  The latest place is then simply a maximum.
+_LINE_BITS = 31
+
 # the columns of one site; a call collects its arguments under the same key
 SITE_FIELDS = {
     "kind": "string", "key": "bigint", "pos": "int", "end_pos": "int", "line": "int", "end_line": "int",
-    "c0": "int", "c1": "int", "name": "string", "is_new": "boolean", "value": "string",
-    "has_plus": "boolean", "breaks_line": "boolean", "looped": "boolean", "owner": "int", "scope_chars": "int",
+    "c1": "int", "name_pos": "int", "name_end": "int", "is_new": "boolean", "value": "string",
+    "has_plus": "boolean", "breaks_line": "boolean", "looped": "boolean", "owner": "int", "reason": "string",
 }
 KIND_CODES = {"call": 1, "arg": 1, "eof": 2, "problem": 3, "init": 4, "catch": 5, "append": 6,
               "method": 7, "class": 8, "loop": 9, "try": 10, "resources": 11}
 SPANS = ["method", "class", "loop", "try", "resources"]
 
 
+def _offset(place: Column) -> Column:
+    return F.shiftright(place, _LINE_BITS).cast("int")
+
+
+def _line(place: Column) -> Column:
+    return place.bitwiseAND((1 << _LINE_BITS) - 1).cast("int")
+
+
+def _token_class(tok: Column, kind: Column) -> Column:
+    classes = F.create_map(*[F.lit(x) for pair in _CLASS_OF_TOKEN.items() for x in pair])
+    known = F.when(kind.isin("word", "op"), F.try_element_at(classes, tok))
+    rest = F.when(F.lit(False), 0)
+    for name, number in _CLASS_OF_KIND.items():
+        rest = rest.when(kind == name, number)
+    return F.coalesce(known, rest.otherwise(OTHER))
+
+
 def _level_rows(files: DataFrame) -> DataFrame:
     """Significant tokens in level order, with their begin and end marks."""
-    tokens = located(cut(files))
-    up_to = in_file_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hidden = F.col("kind").isin("space", "comment", "generic")
+    tok, kind = F.col("tok"), F.col("kind")
+    hidden = kind.isin("space", "comment", "generic")
     # printed on a line of its own, so the text around it spans several lines
-    broken = F.col("kind").isin("comment", "text") | ((F.col("kind") == "op") & (F.col("tok") == "{"))
-    quoted = F.col("tok").contains('"') & ~hidden
+    broken = kind.isin("comment", "text") | ((kind == "op") & (tok == "{"))
+    tokens = cut(files).select(
+        "file_id", "pos",
+        F.when(~hidden, tok).alias("tok"),  # long comments stop here
+        F.when(~hidden, _token_class(tok, kind)).alias("k"),
+        F.length("tok").alias("size"),
+        line_breaks(tok, kind).alias("breaks"),
+        bracket_step(tok, kind).alias("step"),
+        broken.cast("int").alias("breaking"),
+        (tok.contains('"') & ~hidden).cast("int").alias("quoting"),
+    )
+    here = up_to_here()
+    c1 = F.sum("size").over(here)
+    line = 1 + F.sum("breaks").over(here) - F.col("breaks")
     tokens = tokens.select(
-        "file_id", "pos", "tok", "kind", "line", "c0", "c1", "depth", "step",
-        F.sum(F.when(hidden, 0).otherwise(1)).over(up_to).cast("int").alias("nth"),
-        F.sum(F.when(broken, 1).otherwise(0)).over(up_to).cast("int").alias("broken"),
-        F.sum(F.when(quoted, 1).otherwise(0)).over(up_to).cast("int").alias("quoted"),
-    ).where(~hidden)
+        "file_id", "tok", "k", "step", c1.cast("int").alias("c1"),
+        (F.shiftleft(c1 - F.col("size") + 1, _LINE_BITS) + line).alias("place"),
+        F.sum("step").over(here).cast("int").alias("depth"),
+        F.sum("breaking").over(here).cast("int").alias("broken"),
+        F.sum("quoting").over(here).cast("int").alias("quoted"),
+        F.count("k").over(here).cast("int").alias("nth"),
+    ).where(F.col("k").isNotNull())
 
     level = F.when(F.col("step") > 0, F.col("depth") - 1).otherwise(F.col("depth"))
-    own = F.struct(level.alias("lvl"), F.lit(None).cast("string").alias("mark"))
-    inner = F.struct((level + 1).alias("lvl"),
-                     F.when(F.col("step") > 0, "<begin>").otherwise("<end>").alias("mark"))
-    word = F.col("tok")
-    sort = (
-        F.when(F.col("mark").isNotNull(), "mark")
-        .when(F.col("kind") == "word",
-              F.when(word.isin(K.JAVA_PRIMITIVES), "prim").when(word.isin(K.JAVA_KEYWORDS), "kw").otherwise("id"))
-        .otherwise(F.col("kind"))
-    )
+    own = F.struct(level.alias("lvl"), F.col("k").alias("k"))
+    inner = F.struct((level + 1).alias("lvl"), F.when(F.col("step") > 0, BEGIN).otherwise(END).alias("k"))
     return (
         tokens.withColumn("row", F.explode(F.when(F.col("step") == 0, F.array(own)).otherwise(F.array(own, inner))))
-        .select("file_id", "pos", "tok", "kind", "line", "c0", "c1", "nth", "broken", "quoted",
-                "row.lvl", "row.mark")
-        .withColumn("sort", sort)
-        .withColumn("t", F.coalesce("mark", "tok"))
+        .select("file_id", "tok", "place", "c1", "broken", "quoted", "nth", "row.lvl", "row.k",
+                F.col("k").alias("bracket"))
     )
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    level_order = Window.partitionBy("file_id", "lvl").orderBy("pos")
-    here = F.struct("pos", "line", "c0", "c1", "nth", "broken", "quoted")
+    level_order = Window.partitionBy("file_id", "lvl").orderBy("place")
 
-    def text(step, column: str, n: int, name: str) -> Column:
-        return F.coalesce(step(column, n).over(level_order), F.lit("")).alias(name)
+    def klass(step, n: int) -> Column:
+        return F.coalesce(step("k", n).over(level_order), F.lit(NOTHING))
 
     return rows.select(
-        "*", here.alias("at"),
-        *[text(F.lag, "t", n, f"t{n}") for n in (1, 2, 3, 4)],
-        *[text(F.lag, "sort", n, f"s{n}") for n in (1, 2)],
-        *[text(F.lead, "t", n, f"n{n}") for n in (1, 2)],
-        text(F.lead, "sort", 1, "ns"),
-        *[F.lag(here, n).over(level_order).alias(f"before{n}") for n in (1, 2, 3)],
-        *[F.lead(here, n).over(level_order).alias(f"after{n}") for n in (1, 3)],
+        "*",
+        *[klass(F.lag, n).alias(f"k{n}") for n in (1, 2, 3, 4)],
+        *[klass(F.lead, n).alias(f"n{n}") for n in (1, 2)],
+        *[F.lag("place", n).over(level_order).alias(f"before{n}") for n in (1, 2, 3)],
+        *[F.lead("place", n).over(level_order).alias(f"after{n}") for n in (1, 3)],
+        F.lag("tok", 1).over(level_order).alias("tok1"),
+        F.lag("c1", 1).over(level_order).alias("tail_c1"),
+        F.lag("broken", 1).over(level_order).alias("tail_broken"),
+        F.lead("nth", 1).over(level_order).alias("after_nth"),
     )
 
 
 def _flags() -> dict[str, Column]:
-    """What a level-order row is, judged by itself and its neighbours."""
-    c = F.col
-    t, t1, t2, t3, t4, n1, n2 = (c(x) for x in ("t", "t1", "t2", "t3", "t4", "n1", "n2"))
-    s, s1, s2 = c("sort"), c("s1"), c("s2")
-    op, kw = s == "op", s == "kw"
-    closes = op & t.isin(")", "]", "}")
-    begins = t == "<begin>"
-    after_type = (s2.isin("id", "prim") & (t2 != "record") & (t3 != "@")) | (t2 == "]")
+    """What a level-order row is, judged by its class and its neighbours' classes."""
+    k, k1, k2, k3, k4, n1, n2 = (F.col(x) for x in ("k", "k1", "k2", "k3", "k4", "n1", "n2"))
+    after_type = (k2.isin(ID, PRIMITIVE) & (k3 != AT)) | (k2 == RBRACKET)
     linked = (
-        closes | t.isin(".", "::") | t1.isin(".", "::", "new")
-        | (op & (t == "(") & ((s1 == "id") | t1.isin("this", "super")))
-        | (op & (t == "[") & (s1.isin("id", "prim") | t1.isin(")", "]")))
+        k.isin(*_CLOSING, DOT, COLONS) | k1.isin(DOT, COLONS, NEW)
+        | ((k == LPAREN) & k1.isin(ID, RECORD, SELF))
+        | ((k == LBRACKET) & k1.isin(ID, RECORD, PRIMITIVE, RPAREN, RBRACKET))
     )
-    after_operand = (
-        s1.isin("id", "string", "text", "char", "number")
-        | t1.isin(")", "]", "}", "this", "super", "class", "true", "false", "null", "++", "--")
-    )
-    do_while = (t == "while") & (t1 == "}") & (t2 == "{") & (t3 == "do")
-    loop_body_end = (t1 == "{") & (t2 == ")") & (t3 == "(") & t4.isin("for", "while")
-    statement_end = ~n1.isin("else", "catch", "finally") & ~((n1 == "while") & (t2 == "do"))
+    after_operand = k1.isin(ID, RECORD, STRING, TEXT, CHAR, NUMBER, *_CLOSING, SELF, CLASS, LITERAL, STEP)
+    do_while = (k == WHILE) & (k1 == RBRACE) & (k2 == LBRACE) & (k3 == DO)
+    loop_body_end = (k1 == LBRACE) & (k2 == RPAREN) & (k3 == LPAREN) & k4.isin(FOR, WHILE)
+    statement_end = ~n1.isin(ELSE, CATCH, FINALLY) & ~((n1 == WHILE) & (k2 == DO))
     return {
-        "boundary": begins | (op & t.isin(";", "}")),
-        "separator": (t == "<end>") | (op & t.isin(",", ";")),
-        "group": begins,
-        "bracket": op & t.isin("(", "[", "{"),
-        "first": t1.isin("", "<begin>", ";", "}"),
+        "boundary": k.isin(BEGIN, SEMICOLON, RBRACE),
+        "separator": k.isin(END, COMMA, SEMICOLON),
+        "group": k == BEGIN,
+        "paren_group": (k == BEGIN) & (F.col("bracket") == LPAREN),
+        "opening": k.isin(_OPENING),
+        "first": k1.isin(NOTHING, BEGIN, SEMICOLON, RBRACE),
         "chain": ~linked,
-        "header": op & (t == "(") & (s1 == "id") & after_type & (n1 == ")") & n2.isin("{", "throws"),
-        "klass": kw & t.isin("class", "interface") & ~t1.isin(".", "@") & (c("ns") == "id"),
-        "loop_in": kw & t.isin("for", "while") & ~do_while,
-        "loop_out": begins | (op & ((t == ";") | ((t == "}") & (statement_end | loop_body_end)))),
-        "try_in": kw & (t == "try"),
-        "try_out": begins | (op & (t == "}") & ~n1.isin("catch", "finally")),
-        "newly": kw & (t == "new"),
-        "plus": op & (t == "+") & after_operand,
-        "minus": op & (t == "-") & after_operand,
-        "looser": (op | kw) & t.isin(K.LOOSER_THAN_PLUS),
-        "declared": (s == "id") & (s1.isin("id", "prim") | (t1 == "]")) & n1.isin("=", ",", ";"),
-        "typed_eq": op & (t == "=") & (s1 == "id") & after_type,
-        "next_eq": op & (t == "=") & (s1 == "id") & (t2 == ","),
+        "header": (k == LPAREN) & k1.isin(ID, RECORD) & after_type & (n1 == RPAREN) & n2.isin(LBRACE, THROWS),
+        "klass": k.isin(CLASS, INTERFACE) & ~k1.isin(DOT, AT) & n1.isin(ID, RECORD),
+        "loop_in": k.isin(FOR, WHILE) & ~do_while,
+        "loop_out": k.isin(BEGIN, SEMICOLON) | ((k == RBRACE) & (statement_end | loop_body_end)),
+        "try_in": k == TRY,
+        "try_out": (k == BEGIN) | ((k == RBRACE) & ~n1.isin(CATCH, FINALLY)),
+        "newly": k == NEW,
+        "plus": (k == PLUS) & after_operand,
+        "minus": (k == MINUS) & after_operand,
+        "looser": k.isin(LOOSER, ASSIGN, PLUS_ASSIGN),
+        "declared": k.isin(ID, RECORD) & (k1.isin(ID, PRIMITIVE) | (k1 == RBRACKET)) & n1.isin(ASSIGN, COMMA, SEMICOLON),
+        "typed_eq": (k == ASSIGN) & k1.isin(ID, RECORD) & after_type,
+        "next_eq": (k == ASSIGN) & k1.isin(ID, RECORD) & (k2 == COMMA),
     }
 
 
 def _remembered(rows: DataFrame) -> DataFrame:
-    """Running memories: the last boundary, header, operator ... of the level."""
-    c = F.col
-    level_order = Window.partitionBy("file_id", "lvl").orderBy("pos")
-    so_far = level_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running memories: place of the last boundary, header, operator ... before a row."""
+    level_order = Window.partitionBy("file_id", "lvl").orderBy("place")
     earlier = level_order.rowsBetween(Window.unboundedPreceding, -1)
+    flags = _flags()
+    rows = rows.select("*", *[flag.alias(f"is_{name}") for name, flag in flags.items()])
 
-    def last(flag: str, value: Column, frame, name: str | None = None) -> Column:
-        return F.last(F.when(c(f"is_{flag}"), value), ignorenulls=True).over(frame).alias(name or f"l_{flag}")
-
-    def place(flag: str, frame) -> Column:
-        return F.coalesce(F.last(F.when(c(f"is_{flag}"), c("pos")), ignorenulls=True).over(frame),
-                          F.lit(-1)).alias(f"l_{flag}")
+    def latest(condition: Column, value: str = "place") -> Column:
+        return F.coalesce(F.max(F.when(condition, F.col(value))).over(earlier), F.lit(-1))
 
-    rows = rows.select("*", *[flag.alias(f"is_{name}") for name, flag in _flags().items()])
-    rows = rows.select(
-        "*",
-        *[place(f, earlier) for f in ("boundary", "loop_in", "loop_out", "try_in", "try_out",
-                                      "newly", "bracket", "declared")],
-        *[place(f, so_far) for f in ("plus", "minus", "looser")],
-        last("first", c("at"), so_far), last("chain", c("at"), so_far),
-        last("chain", c("at"), earlier, "l_target"),
-        last("header", F.struct("pos", c("t1").alias("name")), earlier),
-        last("klass", F.struct("pos", c("n1").alias("name")), earlier),
-        last("separator", c("at"), earlier),
-        last("group", F.struct("pos", "tok", "c1", "broken"), so_far),
-    )
-    # a further declarator of a statement that began as a declaration
-    rows = rows.withColumn("is_eq", c("is_typed_eq") | (c("is_next_eq") & (c("l_declared") > c("l_boundary"))))
-    declarator = F.struct("pos", c("t1").alias("name"), c("before1").alias("start"), "broken")
+    start = F.col("is_separator") | F.col("is_group")
+    equals = F.col("is_typed_eq") | F.col("is_next_eq")
     return rows.select(
         "*",
-        last("eq", declarator, earlier),
-        F.expr("lead(if(is_separator, struct(before1 as tail, quoted), null)) ignore nulls "
-               "over (partition by file_id, lvl order by pos)").alias("value_end"),
+        *[latest(F.col(f"is_{name}")).alias(f"l_{name}") for name in flags],
+        latest(start).alias("l_start"), latest(start, "broken").alias("l_start_broken"),
+        latest(equals, "broken").alias("l_eq_broken"),
+        latest(F.col("is_typed_eq"), "before1").alias("l_typed_name"),
+        latest(F.col("is_next_eq"), "before1").alias("l_next_name"),
+        latest(F.col("is_header"), "before1").alias("l_header_name"),
+        latest(F.col("is_klass"), "after1").alias("l_klass_name"),
+        F.expr("lead(if(is_separator, struct(before1 as tail, tail_c1 as c1, quoted), null)) ignore nulls "
+               "over (partition by file_id, lvl order by place)").alias("value_end"),
     )
 
 
-def _site(kind: str, condition: Column, **fields: Column) -> Column:
-    given = {"kind": F.lit(kind), **fields}
-    given.setdefault("key", F.col("pos").cast("bigint") * 16 + KIND_CODES[kind])
+def _site(kind: str, condition: Column, start: Column, **fields: Column) -> Column:
+    given = {"kind": F.lit(kind), "pos": _offset(start), "line": _line(start), **fields}
+    given.setdefault("key", _offset(F.col("place")).cast("bigint") * 16 + KIND_CODES[kind])
     columns = [given.get(name, F.lit(None)).cast(ddl).alias(name) for name, ddl in SITE_FIELDS.items()]
     return F.when(condition, F.struct(*columns))
 
 
-def _between(start: Column, end: Column) -> dict[str, Column]:
-    """Place fields of a site that runs from one token to another."""
-    return {"pos": start["pos"], "end_pos": end["pos"], "line": start["line"], "end_line": end["line"],
-            "c0": start["c0"], "c1": end["c1"]}
+def _until(end: Column, c1: Column | None = None) -> dict[str, Column]:
+    """A site's last token and last character (a closing bracket is one character)."""
+    return {"end_pos": _offset(end), "end_line": _line(end), "c1": _offset(end) if c1 is None else c1}
 
 
 def _sites(rows: DataFrame) -> DataFrame:
     c = F.col
-    t, t1, t2, n1, n2, s1 = (c(x) for x in ("t", "t1", "t2", "n1", "n2", "s1"))
-    op = c("sort") == "op"
-    opens, brace = c("is_bracket"), op & (t == "{")
-    separator_pos = F.coalesce(c("l_separator.pos"), F.lit(-1))
-    plus_since = lambda start: (
-        (c("l_plus") > start) & (c("l_minus") < c("l_plus")) & (c("l_looser") <= start))
-
-    arg_start = F.greatest(separator_pos, c("l_group.pos"))
-    arg_broken = F.greatest(F.coalesce(c("l_separator.broken"), F.lit(0)), c("l_group.broken"))
-    arg_string = (s1 == "string") & t2.isin("<begin>", ",")
-    arg_plus = plus_since(arg_start)
-    argument = c("is_separator") & (t != ";") & (c("l_group.tok") == "(") & (arg_plus | arg_string)
-
-    eq_pos = c("l_eq.pos")
-    init_string = (s1 == "string") & (c("before2.pos") == eq_pos)
-    init_plus = plus_since(eq_pos)
-    initialised = c("is_separator") & (eq_pos > separator_pos) & (init_string | init_plus)
-    literal = F.expr("substring(t1, 2, length(t1) - 2)")
-
-    creation = (c("l_newly") >= c("l_chain.pos")) & (c("l_newly") > c("l_bracket"))
-    call_end = F.when(creation & (n2 == "{"), c("after3")).otherwise(c("after1"))
-    called = op & (t == "(") & (s1 == "id") & t1.isin(WATCHED_NAMES)
+    k, k1, k2, k3, n1, n2, place = (c(x) for x in ("k", "k1", "k2", "k3", "n1", "n2", "place"))
+    opens, brace, paren = c("is_opening"), k == LBRACE, k == LPAREN
+
+    def plus_since(start: Column) -> Column:
+        return (c("l_plus") > start) & (c("l_minus") < c("l_plus")) & (c("l_looser") <= start)
+
+    text = F.expr("substring(tok1, 2, length(tok1) - 2)")
+    arg_string = (k1 == STRING) & k2.isin(BEGIN, COMMA)
+    arg_plus = plus_since(c("l_start"))
+    argument = k.isin(END, COMMA) & (c("l_group") == c("l_paren_group")) & (arg_plus | arg_string)
+
+    # a further declarator counts when its statement began as a declaration
+    further = (c("l_next_eq") > c("l_typed_eq")) & (c("l_declared") > c("l_boundary"))
+    eq = F.when(further, c("l_next_eq")).otherwise(c("l_typed_eq"))
+    eq_name = F.when(further, c("l_next_name")).otherwise(c("l_typed_name"))
+    init_string = (k1 == STRING) & (c("before2") == eq)
+    init_plus = plus_since(eq)
+    initialised = c("is_separator") & (eq > c("l_separator")) & (init_string | init_plus)
+
+    called = paren & (k1 == ID) & c("tok1").isin(WATCHED_NAMES)
+    creation = (c("l_newly") >= c("l_chain")) & (c("l_newly") > c("l_opening"))
+    call_end = F.when(creation & (n2 == LBRACE), c("after3")).otherwise(c("after1"))
     in_loop, in_try = c("l_loop_in") > c("l_loop_out"), c("l_try_in") > c("l_try_out")
+    resources = paren & (k1 == TRY)
 
-    pair = F.when(t == ")", "(").when(t == "]", "[").otherwise("{")
-    closes = op & t.isin(")", "]", "}")
     reason = (
-        F.when(c("sort") == "bad", F.when(c("tok").startswith("/*"), "UNTERMINATED_COMMENT")
-               .otherwise("UNTERMINATED_LITERAL"))
-        .when(closes & ((c("lvl") < 0) | (t1 != pair)), "BRACKET_MISMATCH")
-        .when((c("sort") == "eof") & (c("lvl") != 0), "BRACKET_NOT_CLOSED")
+        F.when(k == BAD, F.when(c("tok").startswith("/*"), "UNTERMINATED_COMMENT").otherwise("UNTERMINATED_LITERAL"))
+        .when(k.isin(_CLOSING) & ((c("lvl") < 0) | (k1 != k - 3)), "BRACKET_MISMATCH")
+        .when((k == EOF) & (c("lvl") != 0), "BRACKET_NOT_CLOSED")
     )
-    here = {"pos": c("pos"), "line": c("line")}
+    to_close = _until(c("after1"))
     sites = F.array(
-        _site("eof", c("sort") == "eof", **here),
-        _site("problem", reason.isNotNull(), name=reason, **here),
-        _site("call", called, name=t1, is_new=creation, owner=c("pos"), scope_chars=c("before1.c0") - c("l_chain.c0"),
-              **_between(c("l_chain"), call_end)),
-        _site("arg", argument, key=c("l_group.pos").cast("bigint") * 16 + KIND_CODES["arg"],
-              pos=c("pos"), has_plus=arg_plus, value=F.when(arg_string, literal),
-              c0=F.when(c("l_separator.pos") > c("l_group.pos"), c("l_separator.c1") + 1)
-              .otherwise(c("l_group.c1") + 1),
-              c1=c("before1.c1"), breaks_line=c("before1.broken") > arg_broken),
-        _site("init", initialised, name=c("l_eq.name"), has_plus=init_plus, value=F.when(init_string, literal),
-              breaks_line=c("before1.broken") > c("l_eq.broken"), **_between(c("l_eq.start"), c("before1"))),
-        _site("catch", brace & (t1 == ")") & (t2 == "(") & (c("t3") == "catch")
-              & (c("after1.nth") == c("nth") + 1), **_between(c("before3"), c("after1"))),
-        _site("append", op & (t == "+=") & (c("value_end.quoted") > c("quoted")), looped=in_loop,
-              **_between(c("l_target"), c("value_end.tail"))),
-        _site("method", brace & (c("l_header.pos") > c("l_boundary")), name=c("l_header.name"),
-              **_between(c("l_first"), c("after1"))),
-        _site("class", brace & (c("l_klass.pos") > c("l_boundary")), name=c("l_klass.name"),
-              **_between(c("at"), c("after1"))),
-        _site("loop", opens & in_loop, **_between(c("at"), c("after1"))),
-        _site("try", opens & in_try & ~((t == "(") & (t1 == "try")), owner=c("l_try_in"),
-              **_between(c("at"), c("after1"))),
-        _site("resources", opens & in_try & (t == "(") & (t1 == "try"), owner=c("l_try_in"),
-              **_between(c("at"), c("after1"))),
+        _site("eof", k == EOF, place),
+        _site("problem", reason.isNotNull(), place, reason=reason),
+        _site("call", called, c("l_chain"), is_new=creation, owner=_offset(place), name_pos=_offset(c("before1")),
+              name_end=_offset(place), **_until(call_end)),
+        _site("arg", argument, c("l_start") + F.lit(1 << _LINE_BITS), c1=c("tail_c1"), has_plus=arg_plus,
+              key=_offset(c("l_group")).cast("bigint") * 16 + KIND_CODES["arg"],
+              value=F.when(arg_string, text), breaks_line=c("tail_broken") > c("l_start_broken")),
+        _site("init", initialised, eq_name, has_plus=init_plus, value=F.when(init_string, text),
+              name_pos=_offset(eq_name), name_end=_offset(eq),
+              breaks_line=c("tail_broken") > c("l_eq_broken"), **_until(c("before1"), c("tail_c1"))),
+        _site("catch", brace & (k1 == RPAREN) & (k2 == LPAREN) & (k3 == CATCH) & (c("after_nth") == c("nth") + 1),
+              c("before3"), **to_close),
+        _site("append", (k == PLUS_ASSIGN) & (c("value_end.quoted") > c("quoted")), c("l_chain"), looped=in_loop,
+              **_until(c("value_end.tail"), c("value_end.c1"))),
+        _site("method", brace & (c("l_header") > c("l_boundary")), c("l_first"),
+              name_pos=_offset(c("l_header_name")), name_end=_offset(c("l_header")), **to_close),
+        _site("class", brace & (c("l_klass") > c("l_boundary")), place,
+              name_pos=_offset(c("l_klass_name")), name_end=_offset(place), **to_close),
+        _site("loop", opens & in_loop, place, **to_close),
+        _site("try", opens & in_try & ~resources, place, owner=_offset(c("l_try_in")), **to_close),
+        _site("resources", opens & in_try & resources, place, owner=_offset(c("l_try_in")), **to_close),
     )
     return rows.select("file_id", F.inline(F.array_compact(sites)))
 
@@ -252,7 +273,7 @@ def _with_arguments(sites: DataFrame) -> DataFrame:
     """Fold the interesting arguments of a call into its site."""
     is_arg = F.col("kind") == "arg"
     own = F.struct(*[F.col(name) for name in SITE_FIELDS if name != "key"])
-    span = F.struct("pos", "c0", "c1", "breaks_line")
+    span = F.struct("pos", "c1", "breaks_line")
     return (
         sites.groupBy("file_id", "key")
         .agg(
@@ -290,37 +311,55 @@ def _with_scope(sites: DataFrame) -> DataFrame:
         open_count(is_try).alias("in_tries"),
     ).where((F.col("turn") >= 0) & (F.col("kind") != "loop"))
 
-    def nearest(level: str, condition: Column, value: str) -> Column:
+    def nearest(level: str, condition: Column, value: Column) -> Column:
         nest = Window.partitionBy("file_id", level).orderBy("at")
         frame = nest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return F.last(F.when(condition & (F.col("turn") == 1), F.col(value)), ignorenulls=True).over(frame)
+        return F.last(F.when(condition & (F.col("turn") == 1), value), ignorenulls=True).over(frame)
 
+    name = F.struct(F.col("name_pos").alias("pos"), F.col("name_end").alias("end"))
     return (
-        rows.withColumn("method_name", nearest("in_methods", F.col("kind") == "method", "name"))
-        .withColumn("class_name", nearest("in_classes", F.col("kind") == "class", "name"))
-        .withColumn("try_pos", nearest("in_tries", is_try, "owner"))
+        rows.withColumn("method_at", nearest("in_methods", F.col("kind") == "method", name))
+        .withColumn("class_at", nearest("in_classes", F.col("kind") == "class", name))
+        .withColumn("try_pos", nearest("in_tries", is_try, F.col("owner")))
         .withColumn("in_loop", F.coalesce("looped", F.lit(False)) | (F.col("in_loops") > 0))
+        .where(F.col("kind") != "try")
         .drop("looped", "at", "turn", "in_methods", "in_classes", "in_loops", "in_tries")
     )
 
 
+def _with_text(sites: DataFrame, spread: DataFrame) -> DataFrame:
+    """Cut names and code out of the file's text."""
+    src = F.col("src")
+
+    def word(pos: Column, end: Column) -> Column:
+        return F.regexp_extract(F.substring(src, pos, end - pos), r"^[\p{L}\p{M}\p{N}_$]+", 0)
+
+    has_code = F.col("kind").isin("call", "init", "catch", "append", "method", "resources")
+    has_name = F.col("name_pos").isNotNull()
+    sql_arg = F.exists("plus_args", lambda a: ~a["breaks_line"] & F.rlike(
+        F.substring(src, a["pos"], a["c1"] - a["pos"] + 1), F.lit(K.SQL_WORDS)))
+    return sites.join(spread, "file_id").select(
+        "file_id", "kind", "pos", "end_pos", "line", "end_line", "is_new", "value", "breaks_line", "reason",
+        "string_arg", "in_loop", "try_pos",
+        F.when(has_code, F.substring(src, F.col("pos"), F.col("c1") - F.col("pos") + 1)).alias("code"),
+        F.when(has_name, word(F.col("name_pos"), F.col("name_end"))).alias("name"),
+        F.when(F.col("method_at").isNotNull(), word(F.col("method_at.pos"), F.col("method_at.end"))).alias("method_name"),
+        F.when(F.col("class_at").isNotNull(), word(F.col("class_at.pos"), F.col("class_at.end"))).alias("class_name"),
+        (F.col("name_pos") - F.col("pos")).alias("scope_chars"),
+        (F.col("has_plus") | (F.size("plus_args") > 0)).alias("has_plus"),
+        sql_arg.alias("sql_arg"),
+    )
+
+
 def all_sites(files: DataFrame) -> DataFrame:
     """Sites of every file, broken files included (see ``code_sites``)."""
     spread = spread_files(files)
-    sites = _with_scope(_with_arguments(_sites(_remembered(_neighbours(_level_rows(spread))))))
-    text = F.expr("substring(src, c0, c1 - c0 + 1)")
-    has_text = ~F.col("kind").isin("eof", "problem", "class", "try")
-    sql_arg = F.exists("plus_args", lambda a: ~a["breaks_line"] & F.rlike(
-        F.substring(F.col("src"), a["c0"], a["c1"] - a["c0"] + 1), F.lit(K.SQL_WORDS)))
+    rows = _remembered(_neighbours(_level_rows(spread)))
+    sites = _with_text(_with_scope(_with_arguments(_sites(rows))), spread)
     same_try = Window.partitionBy("file_id", "try_pos")
     managed = F.filter(literal_array(K.CLOSEABLE_TYPES), lambda name: F.contains(F.col("code"), name))
     return (
-        sites.join(spread, "file_id")
-        .withColumn("code", F.when(has_text, text))
-        .withColumn("has_plus", F.col("has_plus") | (F.size("plus_args") > 0))
-        .withColumn("sql_arg", sql_arg)
-        .drop("src", "plus_args")
-        .withColumn("managed_types", F.coalesce(
+        sites.withColumn("managed_types", F.coalesce(
             F.max(F.when(F.col("kind") == "resources", managed)).over(same_try),
             F.array().cast("array<string>")))
         .withColumn("broken", F.max(F.col("kind") == "problem").over(Window.partitionBy("file_id")))
@@ -338,7 +377,7 @@ def structure_quarantine(files: DataFrame) -> DataFrame:
     return (
         _sites(rows).where(F.col("kind") == "problem")
         .groupBy("file_id")
-        .agg(F.min(F.struct("pos", "line", F.col("name").alias("reason"))).alias("p"))
+        .agg(F.min(F.struct("pos", "line", "reason")).alias("p"))
         .select("file_id", "p.line", "p.reason")
     )
 
