@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
 from riskweave.functions.columns import literal_array, method_hint, truncate
-from riskweave.operators.lexer import bracket_step, cut, line_breaks, spread_files, up_to_here
+from riskweave.operators.lexer import bracket_step, cut, line_breaks, spread_files
 
 WATCHED_NAMES = sorted({*K.SQL_CALLS, "exec", "getInstance", "ProcessBuilder", *K.FILE_TYPES, *K.CLOSEABLE_TYPES})
 
@@ -48,7 +48,8 @@ _OPENING, _CLOSING = [LPAREN, LBRACKET, LBRACE], [RPAREN, RBRACKET, RBRACE]
 
 # A place is one number that orders tokens and holds the character offset and
 # the line: offset * 2**31 + line.  The latest place is then simply a maximum.
-_LINE_BITS = 31
+_OFFSET = "cast(shiftright({0}, 31) as int)"
+_LINE = "cast({0} & 2147483647 as int)"
 
 # the columns of one site; a call collects its arguments under the same key
 SITE_FIELDS = {
@@ -60,229 +61,198 @@ KIND_CODES = {"call": 1, "arg": 1, "eof": 2, "problem": 3, "init": 4, "catch": 5
               "method": 7, "class": 8, "loop": 9, "try": 10, "resources": 11}
 SPANS = ["method", "class", "loop", "try", "resources"]
 
+_LEVEL = "over (partition by file_id, lvl order by place)"
+_EARLIER = "over (partition by file_id, lvl order by place rows between unbounded preceding and 1 preceding)"
+_SO_FAR = "over (partition by file_id order by pos rows between unbounded preceding and current row)"
 
-def _offset(place: Column) -> Column:
-    return F.shiftright(place, _LINE_BITS).cast("int")
 
+def _is(column: str, *classes: int) -> str:
+    return f"({column} in ({', '.join(map(str, classes))}))"
 
-def _line(place: Column) -> Column:
-    return place.bitwiseAND((1 << _LINE_BITS) - 1).cast("int")
 
-
-def _token_class(tok: Column, kind: Column) -> Column:
-    classes = F.create_map(*[F.lit(x) for pair in _CLASS_OF_TOKEN.items() for x in pair])
-    known = F.when(kind.isin("word", "op"), F.try_element_at(classes, tok))
-    rest = F.when(F.lit(False), 0)
-    for name, number in _CLASS_OF_KIND.items():
-        rest = rest.when(kind == name, number)
-    return F.coalesce(known, rest.otherwise(OTHER))
+def _token_class() -> str:
+    """SQL text of the class of a token; one lookup in a constant map."""
+    pairs = ", ".join(f"'{tok}', {number}" for tok, number in _CLASS_OF_TOKEN.items())
+    rest = " ".join(f"when '{kind}' then {number}" for kind, number in _CLASS_OF_KIND.items())
+    return (f"coalesce(if(kind in ('word', 'op'), try_element_at(map({pairs}), tok), null),"
+            f" case kind {rest} else {OTHER} end)")
 
 
 def _level_rows(files: DataFrame) -> DataFrame:
     """Significant tokens in level order, with their begin and end marks."""
     tok, kind = F.col("tok"), F.col("kind")
-    hidden = kind.isin("space", "comment", "generic")
-    # printed on a line of its own, so the text around it spans several lines
-    broken = kind.isin("comment", "text") | ((kind == "op") & (tok == "{"))
+    # a comment, a text block or a block is printed on lines of its own
     tokens = cut(files).select(
-        "file_id", "pos",
-        F.when(~hidden, tok).alias("tok"),  # long comments stop here
-        F.when(~hidden, _token_class(tok, kind)).alias("k"),
-        F.length("tok").alias("size"),
-        line_breaks(tok, kind).alias("breaks"),
-        bracket_step(tok, kind).alias("step"),
-        broken.cast("int").alias("breaking"),
-        (tok.contains('"') & ~hidden).cast("int").alias("quoting"),
-    )
-    here = up_to_here()
-    c1 = F.sum("size").over(here)
-    line = 1 + F.sum("breaks").over(here) - F.col("breaks")
-    tokens = tokens.select(
-        "file_id", "tok", "k", "step", c1.cast("int").alias("c1"),
-        (F.shiftleft(c1 - F.col("size") + 1, _LINE_BITS) + line).alias("place"),
-        F.sum("step").over(here).cast("int").alias("depth"),
-        F.sum("breaking").over(here).cast("int").alias("broken"),
-        F.sum("quoting").over(here).cast("int").alias("quoted"),
-        F.count("k").over(here).cast("int").alias("nth"),
-    ).where(F.col("k").isNotNull())
-
-    level = F.when(F.col("step") > 0, F.col("depth") - 1).otherwise(F.col("depth"))
-    own = F.struct(level.alias("lvl"), F.col("k").alias("k"))
-    inner = F.struct((level + 1).alias("lvl"), F.when(F.col("step") > 0, BEGIN).otherwise(END).alias("k"))
-    return (
-        tokens.withColumn("row", F.explode(F.when(F.col("step") == 0, F.array(own)).otherwise(F.array(own, inner))))
-        .select("file_id", "tok", "place", "c1", "broken", "quoted", "nth", "row.lvl", "row.k",
-                F.col("k").alias("bracket"))
-    )
+        "file_id", "pos", "tok", "kind", line_breaks(tok, kind).alias("breaks"), bracket_step(tok, kind).alias("step"),
+    ).selectExpr(
+        "file_id", "pos", "breaks", "step", "length(tok) as size",
+        "if(kind in ('space', 'comment', 'generic'), null, tok) as tok",  # long comments stop here
+        f"if(kind in ('space', 'comment', 'generic'), null, {_token_class()}) as k",
+        "int(kind in ('comment', 'text') or (kind = 'op' and tok = '{')) as breaking",
+        "int(kind in ('string', 'text', 'char') and contains(tok, '\"')) as quoting",
+    ).selectExpr(
+        "file_id", "tok", "k", "step",
+        f"int(sum(size) {_SO_FAR}) as c1",
+        f"shiftleft(sum(size) {_SO_FAR} - size + 1, 31) + 1 + sum(breaks) {_SO_FAR} - breaks as place",
+        f"int(sum(step) {_SO_FAR}) - if(step > 0, 1, 0) as lvl",
+        f"int(sum(breaking) {_SO_FAR}) as broken",
+        f"int(sum(quoting) {_SO_FAR}) as quoted",
+        f"int(count(k) {_SO_FAR}) as nth",
+    ).where("k is not null")
+    mark = f"struct(lvl + 1 as lvl, if(step > 0, {BEGIN}, {END}) as k)"
+    return tokens.selectExpr(
+        "file_id", "tok", "place", "c1", "broken", "quoted", "nth", "k as bracket",
+        f"inline(if(step = 0, array(struct(lvl, k)), array(struct(lvl, k), {mark})))")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    level_order = Window.partitionBy("file_id", "lvl").orderBy("place")
-
-    def klass(step, n: int) -> Column:
-        return F.coalesce(step("k", n).over(level_order), F.lit(NOTHING))
-
-    return rows.select(
+    return rows.selectExpr(
         "*",
-        *[klass(F.lag, n).alias(f"k{n}") for n in (1, 2, 3, 4)],
-        *[klass(F.lead, n).alias(f"n{n}") for n in (1, 2)],
-        *[F.lag("place", n).over(level_order).alias(f"before{n}") for n in (1, 2, 3)],
-        *[F.lead("place", n).over(level_order).alias(f"after{n}") for n in (1, 3)],
-        F.lag("tok", 1).over(level_order).alias("tok1"),
-        F.lag("c1", 1).over(level_order).alias("tail_c1"),
-        F.lag("broken", 1).over(level_order).alias("tail_broken"),
-        F.lead("nth", 1).over(level_order).alias("after_nth"),
+        *[f"coalesce(lag(k, {n}) {_LEVEL}, {NOTHING}) as k{n}" for n in (1, 2, 3, 4)],
+        *[f"coalesce(lead(k, {n}) {_LEVEL}, {NOTHING}) as n{n}" for n in (1, 2)],
+        *[f"lag(place, {n}) {_LEVEL} as before{n}" for n in (1, 2, 3)],
+        *[f"lead(place, {n}) {_LEVEL} as after{n}" for n in (1, 3)],
+        f"lag(tok, 1) {_LEVEL} as tok1", f"lag(c1, 1) {_LEVEL} as tail_c1",
+        f"lag(broken, 1) {_LEVEL} as tail_broken", f"lead(nth, 1) {_LEVEL} as after_nth",
     )
 
 
-def _flags() -> dict[str, Column]:
+def _flags() -> dict[str, str]:
     """What a level-order row is, judged by its class and its neighbours' classes."""
-    k, k1, k2, k3, k4, n1, n2 = (F.col(x) for x in ("k", "k1", "k2", "k3", "k4", "n1", "n2"))
-    after_type = (k2.isin(ID, PRIMITIVE) & (k3 != AT)) | (k2 == RBRACKET)
+    name1 = _is("k1", ID, RECORD)
+    after_type = f"(({_is('k2', ID, PRIMITIVE)} and k3 != {AT}) or k2 = {RBRACKET})"
     linked = (
-        k.isin(*_CLOSING, DOT, COLONS) | k1.isin(DOT, COLONS, NEW)
-        | ((k == LPAREN) & k1.isin(ID, RECORD, SELF))
-        | ((k == LBRACKET) & k1.isin(ID, RECORD, PRIMITIVE, RPAREN, RBRACKET))
+        f"({_is('k', *_CLOSING, DOT, COLONS)} or {_is('k1', DOT, COLONS, NEW)}"
+        f" or (k = {LPAREN} and {_is('k1', ID, RECORD, SELF)})"
+        f" or (k = {LBRACKET} and {_is('k1', ID, RECORD, PRIMITIVE, RPAREN, RBRACKET)}))"
     )
-    after_operand = k1.isin(ID, RECORD, STRING, TEXT, CHAR, NUMBER, *_CLOSING, SELF, CLASS, LITERAL, STEP)
-    do_while = (k == WHILE) & (k1 == RBRACE) & (k2 == LBRACE) & (k3 == DO)
-    loop_body_end = (k1 == LBRACE) & (k2 == RPAREN) & (k3 == LPAREN) & k4.isin(FOR, WHILE)
-    statement_end = ~n1.isin(ELSE, CATCH, FINALLY) & ~((n1 == WHILE) & (k2 == DO))
+    after_operand = _is("k1", ID, RECORD, STRING, TEXT, CHAR, NUMBER, *_CLOSING, SELF, CLASS, LITERAL, STEP)
+    do_while = f"(k = {WHILE} and k1 = {RBRACE} and k2 = {LBRACE} and k3 = {DO})"
+    loop_body_end = f"(k1 = {LBRACE} and k2 = {RPAREN} and k3 = {LPAREN} and {_is('k4', FOR, WHILE)})"
+    statement_end = f"(not {_is('n1', ELSE, CATCH, FINALLY)} and not (n1 = {WHILE} and k2 = {DO}))"
     return {
-        "boundary": k.isin(BEGIN, SEMICOLON, RBRACE),
-        "separator": k.isin(END, COMMA, SEMICOLON),
-        "group": k == BEGIN,
-        "paren_group": (k == BEGIN) & (F.col("bracket") == LPAREN),
-        "opening": k.isin(_OPENING),
-        "first": k1.isin(NOTHING, BEGIN, SEMICOLON, RBRACE),
-        "chain": ~linked,
-        "header": (k == LPAREN) & k1.isin(ID, RECORD) & after_type & (n1 == RPAREN) & n2.isin(LBRACE, THROWS),
-        "klass": k.isin(CLASS, INTERFACE) & ~k1.isin(DOT, AT) & n1.isin(ID, RECORD),
-        "loop_in": k.isin(FOR, WHILE) & ~do_while,
-        "loop_out": k.isin(BEGIN, SEMICOLON) | ((k == RBRACE) & (statement_end | loop_body_end)),
-        "try_in": k == TRY,
-        "try_out": (k == BEGIN) | ((k == RBRACE) & ~n1.isin(CATCH, FINALLY)),
-        "newly": k == NEW,
-        "plus": (k == PLUS) & after_operand,
-        "minus": (k == MINUS) & after_operand,
-        "looser": k.isin(LOOSER, ASSIGN, PLUS_ASSIGN),
-        "declared": k.isin(ID, RECORD) & (k1.isin(ID, PRIMITIVE) | (k1 == RBRACKET)) & n1.isin(ASSIGN, COMMA, SEMICOLON),
-        "typed_eq": (k == ASSIGN) & k1.isin(ID, RECORD) & after_type,
-        "next_eq": (k == ASSIGN) & k1.isin(ID, RECORD) & (k2 == COMMA),
+        "boundary": _is("k", BEGIN, SEMICOLON, RBRACE),
+        "separator": _is("k", END, COMMA, SEMICOLON),
+        "group": f"k = {BEGIN}",
+        "paren_group": f"k = {BEGIN} and bracket = {LPAREN}",
+        "opening": _is("k", *_OPENING),
+        "first": _is("k1", NOTHING, BEGIN, SEMICOLON, RBRACE),
+        "chain": f"not {linked}",
+        "header": f"k = {LPAREN} and {name1} and {after_type} and n1 = {RPAREN} and {_is('n2', LBRACE, THROWS)}",
+        "klass": f"{_is('k', CLASS, INTERFACE)} and not {_is('k1', DOT, AT)} and {_is('n1', ID, RECORD)}",
+        "loop_in": f"{_is('k', FOR, WHILE)} and not {do_while}",
+        "loop_out": f"{_is('k', BEGIN, SEMICOLON)} or (k = {RBRACE} and ({statement_end} or {loop_body_end}))",
+        "try_in": f"k = {TRY}",
+        "try_out": f"k = {BEGIN} or (k = {RBRACE} and not {_is('n1', CATCH, FINALLY)})",
+        "newly": f"k = {NEW}",
+        "plus": f"k = {PLUS} and {after_operand}",
+        "minus": f"k = {MINUS} and {after_operand}",
+        "looser": _is("k", LOOSER, ASSIGN, PLUS_ASSIGN),
+        "declared": (f"{_is('k', ID, RECORD)} and ({_is('k1', ID, PRIMITIVE)} or k1 = {RBRACKET})"
+                     f" and {_is('n1', ASSIGN, COMMA, SEMICOLON)}"),
+        "typed_eq": f"k = {ASSIGN} and {name1} and {after_type}",
+        "next_eq": f"k = {ASSIGN} and {name1} and k2 = {COMMA}",
     }
 
 
 def _remembered(rows: DataFrame) -> DataFrame:
     """Running memories: place of the last boundary, header, operator ... before a row."""
-    level_order = Window.partitionBy("file_id", "lvl").orderBy("place")
-    earlier = level_order.rowsBetween(Window.unboundedPreceding, -1)
     flags = _flags()
-    rows = rows.select("*", *[flag.alias(f"is_{name}") for name, flag in flags.items()])
+    rows = rows.selectExpr("*", *[f"({condition}) as is_{name}" for name, condition in flags.items()])
 
-    def latest(condition: Column, value: str = "place") -> Column:
-        return F.coalesce(F.max(F.when(condition, F.col(value))).over(earlier), F.lit(-1))
+    def latest(condition: str, name: str, value: str = "place") -> str:
+        return f"coalesce(max(if({condition}, {value}, null)) {_EARLIER}, -1) as {name}"
 
-    start = F.col("is_separator") | F.col("is_group")
-    equals = F.col("is_typed_eq") | F.col("is_next_eq")
-    return rows.select(
+    start, equals = "is_separator or is_group", "is_typed_eq or is_next_eq"
+    return rows.selectExpr(
         "*",
-        *[latest(F.col(f"is_{name}")).alias(f"l_{name}") for name in flags],
-        latest(start).alias("l_start"), latest(start, "broken").alias("l_start_broken"),
-        latest(equals, "broken").alias("l_eq_broken"),
-        latest(F.col("is_typed_eq"), "before1").alias("l_typed_name"),
-        latest(F.col("is_next_eq"), "before1").alias("l_next_name"),
-        latest(F.col("is_header"), "before1").alias("l_header_name"),
-        latest(F.col("is_klass"), "after1").alias("l_klass_name"),
-        F.expr("lead(if(is_separator, struct(before1 as tail, tail_c1 as c1, quoted), null)) ignore nulls "
-               "over (partition by file_id, lvl order by place)").alias("value_end"),
+        *[latest(f"is_{name}", f"l_{name}") for name in flags],
+        latest(start, "l_start"), latest(start, "l_start_broken", "broken"),
+        latest(equals, "l_eq_broken", "broken"),
+        latest("is_typed_eq", "l_typed_name", "before1"), latest("is_next_eq", "l_next_name", "before1"),
+        latest("is_header", "l_header_name", "before1"), latest("is_klass", "l_klass_name", "after1"),
+        f"lead(if(is_separator, struct(before1 as tail, tail_c1 as c1, quoted), null)) ignore nulls {_LEVEL}"
+        " as value_end",
     )
 
 
-def _site(kind: str, condition: Column, start: Column, **fields: Column) -> Column:
-    given = {"kind": F.lit(kind), "pos": _offset(start), "line": _line(start), **fields}
-    given.setdefault("key", _offset(F.col("place")).cast("bigint") * 16 + KIND_CODES[kind])
-    columns = [given.get(name, F.lit(None)).cast(ddl).alias(name) for name, ddl in SITE_FIELDS.items()]
-    return F.when(condition, F.struct(*columns))
+def _site(kind: str, condition: str, start: str, end: str | None = None, end_c1: str | None = None,
+          **fields: str) -> str:
+    """SQL text of one possible site; ``start`` and ``end`` are places of tokens.
 
-
-def _until(end: Column, c1: Column | None = None) -> dict[str, Column]:
-    """A site's last token and last character (a closing bracket is one character)."""
-    return {"end_pos": _offset(end), "end_line": _line(end), "c1": _offset(end) if c1 is None else c1}
+    A closing bracket is one character, so it also is the last character.
+    """
+    given = {"kind": f"'{kind}'", "key": f"{_OFFSET.format('place')} * 16L + {KIND_CODES[kind]}",
+             "pos": _OFFSET.format(start), "line": _LINE.format(start), **fields}
+    if end:
+        given |= {"end_pos": _OFFSET.format(end), "end_line": _LINE.format(end), "c1": end_c1 or _OFFSET.format(end)}
+    columns = ", ".join(f"cast({given.get(name, 'null')} as {ddl}) as {name}" for name, ddl in SITE_FIELDS.items())
+    return f"if({condition}, struct({columns}), null)"
 
 
 def _sites(rows: DataFrame) -> DataFrame:
-    c = F.col
-    k, k1, k2, k3, n1, n2, place = (c(x) for x in ("k", "k1", "k2", "k3", "n1", "n2", "place"))
-    opens, brace, paren = c("is_opening"), k == LBRACE, k == LPAREN
-
-    def plus_since(start: Column) -> Column:
-        return (c("l_plus") > start) & (c("l_minus") < c("l_plus")) & (c("l_looser") <= start)
-
-    text = F.expr("substring(tok1, 2, length(tok1) - 2)")
-    arg_string = (k1 == STRING) & k2.isin(BEGIN, COMMA)
-    arg_plus = plus_since(c("l_start"))
-    argument = k.isin(END, COMMA) & (c("l_group") == c("l_paren_group")) & (arg_plus | arg_string)
-
+    at = _OFFSET.format
+    plus_since = "(l_plus > {0} and l_minus < l_plus and l_looser <= {0})"
     # a further declarator counts when its statement began as a declaration
-    further = (c("l_next_eq") > c("l_typed_eq")) & (c("l_declared") > c("l_boundary"))
-    eq = F.when(further, c("l_next_eq")).otherwise(c("l_typed_eq"))
-    eq_name = F.when(further, c("l_next_name")).otherwise(c("l_typed_name"))
-    init_string = (k1 == STRING) & (c("before2") == eq)
-    init_plus = plus_since(eq)
-    initialised = c("is_separator") & (eq > c("l_separator")) & (init_string | init_plus)
-
-    called = paren & (k1 == ID) & c("tok1").isin(WATCHED_NAMES)
-    creation = (c("l_newly") >= c("l_chain")) & (c("l_newly") > c("l_opening"))
-    call_end = F.when(creation & (n2 == LBRACE), c("after3")).otherwise(c("after1"))
-    in_loop, in_try = c("l_loop_in") > c("l_loop_out"), c("l_try_in") > c("l_try_out")
-    resources = paren & (k1 == TRY)
-
-    reason = (
-        F.when(k == BAD, F.when(c("tok").startswith("/*"), "UNTERMINATED_COMMENT").otherwise("UNTERMINATED_LITERAL"))
-        .when(k.isin(_CLOSING) & ((c("lvl") < 0) | (k1 != k - 3)), "BRACKET_MISMATCH")
-        .when((k == EOF) & (c("lvl") != 0), "BRACKET_NOT_CLOSED")
-    )
-    to_close = _until(c("after1"))
-    sites = F.array(
-        _site("eof", k == EOF, place),
-        _site("problem", reason.isNotNull(), place, reason=reason),
-        _site("call", called, c("l_chain"), is_new=creation, owner=_offset(place), name_pos=_offset(c("before1")),
-              name_end=_offset(place), **_until(call_end)),
-        _site("arg", argument, c("l_start") + F.lit(1 << _LINE_BITS), c1=c("tail_c1"), has_plus=arg_plus,
-              key=_offset(c("l_group")).cast("bigint") * 16 + KIND_CODES["arg"],
-              value=F.when(arg_string, text), breaks_line=c("tail_broken") > c("l_start_broken")),
-        _site("init", initialised, eq_name, has_plus=init_plus, value=F.when(init_string, text),
-              name_pos=_offset(eq_name), name_end=_offset(eq),
-              breaks_line=c("tail_broken") > c("l_eq_broken"), **_until(c("before1"), c("tail_c1"))),
-        _site("catch", brace & (k1 == RPAREN) & (k2 == LPAREN) & (k3 == CATCH) & (c("after_nth") == c("nth") + 1),
-              c("before3"), **to_close),
-        _site("append", (k == PLUS_ASSIGN) & (c("value_end.quoted") > c("quoted")), c("l_chain"), looped=in_loop,
-              **_until(c("value_end.tail"), c("value_end.c1"))),
-        _site("method", brace & (c("l_header") > c("l_boundary")), c("l_first"),
-              name_pos=_offset(c("l_header_name")), name_end=_offset(c("l_header")), **to_close),
-        _site("class", brace & (c("l_klass") > c("l_boundary")), place,
-              name_pos=_offset(c("l_klass_name")), name_end=_offset(place), **to_close),
-        _site("loop", opens & in_loop, place, **to_close),
-        _site("try", opens & in_try & ~resources, place, owner=_offset(c("l_try_in")), **to_close),
-        _site("resources", opens & in_try & resources, place, owner=_offset(c("l_try_in")), **to_close),
+    rows = rows.selectExpr(
+        "*", "(l_next_eq > l_typed_eq and l_declared > l_boundary) as further",
+        "(l_newly >= l_chain and l_newly > l_opening) as creation",
+        "(l_loop_in > l_loop_out) as in_loop", "(l_try_in > l_try_out) as in_try",
+        f"(k = {LPAREN} and k1 = {TRY}) as holds_resources",
+        f"if(k1 = {STRING}, substring(tok1, 2, length(tok1) - 2), null) as literal",
+        f"{plus_since.format('l_start')} as arg_plus",
+        f"(k1 = {STRING} and {_is('k2', BEGIN, COMMA)}) as arg_string",
+        f"""case
+            when k = {BAD} then if(startswith(tok, '/*'), 'UNTERMINATED_COMMENT', 'UNTERMINATED_LITERAL')
+            when {_is('k', *_CLOSING)} and (lvl < 0 or k1 != k - 3) then 'BRACKET_MISMATCH'
+            when k = {EOF} and lvl != 0 then 'BRACKET_NOT_CLOSED' end as reason""",
+    ).selectExpr(
+        "*", "if(further, l_next_eq, l_typed_eq) as eq", "if(further, l_next_name, l_typed_name) as eq_name",
+        f"if(creation and n2 = {LBRACE}, after3, after1) as call_end",
+    ).selectExpr(
+        "*", f"{plus_since.format('eq')} as init_plus", f"(k1 = {STRING} and before2 = eq) as init_string",
     )
-    return rows.select("file_id", F.inline(F.array_compact(sites)))
+    watched = ", ".join(f"'{name}'" for name in WATCHED_NAMES)
+    argument = f"{_is('k', END, COMMA)} and l_group = l_paren_group and (arg_plus or arg_string)"
+    sites = [
+        _site("eof", f"k = {EOF}", "place"),
+        _site("problem", "reason is not null", "place", reason="reason"),
+        _site("call", f"k = {LPAREN} and k1 = {ID} and tok1 in ({watched})", "l_chain", "call_end",
+              is_new="creation", owner=at("place"), name_pos=at("before1"), name_end=at("place")),
+        _site("arg", argument, "(l_start + shiftleft(1L, 31))", c1="tail_c1", has_plus="arg_plus",
+              key=f"{at('l_group')} * 16L + {KIND_CODES['arg']}", value="if(arg_string, literal, null)",
+              breaks_line="tail_broken > l_start_broken"),
+        _site("init", "is_separator and eq > l_separator and (init_string or init_plus)", "eq_name",
+              "before1", "tail_c1", has_plus="init_plus", value="if(init_string, literal, null)",
+              name_pos=at("eq_name"), name_end=at("eq"), breaks_line="tail_broken > l_eq_broken"),
+        _site("catch", f"k = {LBRACE} and k1 = {RPAREN} and k2 = {LPAREN} and k3 = {CATCH} and after_nth = nth + 1",
+              "before3", "after1"),
+        _site("append", f"k = {PLUS_ASSIGN} and value_end.quoted > quoted", "l_chain",
+              "value_end.tail", "value_end.c1", looped="in_loop"),
+        _site("method", f"k = {LBRACE} and l_header > l_boundary", "l_first", "after1",
+              name_pos=at("l_header_name"), name_end=at("l_header")),
+        _site("class", f"k = {LBRACE} and l_klass > l_boundary", "place", "after1",
+              name_pos=at("l_klass_name"), name_end=at("place")),
+        _site("loop", "is_opening and in_loop", "place", "after1"),
+        _site("try", "is_opening and in_try and not holds_resources", "place", "after1", owner=at("l_try_in")),
+        _site("resources", "is_opening and in_try and holds_resources", "place", "after1", owner=at("l_try_in")),
+    ]
+    return rows.selectExpr("file_id", f"inline(array_compact(array({', '.join(sites)})))")
 
 
 def _with_arguments(sites: DataFrame) -> DataFrame:
     """Fold the interesting arguments of a call into its site."""
-    is_arg = F.col("kind") == "arg"
-    own = F.struct(*[F.col(name) for name in SITE_FIELDS if name != "key"])
-    span = F.struct("pos", "c1", "breaks_line")
+    own = ", ".join(name for name in SITE_FIELDS if name != "key")
     return (
         sites.groupBy("file_id", "key")
         .agg(
-            F.max(F.when(~is_arg, own)).alias("own"),
-            F.array_sort(F.collect_list(F.when(is_arg & F.col("has_plus"), span))).alias("plus_args"),
-            F.min(F.when(is_arg & F.col("value").isNotNull(), F.struct("pos", "value"))).alias("string_arg"),
+            F.expr(f"max(if(kind != 'arg', struct({own}), null)) as own"),
+            F.expr("array_sort(collect_list(if(kind = 'arg' and has_plus, struct(pos, c1, breaks_line), null)))"
+                   " as plus_args"),
+            F.expr("min(if(kind = 'arg' and value is not null, struct(pos, value), null)) as string_arg"),
         )
-        .where(F.col("own").isNotNull())
-        .select("file_id", "own.*", "plus_args", F.col("string_arg.value").alias("string_arg"))
+        .where("own is not null")
+        .selectExpr("file_id", "own.*", "plus_args", "string_arg.value as string_arg")
     )
 
 
@@ -292,38 +262,32 @@ def _with_scope(sites: DataFrame) -> DataFrame:
     Spans of one kind nest, so counting how many are open gives the nesting
     level, and the span around a row is the last one opened at its level.
     """
-    turns = F.when(
-        F.col("kind").isin(SPANS),
-        F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("turn")),
-                F.struct(F.col("end_pos").alias("at"), F.lit(-1).alias("turn"))),
-    ).otherwise(F.array(F.struct(F.col("pos").alias("at"), F.lit(0).alias("turn"))))
-    up_to = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_try = F.col("kind").isin("try", "resources")
-
-    def open_count(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("turn")).otherwise(0)).over(up_to)
-
-    rows = sites.withColumn("e", F.explode(turns)).select("*", "e.at", "e.turn").drop("e").select(
-        "*",
-        open_count(F.col("kind") == "method").alias("in_methods"),
-        open_count(F.col("kind") == "class").alias("in_classes"),
-        open_count(F.col("kind") == "loop").alias("in_loops"),
-        open_count(is_try).alias("in_tries"),
-    ).where((F.col("turn") >= 0) & (F.col("kind") != "loop"))
-
-    def nearest(level: str, condition: Column, value: Column) -> Column:
-        nest = Window.partitionBy("file_id", level).orderBy("at")
-        frame = nest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return F.last(F.when(condition & (F.col("turn") == 1), value), ignorenulls=True).over(frame)
-
-    name = F.struct(F.col("name_pos").alias("pos"), F.col("name_end").alias("end"))
+    spans = ", ".join(f"'{kind}'" for kind in SPANS)
+    so_far = "rows between unbounded preceding and current row)"
+    name = "struct(name_pos as pos, name_end as end)"
+
+    def opened(condition: str) -> str:
+        return f"sum(if({condition}, turn, 0)) over (partition by file_id order by at {so_far}"
+
+    def nearest(level: str, condition: str, value: str) -> str:
+        return (f"last(if({condition} and turn = 1, {value}, null), true)"
+                f" over (partition by file_id, {level} order by at {so_far}")
+
+    is_try = "kind in ('try', 'resources')"
     return (
-        rows.withColumn("method_at", nearest("in_methods", F.col("kind") == "method", name))
-        .withColumn("class_at", nearest("in_classes", F.col("kind") == "class", name))
-        .withColumn("try_pos", nearest("in_tries", is_try, F.col("owner")))
-        .withColumn("in_loop", F.coalesce("looped", F.lit(False)) | (F.col("in_loops") > 0))
-        .where(F.col("kind") != "try")
-        .drop("looped", "at", "turn", "in_methods", "in_classes", "in_loops", "in_tries")
+        sites.selectExpr(
+            "*", f"inline(if(kind in ({spans}), array(struct(pos as at, 1 as turn), struct(end_pos as at, -1 as turn)),"
+            " array(struct(pos as at, 0 as turn))))")
+        .selectExpr(
+            "*", opened("kind = 'method'") + " as in_methods", opened("kind = 'class'") + " as in_classes",
+            opened("kind = 'loop'") + " as in_loops", opened(is_try) + " as in_tries")
+        .where("turn >= 0 and kind != 'loop'")
+        .selectExpr(
+            "*", "coalesce(looped, false) or in_loops > 0 as in_loop",
+            nearest("in_methods", "kind = 'method'", name) + " as method_at",
+            nearest("in_classes", "kind = 'class'", name) + " as class_at",
+            nearest("in_tries", is_try, "owner") + " as try_pos")
+        .where("kind != 'try'")
     )
 
 
