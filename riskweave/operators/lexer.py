@@ -83,8 +83,10 @@ def spread_files(files: DataFrame) -> DataFrame:
 
     Moving the text once is several times cheaper than moving its tokens; all
     later windows, groupings and the join back to the text keep this layout.
+    The null test is spelled out so that both readers of the exchange, tokens
+    and text, have the same plan and share it.
     """
-    return files.select("file_id", "src").repartition("file_id")
+    return files.select("file_id", "src").where("file_id is not null").repartition("file_id")
 
 
 def cut(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ and one explode; the sites are neither scanned again nor shuffled per rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
@@ -15,8 +15,18 @@ from riskweave.functions.texts import RULE_TEXTS
 from riskweave.operators.catalog import catalog_lookup
 
 
-def rules() -> dict[str, tuple[str, Column]]:
-    """Rule name -> (weakness type, condition), in report order."""
+# report order; a type may be found by more than one rule
+RULE_ORDER = {
+    "rule_sql_inline": "SQL_INJECTION", "rule_sql_variable": "SQL_INJECTION",
+    "rule_hardcoded_secret": "HARDCODED_SECRET", "rule_weak_crypto": "WEAK_CRYPTOGRAPHY",
+    "rule_command_exec": "COMMAND_INJECTION", "rule_command_builder": "COMMAND_INJECTION",
+    "rule_path_traversal": "PATH_TRAVERSAL", "rule_empty_catch": "EMPTY_CATCH_BLOCK",
+    "rule_concat_in_loop": "STRING_CONCAT_IN_LOOP", "rule_resource_leak": "RESOURCE_LEAK",
+}
+
+
+def rules() -> dict[str, Column]:
+    """Rule name -> condition on a site."""
     c = F.col
     kind, name = c("kind"), c("name")
     call = (kind == "call") & ~c("is_new")
@@ -33,31 +43,31 @@ def rules() -> dict[str, tuple[str, Column]]:
         weak = weak | algorithm.startswith(prefix)
     managed = F.array_contains(c("managed_types"), name)
     return {
-        "rule_sql_inline": ("SQL_INJECTION", call & name.isin(K.SQL_CALLS) & c("sql_arg")),
-        "rule_sql_variable": ("SQL_INJECTION", (kind == "init") & sql_init),
-        "rule_hardcoded_secret": ("HARDCODED_SECRET", (kind == "init") & value.isNotNull() & secret),
-        "rule_weak_crypto": ("WEAK_CRYPTOGRAPHY",
-                             call & (name == "getInstance") & contains_any(scope, K.CRYPTO_SCOPES) & weak),
-        "rule_command_exec": ("COMMAND_INJECTION", call & (name == "exec") & c("has_plus")),
-        "rule_command_builder": ("COMMAND_INJECTION", creation & (name == "ProcessBuilder") & c("has_plus")),
-        "rule_path_traversal": ("PATH_TRAVERSAL", creation & name.isin(K.FILE_TYPES) & c("has_plus")),
-        "rule_empty_catch": ("EMPTY_CATCH_BLOCK", kind == "catch"),
-        "rule_concat_in_loop": ("STRING_CONCAT_IN_LOOP", (kind == "append") & c("in_loop")),
-        "rule_resource_leak": ("RESOURCE_LEAK", creation & name.isin(K.CLOSEABLE_TYPES) & ~managed),
+        "rule_sql_inline": call & name.isin(K.SQL_CALLS) & c("sql_arg"),
+        "rule_sql_variable": (kind == "init") & sql_init,
+        "rule_hardcoded_secret": (kind == "init") & value.isNotNull() & secret,
+        "rule_weak_crypto":
+            call & (name == "getInstance") & contains_any(scope, K.CRYPTO_SCOPES) & weak,
+        "rule_command_exec": call & (name == "exec") & c("has_plus"),
+        "rule_command_builder": creation & (name == "ProcessBuilder") & c("has_plus"),
+        "rule_path_traversal": creation & name.isin(K.FILE_TYPES) & c("has_plus"),
+        "rule_empty_catch": kind == "catch",
+        "rule_concat_in_loop": (kind == "append") & c("in_loop"),
+        "rule_resource_leak": creation & name.isin(K.CLOSEABLE_TYPES) & ~managed,
     }
 
 
-def rule_types(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [(name, kind) for name, (kind, _) in rules().items()], "rule string, vulnerability_type string")
+def rule_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULE_ORDER.items()), "rule string, vulnerability_type string")
 
 
 def rule_hits(sites: DataFrame, only: str | None = None) -> DataFrame:
     """Raw hits: (file_id, rule_seq, rule, vulnerability_type, pos, end_pos, line, ...)."""
+    conditions = rules()
     picked = [
-        F.when(condition, F.struct(F.lit(seq).alias("rule_seq"), F.lit(rule).alias("rule"),
-                                   F.lit(kind).alias("vulnerability_type")))
-        for seq, (rule, (kind, condition)) in enumerate(rules().items(), 1)
+        F.when(conditions[rule], F.struct(F.lit(seq).alias("rule_seq"), F.lit(rule).alias("rule"),
+                                          F.lit(kind).alias("vulnerability_type")))
+        for seq, (rule, kind) in enumerate(RULE_ORDER.items(), 1)
         if only in (None, rule)
     ]
     return (

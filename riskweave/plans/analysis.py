@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import merge, scoring, summary
@@ -25,37 +25,43 @@ class Analysis:
     records: DataFrame
 
 
+def _raw(files: DataFrame) -> str:
+    """The column with the file as it was received: bytes where there are any."""
+    return "content" if "content" in files.columns else "src"
+
+
 def stored_sites(files: DataFrame) -> DataFrame:
     """The sites of all files, computed once.
 
-    Everything after this stage works on a few rows per file instead of on
-    tokens.  Code is kept up to the length that is scored.
+    Everything after this stage works on a few rows per file instead of on tokens.
     """
-    sites = code_sites(files.select("file_id", "src"))
-    return staged(sites)
+    return staged(code_sites(files.select("file_id", "src")))
 
 
-def analyse(files: DataFrame, scores: DataFrame | None = None) -> Analysis:
+def analyse(files: DataFrame, scores: DataFrame | None = None, analysed_at: Column | None = None) -> Analysis:
     """``files``: file_id, file_name, src.  ``scores``: optional external score table.
 
     Without ``scores`` the signatures score every snippet; an empty score table
-    stands for a scorer that was not reachable.
+    stands for a scorer that was not reachable.  ``analysed_at`` stamps the records.
     """
     sites = stored_sites(files)
     static = static_findings(sites)
     methods = method_snippets(sites)
     scored = scoring.scored_snippets(methods) if scores is None else scoring.attach_scores(methods, scores)
-    findings = merge.merged_findings(static, scored)
 
     names = files.select("file_id", "file_name")
+    findings = merge.merged_findings(static, scored).join(names, "file_id")
     intact = sites.where(F.col("kind") == "eof").select("file_id")
-    described = names.join(checksum_size(files), "file_id").join(intact, "file_id", "left_semi")
+    described = names.join(checksum_size(files, _raw(files)), "file_id").join(intact, "file_id", "left_semi")
     counts = methods.groupBy("file_id").agg(F.count("*").cast("int").alias("methods_analysed"))
     records = summary.analysis_records(described, findings, scored, counts)
+    if analysed_at is not None:
+        records = records.withColumn("analysed_at", analysed_at.cast("timestamp_ntz"))
     return Analysis(static, methods, scored, findings, records)
 
 
-def analyse_uploads(files: DataFrame, scores: DataFrame | None = None) -> tuple[Analysis, DataFrame]:
+def analyse_uploads(files: DataFrame, scores: DataFrame | None = None,
+                    analysed_at: Column | None = None) -> tuple[Analysis, DataFrame]:
     """Gates first: (analysis of the accepted files, rejected files with their reason)."""
-    accepted, rejected, _ = quarantine_split(files)
-    return analyse(accepted, scores), rejected
+    accepted, rejected, _ = quarantine_split(files, content=_raw(files))
+    return analyse(accepted, scores, analysed_at), rejected
