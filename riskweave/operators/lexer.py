@@ -42,8 +42,8 @@ TOKEN_PATTERN = "|".join([
 ])
 
 
-def token_kind(tok: Column) -> Column:
-    first = F.substring(tok, 1, 1)
+def token_kind(tok: Column, first: Column) -> Column:
+    """Kind of a token; ``first`` is its first character, cut once."""
     long = F.length(tok) > 1
     letter = first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$")
     return (
@@ -94,7 +94,8 @@ def cut(files: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all(F.coalesce(F.col("src"), F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
     return (
         files.select("file_id", F.posexplode(F.concat(pieces, F.array(F.lit("")))).alias("pos", "tok"))
-        .withColumn("kind", token_kind(F.col("tok")))
+        .select("file_id", "pos", "tok", F.substring("tok", 1, 1).alias("first"))
+        .select("file_id", "pos", "tok", token_kind(F.col("tok"), F.col("first")).alias("kind"))
     )
 
 

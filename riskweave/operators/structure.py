@@ -57,7 +57,7 @@ SITE_FIELDS = {
     "c1": "int", "name_pos": "int", "name_end": "int", "is_new": "boolean", "value": "string",
     "has_plus": "boolean", "breaks_line": "boolean", "looped": "boolean", "owner": "int", "reason": "string",
 }
-KIND_CODES = {"call": 1, "arg": 1, "eof": 2, "problem": 3, "init": 4, "catch": 5, "append": 6,
+KIND_CODES = {"call": 1, "arg": 12, "eof": 2, "problem": 3, "init": 4, "catch": 5, "append": 6,
               "method": 7, "class": 8, "loop": 9, "try": 10, "resources": 11}
 SPANS = ["method", "class", "loop", "try", "resources"]
 
@@ -176,18 +176,17 @@ def _remembered(rows: DataFrame) -> DataFrame:
     )
 
 
-def _site(kind: str, condition: str, start: str, end: str | None = None, end_c1: str | None = None,
-          **fields: str) -> str:
-    """SQL text of one possible site; ``start`` and ``end`` are places of tokens.
+def _site(condition: str, start: str, end: str | None = None, end_c1: str | None = None,
+          **fields: str) -> tuple[str, dict[str, str]]:
+    """SQL text of one kind of site: when a row is one, and its columns.
 
-    A closing bracket is one character, so it also is the last character.
+    ``start`` and ``end`` are places of tokens; a closing bracket is one
+    character, so it also is the last character.
     """
-    given = {"kind": f"'{kind}'", "key": f"{_OFFSET.format('place')} * 16L + {KIND_CODES[kind]}",
-             "pos": _OFFSET.format(start), "line": _LINE.format(start), **fields}
+    given = {"pos": _OFFSET.format(start), "line": _LINE.format(start), **fields}
     if end:
         given |= {"end_pos": _OFFSET.format(end), "end_line": _LINE.format(end), "c1": end_c1 or _OFFSET.format(end)}
-    columns = ", ".join(f"cast({given.get(name, 'null')} as {ddl}) as {name}" for name, ddl in SITE_FIELDS.items())
-    return f"if({condition}, struct({columns}), null)"
+    return condition, given
 
 
 def _sites(rows: DataFrame) -> DataFrame:
@@ -214,30 +213,46 @@ def _sites(rows: DataFrame) -> DataFrame:
     )
     watched = ", ".join(f"'{name}'" for name in WATCHED_NAMES)
     argument = f"{_is('k', END, COMMA)} and l_group = l_paren_group and (arg_plus or arg_string)"
-    sites = [
-        _site("eof", f"k = {EOF}", "place"),
-        _site("problem", "reason is not null", "place", reason="reason"),
-        _site("call", f"k = {LPAREN} and k1 = {ID} and tok1 in ({watched})", "l_chain", "call_end",
-              is_new="creation", owner=at("place"), name_pos=at("before1"), name_end=at("place")),
-        _site("arg", argument, "(l_start + shiftleft(1L, 31))", c1="tail_c1", has_plus="arg_plus",
-              key=f"{at('l_group')} * 16L + {KIND_CODES['arg']}", value="if(arg_string, literal, null)",
-              breaks_line="tail_broken > l_start_broken"),
-        _site("init", "is_separator and eq > l_separator and (init_string or init_plus)", "eq_name",
-              "before1", "tail_c1", has_plus="init_plus", value="if(init_string, literal, null)",
-              name_pos=at("eq_name"), name_end=at("eq"), breaks_line="tail_broken > l_eq_broken"),
-        _site("catch", f"k = {LBRACE} and k1 = {RPAREN} and k2 = {LPAREN} and k3 = {CATCH} and after_nth = nth + 1",
-              "before3", "after1"),
-        _site("append", f"k = {PLUS_ASSIGN} and value_end.quoted > quoted", "l_chain",
-              "value_end.tail", "value_end.c1", looped="in_loop"),
-        _site("method", f"k = {LBRACE} and l_header > l_boundary", "l_first", "after1",
-              name_pos=at("l_header_name"), name_end=at("l_header")),
-        _site("class", f"k = {LBRACE} and l_klass > l_boundary", "place", "after1",
-              name_pos=at("l_klass_name"), name_end=at("place")),
-        _site("loop", "is_opening and in_loop", "place", "after1"),
-        _site("try", "is_opening and in_try and not holds_resources", "place", "after1", owner=at("l_try_in")),
-        _site("resources", "is_opening and in_try and holds_resources", "place", "after1", owner=at("l_try_in")),
-    ]
-    return rows.selectExpr("file_id", f"inline(array_compact(array({', '.join(sites)})))")
+    sites = {
+        "eof": _site(f"k = {EOF}", "place"),
+        "problem": _site("reason is not null", "place", reason="reason"),
+        "call": _site(f"k = {LPAREN} and k1 = {ID} and tok1 in ({watched})", "l_chain", "call_end",
+                      is_new="creation", owner=at("place"), name_pos=at("before1"), name_end=at("place")),
+        "arg": _site(argument, "(l_start + shiftleft(1L, 31))", c1="tail_c1", has_plus="arg_plus",
+                     key=f"{at('l_group')} * 16L + {KIND_CODES['call']}", value="if(arg_string, literal, null)",
+                     breaks_line="tail_broken > l_start_broken"),
+        "init": _site("is_separator and eq > l_separator and (init_string or init_plus)", "eq_name",
+                      "before1", "tail_c1", has_plus="init_plus", value="if(init_string, literal, null)",
+                      name_pos=at("eq_name"), name_end=at("eq"), breaks_line="tail_broken > l_eq_broken"),
+        "catch": _site(f"k = {LBRACE} and k1 = {RPAREN} and k2 = {LPAREN} and k3 = {CATCH} and after_nth = nth + 1",
+                       "before3", "after1"),
+        "append": _site(f"k = {PLUS_ASSIGN} and value_end.quoted > quoted", "l_chain",
+                        "value_end.tail", "value_end.c1", looped="in_loop"),
+        "method": _site(f"k = {LBRACE} and l_header > l_boundary", "l_first", "after1",
+                        name_pos=at("l_header_name"), name_end=at("l_header")),
+        "class": _site(f"k = {LBRACE} and l_klass > l_boundary", "place", "after1",
+                       name_pos=at("l_klass_name"), name_end=at("place")),
+        "loop": _site("is_opening and in_loop", "place", "after1"),
+        "try": _site("is_opening and in_try and not holds_resources", "place", "after1", owner=at("l_try_in")),
+        "resources": _site("is_opening and in_try and holds_resources", "place", "after1", owner=at("l_try_in")),
+    }
+    # only these classes can be a site; the test sits inside the generator because a
+    # filter on k would be carried through all the expressions that use k
+    possible = _is("k", *_OPENING, *_CLOSING, SEMICOLON, COMMA, END, PLUS_ASSIGN, EOF, BAD)
+    codes = ", ".join(f"if({condition}, {KIND_CODES[kind]}, null)" for kind, (condition, _) in sites.items())
+
+    def column(name: str, ddl: str) -> str:
+        own = {"kind": lambda kind: f"'{kind}'", "key": lambda kind: f"{at('place')} * 16L + {KIND_CODES[kind]}"}
+        default = own.get(name, lambda kind: None)
+        cases = {kind: fields.get(name, default(kind)) for kind, (_, fields) in sites.items()}
+        whens = " ".join(f"when {KIND_CODES[kind]} then {value}" for kind, value in cases.items() if value)
+        return f"cast(case code {whens} end as {ddl}) as {name}"
+
+    return (
+        rows.selectExpr("*", f"explode(if({possible}, array({codes}), null)) as code")
+        .where("code is not null")
+        .selectExpr("file_id", *[column(name, ddl) for name, ddl in SITE_FIELDS.items()])
+    )
 
 
 def _with_arguments(sites: DataFrame) -> DataFrame:
