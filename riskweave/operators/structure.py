@@ -141,7 +141,8 @@ def _flags() -> dict[str, str]:
         "header": f"k = {LPAREN} and {name1} and {after_type} and n1 = {RPAREN} and {_is('n2', LBRACE, THROWS)}",
         "klass": f"{_is('k', CLASS, INTERFACE)} and not {_is('k1', DOT, AT)} and {_is('n1', ID, RECORD)}",
         "loop_in": f"{_is('k', FOR, WHILE)} and not {do_while}",
-        "loop_out": f"{_is('k', BEGIN, SEMICOLON)} or (k = {RBRACE} and ({statement_end} or {loop_body_end}))",
+        "loop_out": (f"k = {BEGIN} or (k = {SEMICOLON} and n1 != {ELSE})"
+                     f" or (k = {RBRACE} and ({statement_end} or {loop_body_end}))"),
         "try_in": f"k = {TRY}",
         "try_out": f"k = {BEGIN} or (k = {RBRACE} and not {_is('n1', CATCH, FINALLY)})",
         "newly": f"k = {NEW}",
