@@ -26,14 +26,21 @@ def reupload_groups(files: DataFrame, content: str = "src") -> DataFrame:
 def reupload_dedup(files: DataFrame, content: str = "src", hot_copies: int = HOT_COPIES) -> DataFrame:
     """(file_id, checksum_sha256, n_copies, first_file, is_reupload) of every file.
 
-    Files of the few very frequent checksums get their group by broadcast and
-    stay where they are; all others meet their group in an ordinary join.
+    Files of the few very frequent checksums get their group by broadcast; in
+    the join with all other groups they carry a key of their own, which matches
+    nothing and spreads them over the tasks.
     """
     sums = checksum_size(files, content).select("file_id", "checksum_sha256")
     groups = reupload_groups(files, content)
-    hot = F.broadcast(groups.where(F.col("n_copies") > hot_copies))
-    cold = groups.where(F.col("n_copies") <= hot_copies)
-    of_hot = sums.join(hot, "checksum_sha256")
-    of_cold = sums.join(F.broadcast(hot.select("checksum_sha256")), "checksum_sha256", "left_anti").join(
-        cold, "checksum_sha256")
-    return of_hot.unionByName(of_cold).withColumn("is_reupload", F.col("file_id") != F.col("first_file"))
+    frequent = F.col("n_copies") > hot_copies
+    hot = groups.where(frequent).select(
+        "checksum_sha256", F.col("n_copies").alias("hot_copies"), F.col("first_file").alias("hot_first"))
+    cold = groups.where(~frequent).withColumnRenamed("checksum_sha256", "cold_key")
+    rows = sums.join(F.broadcast(hot), "checksum_sha256", "left").withColumn(
+        "key", F.when(F.col("hot_copies").isNull(), F.col("checksum_sha256")).otherwise(
+            F.concat(F.lit("file "), F.col("file_id").cast("string"))))
+    return rows.join(cold, F.col("key") == F.col("cold_key"), "left").select(
+        "file_id", "checksum_sha256",
+        F.coalesce("hot_copies", "n_copies").alias("n_copies"),
+        F.coalesce("hot_first", "first_file").alias("first_file"),
+    ).withColumn("is_reupload", F.col("file_id") != F.col("first_file"))

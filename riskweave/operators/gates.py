@@ -57,9 +57,9 @@ def quarantine_split(files: DataFrame, max_bytes: int = K.MAX_FILE_BYTES,
     return accepted, rejected, reasons
 
 
-def checksum_size(files: DataFrame, content: str = "src") -> DataFrame:
-    """(file_id, checksum_sha256, file_size_bytes) of the file's bytes."""
+def checksum_size(files: DataFrame, content: str = "src", keep: list[str] | None = None) -> DataFrame:
+    """(file_id, checksum_sha256, file_size_bytes) of the file's bytes, and the columns to keep."""
     data = F.col(content).cast("binary")
     return files.select(
-        "file_id", F.sha2(data, 256).alias("checksum_sha256"),
+        "file_id", *(keep or []), F.sha2(data, 256).alias("checksum_sha256"),
         F.octet_length(data).cast("int").alias("file_size_bytes"))

@@ -49,11 +49,11 @@ def anchor_similarity(hits: DataFrame, vectors: DataFrame, anchors: DataFrame, k
     """Cosine between the vector of a snippet and the anchor vector of the matched type.
 
     ``vectors``: key columns + ``vector``.  ``anchors``: type column + ``anchor_vector``,
-    one row per signature type, hence small enough to broadcast.
+    one row per type; Spark broadcasts them when their measured size allows it.
     """
     return (
         hits.join(vectors.select(*key_cols, "vector"), key_cols, "left")
-        .join(F.broadcast(anchors.select(type_col, "anchor_vector")), type_col, "left")
+        .join(anchors.select(type_col, "anchor_vector"), type_col, "left")
         .withColumn("similarity", cosine(F.col("vector"), F.col("anchor_vector")))
         .drop("vector", "anchor_vector")
     )

@@ -52,7 +52,7 @@ def analyse(files: DataFrame, scores: DataFrame | None = None, analysed_at: Colu
     names = files.select("file_id", "file_name")
     findings = merge.merged_findings(static, scored).join(names, "file_id")
     intact = sites.where(F.col("kind") == "eof").select("file_id")
-    described = names.join(checksum_size(files, _raw(files)), "file_id").join(intact, "file_id", "left_semi")
+    described = checksum_size(files, _raw(files), keep=["file_name"]).join(intact, "file_id", "left_semi")
     counts = methods.groupBy("file_id").agg(F.count("*").cast("int").alias("methods_analysed"))
     records = summary.analysis_records(described, findings, scored, counts)
     if analysed_at is not None:
