@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import mixing, sharding
+from riskweave.llm import mixing, repetition, secret_scan, sharding, token_counts, token_files
 from riskweave.llm.common import documents
 
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,26 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 @query
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
+
+
+@query
+def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_rows(documents(spark, sf_dir))
+
+
+@query
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir)).drop("n_random")
