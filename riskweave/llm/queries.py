@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import mixing, near_dedup, repetition, secret_scan, sharding, token_counts, token_files
+from riskweave.llm import decontamination, mixing, near_dedup, repetition, secret_scan, sharding, token_counts, token_files
 from riskweave.llm.common import documents
 
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+@query
+def op6_latent_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.leaks(documents(spark, sf_dir), benchmark).drop("text_order")
+
+
 @query
 def op7_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
