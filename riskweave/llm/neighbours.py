@@ -43,7 +43,7 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
     """
     names, kinds = rows.columns, dict(rows.dtypes)
     found_names = [part.split()[0] for part in found_schema.split(", ")]
-    edge_schema = ", ".join(f"edge_{n} {kinds[n]}" for n in names)
+    edge_schema = ", ".join(f"row_{n} {kinds[n]}" for n in names)
     schema = f"{found_schema}, {edge_schema}, edge_part int, edge_place long, edge_last boolean"
     key = order[0]
 
@@ -73,7 +73,7 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
 
     def edges(table: pa.Table, part: int, first: int, last: bool) -> pa.Table:
         n = table.num_rows
-        table = table.rename_columns([f"edge_{c}" for c in table.column_names])
+        table = table.rename_columns([f"row_{c}" for c in table.column_names])
         return (
             table.append_column("edge_part", pa.array([part] * n, pa.int32()))
             .append_column("edge_place", pa.array(np.arange(first, first + n), pa.int64()))
@@ -81,7 +81,7 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
         )
 
     def output_schema(found: pa.Schema, fresh: pa.Schema) -> pa.Schema:
-        fields = [pa.field(f.name, f.type) for f in found] + [pa.field(f"edge_{f.name}", f.type) for f in fresh]
+        fields = [pa.field(f.name, f.type) for f in found] + [pa.field(f"row_{f.name}", f.type) for f in fresh]
         return pa.schema([*fields, ("edge_part", pa.int32()), ("edge_place", pa.int64()), ("edge_last", pa.bool_())])
 
     def padded(table: pa.Table, target: pa.Schema) -> list[pa.RecordBatch]:
@@ -104,13 +104,13 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
         rank, part, row = (frame[c].to_numpy() for c in ("rank", "edge_part", "row"))
         early, late = pairs_back(np.zeros(len(frame)), reach)
         close = (rank[late] - rank[early] <= reach) & (part[late] != part[early])
-        table = batch.select([f"edge_{n}" for n in names]).rename_columns(names)
+        table = batch.select([f"row_{n}" for n in names]).rename_columns(names)
         return compare(table, row[early[close]], row[late[close]])
 
     # range borders come from a sample of whole sort keys, so frequent keys are cut too
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     result = stored(ranged.mapInArrow(scan, schema), purpose)
     borders = result.filter("edge_part IS NOT NULL")
-    shared = borders.groupBy(f"edge_{key}").agg(F.min("edge_part").alias("_a"), F.max("edge_part").alias("_b")).filter("_a < _b")
-    across = borders.drop(*found_names).join(shared.drop("_a", "_b"), f"edge_{key}").groupBy(f"edge_{key}").applyInArrow(at_borders, found_schema)
+    shared = borders.groupBy(f"row_{key}").agg(F.min("edge_part").alias("_a"), F.max("edge_part").alias("_b")).filter("_a < _b")
+    across = borders.drop(*found_names).join(shared.drop("_a", "_b"), f"row_{key}").groupBy(f"row_{key}").applyInArrow(at_borders, found_schema)
     return result.filter("edge_part IS NULL").select(*found_names).unionByName(across)

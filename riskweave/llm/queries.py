@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import decontamination, mixing, near_dedup, repetition, secret_scan, sharding, token_counts, token_files
+from riskweave.llm import decontamination, mixing, near_dedup, passage_dedup, repetition, secret_scan, sharding, token_counts, token_files
 from riskweave.llm.common import documents
 
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir)).drop("spans")
 
 
+@query
+def op4_sparse_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(documents(spark, sf_dir)).drop("text_order")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
