@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, mixing, near_dedup, passage_dedup, repetition, secret_scan, sharding, token_counts, token_files
+from riskweave.llm import decontamination, line_dedup, mixing, near_dedup, passage_dedup, repetition, secret_scan, sharding, token_counts, token_files
 from riskweave.llm.common import documents
 
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,15 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_aligned_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.array_join(F.transform("blocks", lambda b: F.concat_ws(":", b["start"], b["until"])), ",")
+    return left.select(
+        "doc_id", "n_lines", "n_deleted", F.coalesce(spans, F.lit("")).alias("blocks"), "first_from", F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 @query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
