@@ -23,7 +23,7 @@ of documents) stands in one window, so sources must number in the thousands at m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import WORD, fine_bucket, running_start, stored, whole_text
@@ -35,12 +35,16 @@ SHARD_BLOCKS = 65_536
 SEED = "mix-1"
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Id, source, words and seeded order of each document."""
-    return docs.select(
-        "doc_id", "source", F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
+def sized_columns(seed: str) -> list[Column]:
+    """Id, source, words and seeded order of a document."""
+    return [
+        F.col("doc_id"), F.col("source"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("order_key"),
-    )
+    ]
+
+
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    return docs.select(*sized_columns(seed))
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -104,27 +108,46 @@ def shard_quotas(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFr
     return awarded.select("source_rank", "shard", (F.col("_until") - earlier).alias("quota"), earlier.alias("first_block"))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
-    block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: str = SEED,
-) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted."""
-    rows = stored(sized(docs, seed), "mix-rows")
+def mix_plan(rows: DataFrame, weights: tuple[int, ...], max_repeats: int, block_words: int, shard_blocks: int) -> DataFrame:
+    """Per source: its target, the blocks of all shards together, and the words that they take."""
     sources = with_block(source_targets(rows, weights, max_repeats), block_words)
     blocks = shard_quotas(sources, shard_blocks).groupBy("source_rank").agg(F.sum("quota").alias("source_blocks"))
-    plan = stored(
+    return stored(
         sources.join(blocks, "source_rank", "left").withColumn("source_blocks", F.coalesce("source_blocks", F.lit(0).cast("long")))
         .withColumn("source_taken", F.least(F.col("source_blocks") * F.col("block_words"), max_repeats * F.col("source_size")))
         .withColumn("_buckets", F.greatest(F.lit(1), F.floor(F.sqrt("documents")))).withColumnRenamed("source", "_source"),
         "mix-plan",
     )
+
+
+def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the words that the mix takes of each row."""
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("_bucket", fine_bucket(F.col("order_key"), F.col("_buckets")))
     placed = running_start(placed, "source_rank", "_bucket", ["order_key", "size"], F.col("size"), "_start")
-    size = F.col("size")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("source_taken") / F.col("source_size"))).otherwise(0)
     left = F.col("source_taken") - passes * F.col("source_size")
-    taken = passes * size + F.greatest(F.lit(0), F.least(size, left - F.col("_start")))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source_blocks", "block_words",
-    )
+    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_start")))
+    return placed.withColumn("taken", taken.cast("long"))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
+    block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: str = SEED,
+) -> DataFrame:
+    """How many words of each document the mix takes, repeats counted."""
+    rows = stored(sized(docs, seed), "mix-rows")
+    plan = mix_plan(rows, weights, max_repeats, block_words, shard_blocks)
+    return taken_words(rows, plan).select("doc_id", "size", "source_size", "target", "taken", "source_blocks", "block_words")
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
+    block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: str = SEED,
+) -> DataFrame:
+    """The documents of the mix, each as many times as it is taken, rounded to whole texts."""
+    plan = mix_plan(stored(sized(docs, seed), "mix-rows"), weights, max_repeats, block_words, shard_blocks)
+    rows = docs.select(F.struct("*").alias("_row"), *sized_columns(seed))
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = taken_words(rows, plan).filter("size > 0").select(F.explode(F.array_repeat("_row", copies)).alias("_row"))
+    return taken.select("_row.*")

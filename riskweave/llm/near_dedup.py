@@ -212,7 +212,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, min_percent: in
     roots = components(links, "near-stars")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rooted.join(least, "root").select("node", "component_id")
-    full = filled.select("doc_id", "n_shingles", "node").join(found, "node").select("doc_id", "n_shingles", "component_id")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = rooted.join(least, "root").select("node", "root", "component_id")
+    columns = ["doc_id", "text_order", "n_shingles", "root", "component_id"]
+    full = filled.select("doc_id", "text_order", "n_shingles", "node").join(found, "node").select(*columns)
+    empty = rows.filter("n_shingles = 0").withColumn("root", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")).select(*columns)
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
+    """One document of each component, and all documents without words.
+
+    The one that stays has the component's least id; of rows that share that id and
+    the component, the one with the least text hash; of equal rows, any.
+    """
+    found = near_duplicates(docs, **options).withColumn("_no_id", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_no_id", "_id", "text_order")).alias("first"))
+    keep = first.select("first._no_id", "first._id", F.col("first.text_order").alias("_order"), F.lit(False).alias("_empty"))
+    no_words = found.filter("root IS NULL").select("_no_id", "_id", F.col("text_order").alias("_order"), F.lit(True).alias("_empty")).distinct()
+    keyed = docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_order": F.xxhash64("text")})
+    key = ["_no_id", "_id", "_order"]
+    # repeated rows of a document without words all stay
+    joined = keyed.join(keep.unionByName(no_words), key).withColumn("_copy", F.when(F.col("_empty"), F.monotonically_increasing_id()))
+    return joined.dropDuplicates([*key, "_copy"]).select(*docs.columns)

@@ -175,3 +175,15 @@ def repetition(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b].cast(pa.int64())} | columns)
 
     return docs.select("doc_id", "text").mapInArrow(judge, SCHEMA)
+
+
+def without_repetitive(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, as they are."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch)
+            kept = [judged(texts[a:b])["kept"] for a, b in runs([len(t) for t in texts], ARRAY_BYTES)]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else [], pa.bool_()))
+
+    return docs.mapInArrow(pick, docs.schema)
