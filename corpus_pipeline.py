@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding."""
+"""A corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
+
+Each stage takes the session, the documents that its predecessor left, and the folder of
+the tables. Its rows are written to the shared folder and read again by the next one, so
+a lost executor never costs more than the stage at hand. All stages but the last return
+the columns of ``documents``; they cope with null values, empty and very long texts,
+repeated rows, empty tables and further columns as their operators state.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +13,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import sharding
+from riskweave.llm import decontamination, mixing, near_dedup, repetition, sharding
 from riskweave.llm.common import documents, stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with enough words and little repetition."""
+    return repetition.without_repetitive(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.without_near_duplicates(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for each document that is left."""
+    """A shard and a slot for each document of the mix."""
     return sharding.shard_documents(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = [("sharding", shards)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing", mix),
+    ("sharding", shards),
+]
 
+#: Confirmed similarity and latent retrieval have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again by the next."""
+    """All stages over ``documents``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
