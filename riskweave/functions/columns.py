@@ -56,9 +56,13 @@ def has_finding(vulnerability_type: Column) -> Column:
     return F.coalesce(~blank & (F.upper(vulnerability_type) != "NONE"), F.lit(False))
 
 
-def method_hint(code: Column) -> Column:
-    """Comma-joined textual hints of a method, null when there are none."""
-    one_line = ~code.rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")
+def method_hint(code: Column, printed: bool = False) -> Column:
+    """Comma-joined textual hints of a method, null when there are none.
+
+    The hint on SQL asks for a text of one line. ``printed`` stands for the text as a
+    pretty printer writes it: there a body with a statement has several lines.
+    """
+    one_line = code.rlike(K.EMPTY_BODY) if printed else ~code.rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")
     sql = code.contains("+") & one_line & code.rlike(K.SQL_WORDS)
     secret = code.contains('"') & code.rlike(K.SECRET_WORDS)
     squeezed = F.regexp_replace(code, r"[ \t\n\x0B\f\r]+", "")

@@ -145,3 +145,11 @@ LOOSER_THAN_PLUS = [
     "<", ">", "<=", ">=", "==", "!=", "&&", "||", "&", "|", "^", "?", ":", "->", "instanceof",
     "<<", "=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=",
 ]
+
+# Java source: a body without statements at the end; the last comment and type parameters before the end, with blanks
+EMPTY_BODY = r"\{[ \t\n\x0B\f\r]*\}$"
+METHOD_LEAD = r"(?s)(?:(?:/\*(?:(?!\*/).)*+\*/|//[^\n\r]*)[ \t\n\r\f]*)?(?:<[^;{}/]*>[ \t\n\r\f]*)?$"
+
+# Style classes of the report pages
+SEVERITY_CSS = {"CRITICAL": "sev-critical", "HIGH": "sev-high", "MEDIUM": "sev-medium", "LOW": "sev-low"}
+STATUS_CSS = {"DEGRADED": "status-degraded", "ONLINE": "status-online", "PARTIAL": "status-partial"}

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.gates import checksum_size
+from riskweave.plans.stage import staged
 
-# A checksum with more copies than this is handled apart.  At most
-# n_files / HOT_COPIES checksums can be that frequent, so the table of hot
-# checksums stays below 100 MB for 10**11 files and may be broadcast.
-HOT_COPIES = 100_000
+# Parts into which the files of one checksum are dealt.
+SALTS = 64
 
 
 def reupload_groups(files: DataFrame, content: str = "src") -> DataFrame:
@@ -23,24 +22,17 @@ def reupload_groups(files: DataFrame, content: str = "src") -> DataFrame:
         F.count("*").alias("n_copies"), F.min("file_id").alias("first_file"))
 
 
-def reupload_dedup(files: DataFrame, content: str = "src", hot_copies: int = HOT_COPIES) -> DataFrame:
+def reupload_dedup(files: DataFrame, content: str = "src", salts: int = SALTS) -> DataFrame:
     """(file_id, checksum_sha256, n_copies, first_file, is_reupload) of every file.
 
-    Files of the few very frequent checksums get their group by broadcast; in
-    the join with all other groups they carry a key of their own, which matches
-    nothing and spreads them over the tasks.
+    The content is hashed once and only ids and checksums are stored. Copies are
+    dealt into salted parts, counted per part first, and get the totals through
+    their part: a frequent checksum costs ``salts`` rows and keeps as many tasks busy.
     """
-    sums = checksum_size(files, content).select("file_id", "checksum_sha256")
-    groups = reupload_groups(files, content)
-    frequent = F.col("n_copies") > hot_copies
-    hot = groups.where(frequent).select(
-        "checksum_sha256", F.col("n_copies").alias("hot_copies"), F.col("first_file").alias("hot_first"))
-    cold = groups.where(~frequent).withColumnRenamed("checksum_sha256", "cold_key")
-    rows = sums.join(F.broadcast(hot), "checksum_sha256", "left").withColumn(
-        "key", F.when(F.col("hot_copies").isNull(), F.col("checksum_sha256")).otherwise(
-            F.concat(F.lit("file "), F.col("file_id").cast("string"))))
-    return rows.join(cold, F.col("key") == F.col("cold_key"), "left").select(
-        "file_id", "checksum_sha256",
-        F.coalesce("hot_copies", "n_copies").alias("n_copies"),
-        F.coalesce("hot_first", "first_file").alias("first_file"),
-    ).withColumn("is_reupload", F.col("file_id") != F.col("first_file"))
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(salts))
+    sums = staged(checksum_size(files, content).select("file_id", "checksum_sha256", salt.alias("salt")), "checksums")
+    parts = sums.groupBy("checksum_sha256", "salt").agg(F.count("*").alias("n"), F.min("file_id").alias("first"))
+    totals = parts.groupBy("checksum_sha256").agg(F.sum("n").alias("n_copies"), F.min("first").alias("first_file"))
+    known = parts.select("checksum_sha256", "salt").join(totals, "checksum_sha256")
+    return sums.join(known, ["checksum_sha256", "salt"]).select(
+        "file_id", "checksum_sha256", "n_copies", "first_file", (F.col("file_id") != F.col("first_file")).alias("is_reupload"))

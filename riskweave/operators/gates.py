@@ -41,8 +41,12 @@ def gate_content(files: DataFrame, content: str = "src") -> DataFrame:
 
 
 def gated(files: DataFrame, max_bytes: int = K.MAX_FILE_BYTES, content: str = "src") -> DataFrame:
-    """Both gates, name and size first; adds reject_reason and a safe file name."""
+    """Both gates, name and size first; adds reject_reason and a safe file name.
+
+    A file without id can't be told from others and is rejected as well.
+    """
     reason = F.coalesce(
+        F.when(F.col("file_id").isNull(), "NO_FILE_ID"),
         upload_reason(F.col("file_name"), F.col("size_bytes"), max_bytes), content_reason(F.col(content)))
     return files.withColumn("reject_reason", reason).withColumn("safe_name", sanitise_name(F.col("file_name")))
 

@@ -43,7 +43,7 @@ def nested_findings(findings: DataFrame, key: str = "file_id") -> DataFrame:
     return findings.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("findings"))
 
 
-def record_with_findings(records: DataFrame, findings: DataFrame, record: int | None = None,
+def record_with_findings(records: DataFrame, findings: DataFrame, record: int | str | None = None,
                          key: str = "file_id") -> DataFrame:
     """Records with their nested findings; an unknown id gives no row, a clean file an empty array."""
     if record is not None:
@@ -60,10 +60,10 @@ def latest_run_findings(records: DataFrame, findings: DataFrame, key: str = "rec
 
 
 def severity_css(severity: Column) -> Column:
-    return (
-        F.when(severity == "CRITICAL", "sev-critical").when(severity == "HIGH", "sev-high")
-        .when(severity == "MEDIUM", "sev-medium").otherwise("sev-low")
-    )
+    css = F.when(F.lit(False), "")
+    for band, name in K.SEVERITY_CSS.items():
+        css = css.when(severity == band, name)
+    return css.otherwise(K.SEVERITY_CSS["LOW"])
 
 
 def service_label(reachable: Column, model_loaded: Column) -> Column:
@@ -71,7 +71,8 @@ def service_label(reachable: Column, model_loaded: Column) -> Column:
 
 
 def service_css(reachable: Column, model_loaded: Column) -> Column:
-    return F.when(~reachable, "status-degraded").when(model_loaded, "status-online").otherwise("status-partial")
+    css = K.STATUS_CSS
+    return F.when(~reachable, css["DEGRADED"]).when(model_loaded, css["ONLINE"]).otherwise(css["PARTIAL"])
 
 
 def run_banner(status: Column) -> Column:
@@ -94,6 +95,6 @@ def report_runs(runs: DataFrame, time: str = "analysed_at") -> DataFrame:
         runs.withColumn("when_short", F.date_format(time, "dd MMM HH:mm"))
         .withColumn("when_long", F.date_format(time, "dd MMM yyyy, HH:mm"))
         .withColumn("critical_badge", critical)
-        .withColumn("status_css", F.when(degraded, "status-degraded").otherwise("status-online"))
+        .withColumn("status_css", F.when(degraded, K.STATUS_CSS["DEGRADED"]).otherwise(K.STATUS_CSS["ONLINE"]))
         .withColumn("banner", run_banner(F.col("ai_engine_status")))
     )

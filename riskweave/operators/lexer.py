@@ -14,14 +14,20 @@ _NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*+"
 _GAP = r"[ \t\r\n\f]*+"
 
 
-def _type_arguments(nesting: int) -> str:
-    """``<...>`` holding type names, nested up to the given depth."""
-    inner = f"(?:{_type_arguments(nesting - 1)})?" if nesting > 1 else ""
-    name = rf"[\p{{L}}_$][\p{{L}}\p{{M}}\p{{N}}_$.]*+{inner}(?:\[\])*+"
-    wildcard = rf"\?(?:[ \t\r\n\f]++(?:extends|super)[ \t\r\n\f]++{name})?"
-    parameter = rf"{name}(?:[ \t\r\n\f]++extends[ \t\r\n\f]++{name})?"
-    argument = rf"(?:{wildcard}|{parameter}){_GAP}"
-    return rf"<{_GAP}(?:{argument}(?:,{_GAP}{argument})*+)?>"
+# Levels of nested type arguments; the pattern grows by one copy of itself per level.
+_NESTING = 16
+
+
+def _type_arguments(nesting: int = _NESTING) -> str:
+    """``<...>`` holding type names, bounds, wildcards, annotations and arrays.
+
+    An ampersand joins types behind ``extends`` only; elsewhere it is an operator.
+    """
+    inner = f"(?:{_type_arguments(nesting - 1)})?+" if nesting > 1 else ""
+    name = r"[\p{L}_$][\p{L}\p{M}\p{N}_$.]*+"
+    unit = rf"(?:\?|@{name}|{name}{_GAP}{inner}(?:{_GAP}\[{_GAP}\])*+)"
+    joint = r"(?:,|(?<=extends[ \t\r\n\f]{1,9}[^;(){}=]{1,400})&(?!&))?+"
+    return rf"<{_GAP}(?:{unit}{_GAP}{joint}{_GAP})*+>"
 
 
 TOKEN_PATTERN = "|".join([
@@ -35,7 +41,7 @@ TOKEN_PATTERN = "|".join([
     r"0[xX][0-9A-Fa-f_.]+(?:[pP][+-]?[0-9_]+)?[lLfFdD]?",           # hexadecimal number
     r"0[bB][01_]+[lL]?",                                            # binary number
     r"(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[lLfFdD]?",
-    _type_arguments(3),                                             # type arguments
+    _type_arguments(),                                              # type arguments
     r"\.\.\.|->|::|\+\+|--|<<=|<<|&&|\|\||[-+*/%&|^=!<>]=",         # long operators
     r"[ \t\n\r\f]+",                                                # white space
     r"(?s:.)",                                                      # anything else
@@ -84,7 +90,7 @@ def spread_files(files: DataFrame) -> DataFrame:
     Moving the text once is several times cheaper than moving its tokens; all
     later windows, groupings and the join back to the text keep this layout.
     The null test is spelled out so that both readers of the exchange, tokens
-    and text, have the same plan and share it.
+    and text, have the same plan and share it; the gates reject files without id.
     """
     return files.select("file_id", "src").where("file_id is not null").repartition("file_id")
 

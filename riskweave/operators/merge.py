@@ -60,23 +60,18 @@ def merge_nested_hits(hits: DataFrame) -> DataFrame:
     """Decide for hits without a structural match who is appended and who agrees with whom.
 
     Adds ``is_appended`` and ``absorbed_by`` (method_seq of the appended hit).
-    A file has at most 25 scored snippets, which bounds the lists below.
+    Inner methods come first, so an earlier hit ends no later than this one and
+    lies inside of it exactly if the latest start so far is not before its start.
+    Appended hits lie side by side, in the order of their lines: the first one
+    inside is the first appended one that starts at or behind this start.
     """
-    before = (Window.partitionBy("file_id", "type_key").orderBy("method_seq")
-              .rowsBetween(Window.unboundedPreceding, -1))
-
-    def inside(start: Column) -> Column:
-        return start.between(F.col("start_line"), F.col("end_line"))
-
-    earlier = F.collect_list("start_line").over(before)
-    rows = hits.withColumn("earlier", earlier).withColumn("is_appended", ~F.exists("earlier", inside))
-    appended = F.collect_list(F.when(F.col("is_appended"), F.struct("method_seq", "start_line"))).over(before)
-    around = F.filter(F.col("appended"), lambda a: inside(a["start_line"]))
-    return (
-        rows.withColumn("appended", appended)
-        .withColumn("absorbed_by", F.when(~F.col("is_appended"), F.array_min(around)["method_seq"]))
-        .drop("earlier", "appended")
-    )
+    same = Window.partitionBy("file_id", "type_key")
+    before = same.orderBy("method_seq").rowsBetween(Window.unboundedPreceding, -1)
+    behind = same.orderBy("start_line").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    latest = F.coalesce(F.max("start_line").over(before), F.lit(-1))
+    rows = hits.withColumn("is_appended", latest < F.col("start_line"))
+    inside = F.min(F.when(F.col("is_appended"), F.col("method_seq"))).over(behind)
+    return rows.withColumn("absorbed_by", F.when(~F.col("is_appended"), inside))
 
 
 def merge_ai_only(static: DataFrame, hits: DataFrame) -> DataFrame:

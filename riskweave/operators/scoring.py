@@ -94,10 +94,19 @@ def _score_fields(vulnerability_type: Column, severity: Column, confidence: Colu
     ]
 
 
-def scored_snippets(methods: DataFrame) -> DataFrame:
-    """The first 25 snippets of a file with their scores, without vectors.
+def limited(methods: DataFrame, max_snippets: int | None, max_chars: int | None) -> DataFrame:
+    """The snippets that are scored: all of them, whole, unless limits are given."""
+    if max_snippets is not None:
+        methods = snippet_cap(methods, max_n=max_snippets, max_chars=max_chars).drop("snippet_rank")
+    elif max_chars is not None:
+        methods = methods.withColumn("code", F.substring("code", 1, max_chars))
+    return methods
 
-    A projection of the snippets: no exchange beyond the cap itself.  Every hit
+
+def scored_snippets(methods: DataFrame, max_snippets: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Snippets with their scores, without vectors.
+
+    A projection of the snippets: no exchange beyond that of a cap.  Every hit
     starts at the neutral confidence; the hint bonus may raise it.
     """
     hits = F.transform(signature_hits(F.col("code")), lambda h: F.struct(
@@ -106,7 +115,7 @@ def scored_snippets(methods: DataFrame) -> DataFrame:
         (-h["sig_seq"]).alias("earlier"),
         h["vulnerability_type"].alias("vulnerability_type"),
     ))
-    best = snippet_cap(methods).drop("snippet_rank").withColumn("best", F.array_max(hits))
+    best = limited(methods, max_snippets, max_chars).withColumn("best", F.array_max(hits))
     return best.select("*", *_score_fields(
         F.col("best.vulnerability_type"), F.col("best.severity"), F.round("best.confidence", 3), RULE_ONLY,
     )).drop("best")
@@ -117,9 +126,10 @@ def score_methods(methods: DataFrame) -> DataFrame:
     return scored_snippets(methods).select(*SNIPPET_KEY, *SCORE_COLUMNS)
 
 
-def score_with_vectors(methods: DataFrame, vectors: DataFrame, anchors: DataFrame, model: str) -> DataFrame:
+def score_with_vectors(methods: DataFrame, vectors: DataFrame, anchors: DataFrame, model: str,
+                       max_snippets: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Scores whose confidence comes from vector similarity to the anchors."""
-    capped = snippet_cap(methods).drop("snippet_rank")
+    capped = limited(methods, max_snippets, max_chars)
     hits = signature_scan(capped, "code", [*SNIPPET_KEY, "hint"])
     scored = hint_bonus(confidence_map(anchor_similarity(hits, vectors, anchors, SNIPPET_KEY)))
     best = best_match(scored)
@@ -130,9 +140,15 @@ def score_with_vectors(methods: DataFrame, vectors: DataFrame, anchors: DataFram
 
 
 def fallback_fill(methods: DataFrame, scores: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
-    """Attach scores to snippets; a snippet without a score row becomes a fallback row."""
+    """Attach scores to snippets; a snippet without a score row becomes a fallback row.
+
+    Of several score rows of a snippet the severest counts, then the surest, then
+    the last by type name; so a repeated score never repeats a snippet.
+    """
     key_cols = key_cols or SNIPPET_KEY
-    have = scores.select(*key_cols, *SCORE_COLUMNS, F.lit(True).alias("scored"))
+    rank = F.struct("severity_score", "confidence", "vulnerability_type", "model_version", "issue_description")
+    one = scores.groupBy(*key_cols).agg(F.max_by(F.struct(*SCORE_COLUMNS), rank).alias("one"))
+    have = one.select(*key_cols, "one.*", F.lit(True).alias("scored"))
     missing = F.col("scored").isNull()
     defaults = {
         "vulnerability_type": "NONE", "severity_score": 0.0, "issue_description": NO_SCORE_TEXT,
@@ -144,9 +160,9 @@ def fallback_fill(methods: DataFrame, scores: DataFrame, key_cols: list[str] | N
     return filled.drop("scored")
 
 
-def attach_scores(methods: DataFrame, scores: DataFrame) -> DataFrame:
-    """The scorer seam: the first 25 snippets of a file with any score table."""
-    return fallback_fill(snippet_cap(methods).drop("snippet_rank"), scores)
+def attach_scores(methods: DataFrame, scores: DataFrame, max_snippets: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The scorer seam: the snippets of a file with any score table."""
+    return fallback_fill(limited(methods, max_snippets, max_chars), scores)
 
 
 def model_label(scores: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
-from riskweave.functions.columns import literal_array, method_hint, truncate
+from riskweave.functions.columns import literal_array, method_hint
 from riskweave.operators.lexer import bracket_step, cut, line_breaks, spread_files
 
 WATCHED_NAMES = sorted({*K.SQL_CALLS, "exec", "getInstance", "ProcessBuilder", *K.FILE_TYPES, *K.CLOSEABLE_TYPES})
@@ -30,7 +30,7 @@ WATCHED_NAMES = sorted({*K.SQL_CALLS, "exec", "getInstance", "ProcessBuilder", *
 LPAREN, LBRACKET, LBRACE, RPAREN, RBRACKET, RBRACE = 1, 2, 3, 4, 5, 6
 SEMICOLON, COMMA, DOT, COLONS, ASSIGN, PLUS, MINUS, PLUS_ASSIGN, STEP, LOOSER, AT, OTHER = range(7, 19)
 ID, PRIMITIVE, RECORD, STRING, TEXT, CHAR, NUMBER = range(20, 27)
-NEW, FOR, WHILE, DO, TRY, CATCH, FINALLY, ELSE, CLASS, INTERFACE, THROWS, SELF, LITERAL, KEYWORD = range(30, 44)
+NEW, FOR, WHILE, DO, TRY, CATCH, FINALLY, ELSE, CLASS, INTERFACE, THROWS, SELF, LITERAL, KEYWORD, IF = range(30, 45)
 BEGIN, END, EOF, BAD, NOTHING = range(50, 55)
 
 _CLASS_OF_TOKEN = {
@@ -40,7 +40,7 @@ _CLASS_OF_TOKEN = {
     ";": SEMICOLON, ",": COMMA, ".": DOT, "::": COLONS, "=": ASSIGN, "+": PLUS, "-": MINUS, "+=": PLUS_ASSIGN,
     "++": STEP, "--": STEP, "@": AT, "record": RECORD,
     "new": NEW, "for": FOR, "while": WHILE, "do": DO, "try": TRY, "catch": CATCH, "finally": FINALLY,
-    "else": ELSE, "class": CLASS, "interface": INTERFACE, "throws": THROWS, "this": SELF, "super": SELF,
+    "else": ELSE, "if": IF, "class": CLASS, "interface": INTERFACE, "throws": THROWS, "this": SELF, "super": SELF,
     "true": LITERAL, "false": LITERAL, "null": LITERAL,
 }
 _CLASS_OF_KIND = {"word": ID, "string": STRING, "text": TEXT, "char": CHAR, "number": NUMBER, "eof": EOF, "bad": BAD}
@@ -55,7 +55,7 @@ _LINE = "cast({0} & 2147483647 as int)"
 SITE_FIELDS = {
     "kind": "string", "key": "bigint", "pos": "int", "end_pos": "int", "line": "int", "end_line": "int",
     "c1": "int", "name_pos": "int", "name_end": "int", "is_new": "boolean", "value": "string",
-    "has_plus": "boolean", "breaks_line": "boolean", "looped": "boolean", "owner": "int", "reason": "string",
+    "has_plus": "boolean", "breaks_line": "boolean", "looped": "boolean", "owner": "int", "reason": "string", "gap_pos": "int",
 }
 KIND_CODES = {"call": 1, "arg": 12, "eof": 2, "problem": 3, "init": 4, "catch": 5, "append": 6,
               "method": 7, "class": 8, "loop": 9, "try": 10, "resources": 11}
@@ -63,6 +63,7 @@ SPANS = ["method", "class", "loop", "try", "resources"]
 
 _LEVEL = "over (partition by file_id, lvl order by place)"
 _EARLIER = "over (partition by file_id, lvl order by place rows between unbounded preceding and 1 preceding)"
+_UNTIL_HERE = "over (partition by file_id order by pos rows between unbounded preceding and 1 preceding)"
 _SO_FAR = "over (partition by file_id order by pos rows between unbounded preceding and current row)"
 
 
@@ -81,14 +82,17 @@ def _token_class() -> str:
 def _level_rows(files: DataFrame) -> DataFrame:
     """Significant tokens in level order, with their begin and end marks."""
     tok, kind = F.col("tok"), F.col("kind")
-    # a comment, a text block or a block is printed on lines of its own
+    # a comment, a text block or a block is printed on lines of its own; the braces of an
+    # array are not a block's (those inside of them are left to the outer ones)
+    skipped = "kind in ('space', 'comment', 'generic')"
+    before = f"last(if({skipped}, null, if(length(tok) = 1, tok, 'word')), true) {_UNTIL_HERE}"
     tokens = cut(files).select(
         "file_id", "pos", "tok", "kind", line_breaks(tok, kind).alias("breaks"), bracket_step(tok, kind).alias("step"),
     ).selectExpr(
         "file_id", "pos", "breaks", "step", "length(tok) as size",
         "if(kind in ('space', 'comment', 'generic'), null, tok) as tok",  # long comments stop here
         f"if(kind in ('space', 'comment', 'generic'), null, {_token_class()}) as k",
-        "int(kind in ('comment', 'text') or (kind = 'op' and tok = '{')) as breaking",
+        f"int(kind in ('comment', 'text') or (kind = 'op' and tok = '{{' and coalesce({before}, '') not in (']', '=', ',', '{{'))) as breaking",
         "int(kind in ('string', 'text', 'char') and contains(tok, '\"')) as quoting",
     ).selectExpr(
         "file_id", "tok", "k", "step",
@@ -138,10 +142,11 @@ def _flags() -> dict[str, str]:
         "opening": _is("k", *_OPENING),
         "first": _is("k1", NOTHING, BEGIN, SEMICOLON, RBRACE),
         "chain": f"not {linked}",
-        "header": f"k = {LPAREN} and {name1} and {after_type} and n1 = {RPAREN} and {_is('n2', LBRACE, THROWS)}",
+        "header": f"k = {LPAREN} and {name1} and {after_type} and n1 = {RPAREN} and {_is('n2', LBRACE, THROWS, LBRACKET)}",
         "klass": f"{_is('k', CLASS, INTERFACE)} and not {_is('k1', DOT, AT)} and {_is('n1', ID, RECORD)}",
         "loop_in": f"{_is('k', FOR, WHILE)} and not {do_while}",
-        "loop_out": (f"k = {BEGIN} or (k = {SEMICOLON} and n1 != {ELSE})"
+        # an else goes on with the loop only if its body began with an if
+        "loop_out": (f"k = {BEGIN} or (k = {SEMICOLON} and (n1 != {ELSE} or l_if < l_loop_in))"
                      f" or (k = {RBRACE} and ({statement_end} or {loop_body_end}))"),
         "try_in": f"k = {TRY}",
         "try_out": f"k = {BEGIN} or (k = {RBRACE} and not {_is('n1', CATCH, FINALLY)})",
@@ -159,15 +164,16 @@ def _flags() -> dict[str, str]:
 def _remembered(rows: DataFrame) -> DataFrame:
     """Running memories: place of the last boundary, header, operator ... before a row."""
     flags = _flags()
-    rows = rows.selectExpr("*", *[f"({condition}) as is_{name}" for name, condition in flags.items()])
 
     def latest(condition: str, name: str, value: str = "place") -> str:
         return f"coalesce(max(if({condition}, {value}, null)) {_EARLIER}, -1) as {name}"
 
+    rows = rows.selectExpr("*", latest(flags["loop_in"], "l_loop_in"), latest(f"k = {IF}", "l_if"))
+    rows = rows.selectExpr("*", *[f"({condition}) as is_{name}" for name, condition in flags.items()])
     start, equals = "is_separator or is_group", "is_typed_eq or is_next_eq"
     return rows.selectExpr(
         "*",
-        *[latest(f"is_{name}", f"l_{name}") for name in flags],
+        *[latest(f"is_{name}", f"l_{name}") for name in flags if name != "loop_in"],
         latest(start, "l_start"), latest(start, "l_start_broken", "broken"),
         latest(equals, "l_eq_broken", "broken"),
         latest("is_typed_eq", "l_typed_name", "before1"), latest("is_next_eq", "l_next_name", "before1"),
@@ -230,7 +236,7 @@ def _sites(rows: DataFrame) -> DataFrame:
         "append": _site(f"k = {PLUS_ASSIGN} and value_end.quoted > quoted", "l_chain",
                         "value_end.tail", "value_end.c1", looped="in_loop"),
         "method": _site(f"k = {LBRACE} and l_header > l_boundary", "l_first", "after1",
-                        name_pos=at("l_header_name"), name_end=at("l_header")),
+                        name_pos=at("l_header_name"), name_end=at("l_header"), gap_pos=f"{at('l_boundary')} + 1"),
         "class": _site(f"k = {LBRACE} and l_klass > l_boundary", "place", "after1",
                        name_pos=at("l_klass_name"), name_end=at("place")),
         "loop": _site("is_opening and in_loop", "place", "after1"),
@@ -316,12 +322,17 @@ def _with_text(sites: DataFrame, spread: DataFrame) -> DataFrame:
 
     has_code = F.col("kind").isin("call", "init", "catch", "append", "method", "resources")
     has_name = F.col("name_pos").isNotNull()
+    # between the statement before and a method stand blanks, comments and its type parameters;
+    # the last comment is the method's
+    gap = F.substring(src, F.greatest("gap_pos", F.lit(1)), F.col("pos") - F.greatest("gap_pos", F.lit(1)))
+    before = F.when(F.contains(gap, F.lit("/")) | F.contains(gap, F.lit("<")), F.regexp_extract(gap, K.METHOD_LEAD, 0))
+    lead = F.when(F.col("kind") == "method", F.coalesce(before, F.lit(""))).otherwise("")
     sql_arg = F.exists("plus_args", lambda a: ~a["breaks_line"] & F.rlike(
         F.substring(src, a["pos"], a["c1"] - a["pos"] + 1), F.lit(K.SQL_WORDS)))
     return sites.join(spread, "file_id").select(
         "file_id", "kind", "pos", "end_pos", "line", "end_line", "is_new", "value", "breaks_line", "reason",
         "string_arg", "in_loop", "try_pos",
-        F.when(has_code, F.substring(src, F.col("pos"), F.col("c1") - F.col("pos") + 1)).alias("code"),
+        F.when(has_code, F.concat(lead, F.substring(src, F.col("pos"), F.col("c1") - F.col("pos") + 1))).alias("code"),
         F.when(has_name, word(F.col("name_pos"), F.col("name_end"))).alias("name"),
         F.when(F.col("method_at").isNotNull(), word(F.col("method_at.pos"), F.col("method_at.end"))).alias("method_name"),
         F.when(F.col("class_at").isNotNull(), word(F.col("class_at.pos"), F.col("class_at.end"))).alias("class_name"),
@@ -351,17 +362,21 @@ def code_sites(files: DataFrame) -> DataFrame:
     return all_sites(files).where(~F.col("broken"))
 
 
-def structure_quarantine(files: DataFrame) -> DataFrame:
-    """(file_id, line, reason) of the first problem of every broken file."""
-    rows = _remembered(_neighbours(_level_rows(spread_files(files))))
+def first_problems(sites: DataFrame) -> DataFrame:
+    """(file_id, line, reason) of the first problem of every broken file, from the sites of all files."""
     return (
-        _sites(rows).where(F.col("kind") == "problem")
+        sites.where(F.col("kind") == "problem")
         .groupBy("file_id")
         .agg(F.min(F.struct("pos", "line", "reason")).alias("p"))
         .select("file_id", "p.line", "p.reason")
     )
 
 
+def structure_quarantine(files: DataFrame) -> DataFrame:
+    """(file_id, line, reason) of the first problem of every broken file."""
+    return first_problems(_sites(_remembered(_neighbours(_level_rows(spread_files(files))))))
+
+
 def nesting_groups(tokens: DataFrame) -> DataFrame:
     """One row per bracket pair of a token table.
 
@@ -419,7 +434,7 @@ def method_snippets(sites: DataFrame) -> DataFrame:
         "code",
         F.col("line").alias("start_line"),
         "end_line",
-        method_hint(F.col("code")).alias("hint"),
+        method_hint(F.col("code"), printed=True).alias("hint"),
     )
 
 
@@ -432,26 +447,15 @@ def attribute_scope(sites: DataFrame) -> DataFrame:
     )
 
 
-def method_hints(methods: DataFrame, code: str = "code") -> DataFrame:
-    return methods.withColumn("hint", method_hint(F.col(code)))
-
-
 def snippet_cap(
     snippets: DataFrame, file_col: str = "file_id", seq_col: str = "method_seq", text_col: str = "code",
-    max_n: int = K.MAX_SNIPPETS, max_chars: int = K.MAX_SNIPPET_CHARS,
+    max_n: int = K.MAX_SNIPPETS, max_chars: int | None = K.MAX_SNIPPET_CHARS,
 ) -> DataFrame:
-    """The first ``max_n`` snippets of a file, each cut to ``max_chars``.
+    """The first ``max_n`` snippets of a file, each cut to ``max_chars`` (None: whole).
 
     The rank filter is applied per task before the exchange, so a file holding
     a large share of all snippets sends at most ``max_n`` rows per task.
     """
     in_file = Window.partitionBy(file_col).orderBy(seq_col)
-    return (
-        snippets.withColumn("snippet_rank", F.row_number().over(in_file))
-        .where(F.col("snippet_rank") <= max_n)
-        .withColumn(text_col, F.substring(F.col(text_col), 1, max_chars))
-    )
-
-
-def stored_snippet(code: Column) -> Column:
-    return truncate(code)
+    first = snippets.withColumn("snippet_rank", F.row_number().over(in_file)).where(F.col("snippet_rank") <= max_n)
+    return first if max_chars is None else first.withColumn(text_col, F.substring(F.col(text_col), 1, max_chars))

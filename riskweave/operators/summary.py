@@ -63,17 +63,24 @@ def runs_by_status(records: DataFrame, status: str = "ai_engine_status") -> Data
     return records.groupBy(status).agg(F.count("*").alias("n_runs"))
 
 
+def scored_summary(scored: DataFrame) -> DataFrame:
+    """Status and number of scored snippets of the files that have some, in one aggregation."""
+    return scored.groupBy("file_id").agg(
+        F.when(F.every("fallback"), "DEGRADED").otherwise("SUCCESS").alias("ai_engine_status"),
+        F.count("*").cast("int").alias("methods_scored"))
+
+
 def analysis_records(files: DataFrame, findings: DataFrame, scored: DataFrame, method_counts: DataFrame) -> DataFrame:
     """One row per analysed file.
 
     ``files``: file_id, file_name, file_size_bytes, checksum_sha256 of the files
     whose structure holds.  All parts are keyed by file_id, one row per file.
     """
-    zero = ["total_findings", *COUNT_COLUMNS, "risk_score", "methods_analysed"]
+    zero = ["total_findings", *COUNT_COLUMNS, "risk_score", "methods_analysed", "methods_scored"]
     joined = (
         files.join(finding_summary(findings), "file_id", "left")
         .join(method_counts, "file_id", "left")
-        .join(_degraded(scored), "file_id", "left")
+        .join(scored_summary(scored), "file_id", "left")
     )
     return joined.select(
         "file_id", "file_name", "file_size_bytes", "checksum_sha256",

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions import constants as K
+from riskweave.functions.columns import sanitise_name
 from riskweave.operators import merge, scoring, summary
-from riskweave.operators.gates import checksum_size, quarantine_split
+from riskweave.operators.gates import quarantine_split
 from riskweave.operators.rules import static_findings
-from riskweave.operators.structure import code_sites, method_snippets
+from riskweave.operators.structure import all_sites, first_problems, method_snippets
 from riskweave.plans.stage import staged
 
 
 @dataclass
 class Analysis:
-    """Lazy results of one run, all built on one stored stage."""
+    """Results of one run, all built on one stored stage."""
 
     static: DataFrame
     methods: DataFrame
     scored: DataFrame
     findings: DataFrame
     records: DataFrame
+    broken: DataFrame  # files whose structure does not hold: file_id, line, reason
 
 
 def _raw(files: DataFrame) -> str:
@@ -30,38 +34,63 @@ def _raw(files: DataFrame) -> str:
     return "content" if "content" in files.columns else "src"
 
 
-def stored_sites(files: DataFrame) -> DataFrame:
-    """The sites of all files, computed once.
-
-    Everything after this stage works on a few rows per file instead of on tokens.
-    """
-    return staged(code_sites(files.select("file_id", "src")))
+def record_id(run_id: str) -> Column:
+    """One id per run and file."""
+    return F.concat_ws("/", F.lit(run_id), F.col("file_id").cast("string"))
 
 
-def analyse(files: DataFrame, scores: DataFrame | None = None, analysed_at: Column | None = None) -> Analysis:
+def analyse(files: DataFrame, scores: DataFrame | None = None, analysed_at: Column | None = None, run_id: str | None = None,
+            max_snippets: int | None = None, max_chars: int | None = None) -> Analysis:
     """``files``: file_id, file_name, src.  ``scores``: optional external score table.
 
     Without ``scores`` the signatures score every snippet; an empty score table
-    stands for a scorer that was not reachable.  ``analysed_at`` stamps the records.
+    stands for a scorer that was not reachable.  ``analysed_at`` stamps records and
+    findings, ``run_id`` tells runs of the same files apart (one is made up if none is given).
+    All methods are scored, with their whole text, unless ``max_snippets`` per file or
+    ``max_chars`` per snippet are given; records say how many were.
+
+    The sites are computed and stored once, when this is called; everything after works
+    on a few rows per file instead of on tokens.
     """
-    sites = stored_sites(files)
-    static = static_findings(sites)
+    run_id = run_id or uuid.uuid4().hex
+    everything = staged(all_sites(files.select("file_id", "src")), "sites")
+    sites = everything.where(~F.col("broken"))
+    static = staged(static_findings(sites), "static")
     methods = method_snippets(sites)
-    scored = scoring.scored_snippets(methods) if scores is None else scoring.attach_scores(methods, scores)
+    if scores is None:
+        scored = scoring.scored_snippets(methods, max_snippets, max_chars)
+    else:
+        scored = scoring.attach_scores(methods, scores, max_snippets, max_chars)
+    scored = staged(scored, "scored")  # signatures are tried once
 
-    names = files.select("file_id", "file_name")
-    findings = merge.merged_findings(static, scored).join(names, "file_id")
+    raw = F.col(_raw(files)).cast("binary")
     intact = sites.where(F.col("kind") == "eof").select("file_id")
-    described = checksum_size(files, _raw(files), keep=["file_name"]).join(intact, "file_id", "left_semi")
-    counts = methods.groupBy("file_id").agg(F.count("*").cast("int").alias("methods_analysed"))
-    records = summary.analysis_records(described, findings, scored, counts)
+    described = staged(files.select(
+        "file_id", "file_name", F.sha2(raw, 256).alias("checksum_sha256"), F.octet_length(raw).cast("int").alias("file_size_bytes"),
+    ).join(intact, "file_id", "left_semi"), "files")
+    stamp = (F.lit(None) if analysed_at is None else analysed_at).cast("timestamp_ntz")
+    merged = staged(merge.merged_findings(static, scored), "findings")
+    findings = merged.join(described.select("file_id", "file_name"), "file_id").withColumns(
+        {"record_id": record_id(run_id), "run_id": F.lit(run_id), "created_at": stamp})
+    counts = sites.where(F.col("kind") == "method").groupBy("file_id").agg(F.count("*").cast("int").alias("methods_analysed"))
+    records = summary.analysis_records(described, merged, scored, counts).withColumns(
+        {"record_id": record_id(run_id), "run_id": F.lit(run_id)})
     if analysed_at is not None:
-        records = records.withColumn("analysed_at", analysed_at.cast("timestamp_ntz"))
-    return Analysis(static, methods, scored, findings, records)
+        records = records.withColumn("analysed_at", stamp)
+    return Analysis(static, methods, scored, findings, records, first_problems(everything))
 
 
-def analyse_uploads(files: DataFrame, scores: DataFrame | None = None,
-                    analysed_at: Column | None = None) -> tuple[Analysis, DataFrame]:
-    """Gates first: (analysis of the accepted files, rejected files with their reason)."""
-    accepted, rejected, _ = quarantine_split(files, content=_raw(files))
-    return analyse(accepted, scores, analysed_at), rejected
+def analyse_uploads(files: DataFrame, scores: DataFrame | None = None, analysed_at: Column | None = None, run_id: str | None = None,
+                    max_bytes: int = K.MAX_FILE_BYTES, max_snippets: int | None = None, max_chars: int | None = None,
+                    ) -> tuple[Analysis, DataFrame]:
+    """Gates first: (analysis of the accepted files, all other files).
+
+    Rejected files have ``reject_reason`` and, where their structure does not hold,
+    the line of the first problem; every file is in the records or among them.
+    """
+    accepted, rejected, _ = quarantine_split(files, max_bytes, _raw(files))
+    result = analyse(accepted, scores, analysed_at, run_id, max_snippets, max_chars)
+    gate = rejected.select("file_id", "safe_name", "reject_reason", F.lit(None).cast("int").alias("line"))
+    names = accepted.select("file_id", sanitise_name(F.col("file_name")).alias("safe_name"))
+    broken = result.broken.join(names, "file_id").select("file_id", "safe_name", F.col("reason").alias("reject_reason"), "line")
+    return result, gate.unionByName(broken)

@@ -1,7 +1,7 @@
 """A Java corpus derived row by row from the ``documents`` table.
 
 Every document becomes one file: its text as header comment, followed by one
-of sixteen class templates chosen by ``doc_id``.  The templates carry known
+of some class templates chosen by ``doc_id``.  The templates carry known
 weaknesses, which makes the structural operators checkable at any scale.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N_TEMPLATES = 16
+#: A template with so many weak methods, more than any cap on snippets.
+WEAK_METHODS = 40
 
 TEMPLATES = [
     # 0 clean
@@ -163,9 +164,72 @@ TEMPLATES = [
     public void bad( {
     }
 }
+""",
+    # 16 methods behind deep, annotated and bounded type arguments, and with dimensions behind the parameters
+    """public class C@ID@ {
+    Map<String, Map<String, Map<String, List<String>>>> deep() {
+        return null;
+    }
+    List<@NonNull String> noted() {
+        return null;
+    }
+    <T extends Number & Comparable<T>> int cells()[] {
+        return new int[0];
+    }
+}
+""",
+    # 17 SQL beside the braces of an array; a path that rules and signature see
+    """public class C@ID@ {
+    public void list(Statement st, String a) throws Exception {
+        st.execute("select " + String.join(",", new String[]{a, "b"}));
+        File f = new File("/up/" + a);
+    }
+}
+""",
+    # 18 an else that belongs to the if around the loop
+    """public class C@ID@ {
+    public String tail(int n) {
+        String out = "";
+        if (n > 0) for (int i = 0; i < n; i++) out += "x"; else out += "y";
+        return out;
+    }
+}
+""",
+    # 19 a method of one line
+    """public class C@ID@ {
+    void m(Statement st, String a) { st.execute("select " + a); }
+}
+""",
+    # 20 a secret in the comment of a method
+    """public class C@ID@ {
+    /** Example: password = "letmein1" */
+    public void help() {
+        show();
+    }
+}
+""",
+    # 21 many weak methods
+    "public class C@ID@ {\n" + "".join(f"""    public String p{i}(HttpServletRequest q) {{
+        return q.getParameter("k").trim();
+    }}
+""" for i in range(WEAK_METHODS)) + "}\n",
+    # 22 an unchecked optional inside a switch; a text block and a lambda without weakness
+    """public class C@ID@ {
+    int pick(Optional<String> o, int n) {
+        switch (n) { case 1: return o.get().length(); default: return 0; }
+    }
+    public void each(List<String> xs) {
+        String q = \"\"\"
+            drop {"a"}
+            \"\"\";
+        xs.forEach(x -> { step(x); });
+    }
+}
 """,
 ]
 
+N_TEMPLATES = len(TEMPLATES)
+
 
 def template_table(spark: SparkSession) -> DataFrame:
     rows = list(enumerate(TEMPLATES))
@@ -179,7 +243,7 @@ def java_corpus(documents: DataFrame) -> DataFrame:
     body = F.replace(F.col("template"), F.lit("@ID@"), F.col("doc_id").cast("string"))
     return (
         documents.select("doc_id", "text", F.pmod("doc_id", F.lit(N_TEMPLATES)).cast("int").alias("t"))
-        # sixteen rows, fixed: always small enough to broadcast
+        # one row per template, fixed: always small enough to broadcast
         .join(F.broadcast(template_table(spark)), "t")
         .select(
             F.col("doc_id").alias("file_id"),

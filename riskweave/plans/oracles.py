@@ -7,13 +7,10 @@ tokenizer.  Text operators are recomputed with the engine's own functions.
 
 from __future__ import annotations
 
-import re
-
 from riskweave.functions import constants as K
 from riskweave.functions.texts import RULE_TEXTS
-from riskweave.operators.lexer import TOKEN_PATTERN
 from riskweave.operators.quality import FINDING_LENGTHS, FINDING_REQUIRED, RECORD_LENGTHS, RECORD_REQUIRED
-from riskweave.plans.java_corpus import TEMPLATES
+from riskweave.plans.java_corpus import N_TEMPLATES, TEMPLATES, WEAK_METHODS
 
 # ---------------------------------------------------------------------------
 # expected results per template (line numbers are relative to the template)
@@ -36,7 +33,16 @@ METHODS = [
     (11, 1, "pick", 2, 5, None),
     (12, 1, "mix", 2, 5, "possible_hardcoded_secret"),
     (13, 1, "run", 4, 6, None), (13, 2, "outer", 2, 8, None),
+    (16, 1, "deep", 2, 4, None), (16, 2, "noted", 5, 7, None), (16, 3, "cells", 8, 10, None),
+    (17, 1, "list", 2, 5, None),
+    (18, 1, "tail", 2, 6, None),
+    (19, 1, "m", 2, 2, None),
+    (20, 1, "help", 3, 5, "possible_hardcoded_secret"),
+    *[(21, i + 1, f"p{i}", 2 + 3 * i, 4 + 3 * i, None) for i in range(WEAK_METHODS)],
+    (22, 1, "pick", 2, 4, None), (22, 2, "each", 5, 10, None),
 ]
+# (template, method_seq): the code of these methods begins with a comment, one line before the method
+COMMENTED = [(20, 1)]
 
 # (template, list_seq, rule, line, method, code, {name}, {detail}, {param}, {env})
 RULE_HITS = [
@@ -59,6 +65,10 @@ RULE_HITS = [
     (12, 1, "rule_hardcoded_secret", 3, "mix", 'apiKey = "abc123xyz"', "apiKey", "", "", "API_KEY"),
     (12, 2, "rule_command_exec", 4, "mix", 'Runtime.getRuntime().exec("ls " + who)', "exec", "", "", ""),
     (14, 1, "rule_sql_inline", 4, FIELD, 'c.createStatement().execute("UPDATE t SET a=" + who)', "execute", "", "", ""),
+    (17, 1, "rule_sql_inline", 3, "list", 'st.execute("select " + String.join(",", new String[]{a, "b"}))', "execute", "", "", ""),
+    (17, 2, "rule_path_traversal", 4, "list", 'new File("/up/" + a)', "File", "", "", ""),
+    (18, 1, "rule_concat_in_loop", 4, "tail", 'out += "x"', "", "", "", ""),
+    (19, 1, "rule_sql_inline", 2, "m", 'st.execute("select " + a)', "execute", "", "", ""),
 ]
 RULE_TYPE = {
     "rule_sql_inline": "SQL_INJECTION", "rule_sql_variable": "SQL_INJECTION",
@@ -74,6 +84,8 @@ SCORES = [
     (5, 1, "COMMAND_INJECTION", 0.5), (7, 1, "EMPTY_CATCH_BLOCK", 0.5), (8, 1, "STRING_CONCAT_IN_LOOP", 0.5),
     (9, 1, "RESOURCE_LEAK", 0.5), (10, 1, "RESOURCE_LEAK", 0.5), (11, 1, "NULL_POINTER_RISK", 0.5),
     (12, 1, "COMMAND_INJECTION", 0.5), (13, 1, "NULL_POINTER_RISK", 0.5), (13, 2, "NULL_POINTER_RISK", 0.5),
+    (17, 1, "SQL_INJECTION", 0.5), (19, 1, "SQL_INJECTION", 0.5), (20, 1, "HARDCODED_SECRET", 0.65),
+    *[(21, i + 1, "NULL_POINTER_RISK", 0.5) for i in range(WEAK_METHODS)], (22, 1, "NULL_POINTER_RISK", 0.5),
 ]
 
 # (template, display_seq, line, type, method, source, confidence)
@@ -92,6 +104,12 @@ FINAL = [
     (12, 1, 4, "COMMAND_INJECTION", "mix", "STATIC+AI", 0.9), (12, 2, 3, "HARDCODED_SECRET", "mix", "STATIC", 0.85),
     (13, 1, 4, "NULL_POINTER_RISK", "run", "STATIC+AI", 0.5),
     (14, 1, 4, "SQL_INJECTION", FIELD, "STATIC", 0.9),
+    (17, 1, 3, "SQL_INJECTION", "list", "STATIC+AI", 0.9), (17, 2, 4, "PATH_TRAVERSAL", "list", "STATIC", 0.75),
+    (18, 1, 4, "STRING_CONCAT_IN_LOOP", "tail", "STATIC", 0.8),
+    (19, 1, 2, "SQL_INJECTION", "m", "STATIC+AI", 0.9),
+    (20, 1, 3, "HARDCODED_SECRET", "help", "AI", 0.65),
+    *[(21, i + 1, 2 + 3 * i, "NULL_POINTER_RISK", f"p{i}", "AI", 0.5) for i in range(WEAK_METHODS)],
+    (22, 1, 2, "NULL_POINTER_RISK", "pick", "AI", 0.5),
 ]
 
 # (template, kind, line, name, method); the places at which findings are looked for
@@ -110,7 +128,12 @@ PLACES = [
     (10, "call", 3, "Socket", "peek"),
     (12, "init", 3, "apiKey", "mix"), (12, "call", 4, "exec", "mix"),
     (14, "call", 4, "execute", FIELD),
+    (17, "call", 3, "execute", "list"), (17, "call", 4, "File", "list"),
+    (18, "init", 3, "out", "tail"), (18, "append", 4, None, "tail"), (18, "append", 4, None, "tail"),
+    (19, "call", 2, "execute", "m"),
 ]
+# templates in which some method is scored and no structural finding agrees
+ONLY_SCORED = "(3, 9, 11, 13, 20, 21, 22)"
 
 
 # ---------------------------------------------------------------------------
@@ -137,7 +160,7 @@ code AS (
          replace(template, '@ID@', CAST(doc_id AS VARCHAR)) AS body,
          CAST(1 + length(replace(text, '*/', ''))
               - length(replace(replace(text, '*/', ''), chr(10), '')) AS INTEGER) AS shift
-  FROM documents JOIN templates ON t = doc_id % 16)"""
+  FROM documents JOIN templates ON t = doc_id % {N_TEMPLATES})"""
 
 CATALOG = f"""
 catalog AS (SELECT v.*, CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 6 WHEN 'MEDIUM' THEN 3 ELSE 1 END AS weight
@@ -147,7 +170,8 @@ catalog AS (SELECT v.*, CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 6
 METHOD_ROWS = f"""
 methods AS (
   SELECT file_id, CAST(seq AS INTEGER) AS method_seq, 'C' || file_id AS class_name, name AS method_name,
-         ltrim(array_to_string(list_slice(string_split(body, chr(10)), s, e), chr(10))) AS code,
+         ltrim(array_to_string(list_slice(string_split(body, chr(10)), CASE WHEN (t, seq) IN ({", ".join(map(str, COMMENTED))}) THEN s - 1 ELSE s END, e),
+           chr(10))) AS code,
          CAST(s + shift AS INTEGER) AS start_line, CAST(e + shift AS INTEGER) AS end_line, hint
   FROM code JOIN {values(METHODS)} m(t, seq, name, s, e, hint) USING (t))"""
 
@@ -212,7 +236,7 @@ gate_input AS (
 
 UPLOAD_REASON = """CASE WHEN strlen(src) = 0 THEN 'EMPTY' WHEN file_name IS NULL OR trim(file_name) = '' THEN 'NO_NAME'
     WHEN contains(file_name, '..') OR contains(file_name, '/') OR contains(file_name, chr(92)) THEN 'PATH_CHARS'
-    WHEN NOT suffix(lower(file_name), '.java') THEN 'NOT_JAVA' WHEN strlen(src) > 4096 THEN 'TOO_LARGE' END"""
+    WHEN NOT suffix(lower(file_name), '.java') THEN 'NOT_JAVA' WHEN strlen(src) > 1048576 THEN 'TOO_LARGE' END"""
 CONTENT_REASON = """CASE WHEN src IS NULL OR strlen(src) = 0 THEN 'EMPTY'
     WHEN instr(src, chr(0)) > 0 AND strlen(substr(src, 1, instr(src, chr(0)))) <= 1024 THEN 'BINARY'
     WHEN NOT (contains(src, 'class') OR contains(src, 'interface') OR contains(src, 'enum') OR contains(src, 'record'))
@@ -230,14 +254,17 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
-def plain(pattern: str) -> str:
-    """The pattern without possessive repetition, which RE2 neither knows nor needs.
-
-    Letters are narrowed to ASCII to stay within RE2's program size; outside of
-    comments the corpus has no others.
-    """
-    ascii_only = pattern.replace(r"\p{L}\p{M}\p{N}", "a-zA-Z0-9").replace(r"\p{L}", "a-zA-Z")
-    return re.sub(r"([*+}])\+", r"\1", ascii_only)
+def _token_pattern() -> str:
+    """Java tokens as far as the corpus has them, written apart from the engine's lexer and for RE2."""
+    name = r"[a-zA-Z_$][a-zA-Z0-9_$]*"
+    arguments = ""
+    for _ in range(5):  # the corpus nests four levels
+        item = rf"@?{name}(?:\.{name})*(?:{arguments})?(?:\[\])*" if arguments else rf"@?{name}(?:\.{name})*(?:\[\])*"
+        arguments = rf"<(?:{item}|\?)(?:(?: extends | & |, |,| ){item})*>"
+    return "|".join([
+        r"/\*(?s:.*?)\*/", r"/\*(?s:.*)", r"//[^\n\r]*", r'"""(?s:.*?)"""', r'"(?:[^"\\\n\r]|\\[^\n\r])*"', r"'(?:[^'\\\n\r]|\\[^\n\r])*'",
+        name, r"[0-9][0-9_]*\.?[0-9]*", arguments, r"\.\.\.|->|::|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=", r"[ \t\n\r\f]+", r"(?s:.)",
+    ])
 
 
 def _tokens() -> str:
@@ -251,7 +278,7 @@ def _tokens() -> str:
       WHEN tok LIKE '<%>' THEN 'generic' ELSE 'op' END"""
     return f"""
 cut AS (SELECT file_id, unnest(toks) AS tok, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos
-  FROM (SELECT file_id, regexp_extract_all(src, {lit(plain(TOKEN_PATTERN))}) AS toks FROM code)),
+  FROM (SELECT file_id, regexp_extract_all(src, {lit(_token_pattern())}) AS toks FROM code)),
 tokens AS (SELECT file_id, pos, tok, {kind} AS kind,
   CAST(1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER (
     PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line
@@ -309,8 +336,8 @@ def _violations() -> str:
     return with_("""
 r AS (SELECT event_id AS record_id, CASE WHEN event_type <> 'signup' THEN 'U' || user_id END AS file_name,
   upper(event_type) AS ai_engine_status, CAST(floor(value) AS INTEGER) AS risk_score,
-  repeat(event_type, 10) AS engine_version, ts AS analysed_at FROM events WHERE event_id % 10 <> 0)""", """
-f AS (SELECT event_id AS record_id, CASE event_type WHEN 'error' THEN 'CRITICAL' ELSE 'low' END AS severity,
+  repeat(event_type, 10) AS engine_version, ts AS analysed_at FROM events)""", """
+f AS (SELECT event_id + 7 AS record_id, CASE event_type WHEN 'error' THEN 'CRITICAL' ELSE 'low' END AS severity,
   CASE WHEN event_type <> 'view' THEN 'SECURITY' END AS category,
   CASE event_type WHEN 'click' THEN 'STATIC+AI' ELSE 'BOTH' END AS detection_source,
   value / 400 AS confidence, repeat(props, 200) AS description FROM events)""") + " UNION ALL ".join(parts)
@@ -346,17 +373,29 @@ records AS (SELECT code.file_id, file_name, CAST(strlen(src) AS INTEGER) AS file
     CAST(coalesce(n, 0) AS INTEGER) AS total_findings, CAST(coalesce(c, 0) AS INTEGER) AS critical_count,
     CAST(coalesce(h, 0) AS INTEGER) AS high_count, CAST(coalesce(m, 0) AS INTEGER) AS medium_count,
     CAST(coalesce(l, 0) AS INTEGER) AS low_count, CAST(coalesce(risk, 0) AS INTEGER) AS risk_score,
-    CAST(coalesce(n_methods, 0) AS INTEGER) AS methods_analysed, 'SUCCESS' AS ai_engine_status,
+    CAST(coalesce(n_methods, 0) AS INTEGER) AS methods_analysed, CAST(coalesce(n_methods, 0) AS INTEGER) AS methods_scored,
+    'run-1/' || code.file_id AS record_id, 'run-1' AS run_id, 'SUCCESS' AS ai_engine_status,
     '""" + K.ENGINE_VERSION + """' AS engine_version
   FROM code LEFT JOIN found USING (file_id) LEFT JOIN counted USING (file_id) WHERE t <> 15)"""
 
 _COSINES = """
 long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 centre AS (SELECT label, i, avg(x) AS m FROM long GROUP BY label, i),
-cosines AS (SELECT vec_id, CASE WHEN long.label <> 0
-    THEN sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) END AS similarity
+cosines AS (SELECT vec_id, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS similarity
   FROM long JOIN centre USING (label, i) GROUP BY vec_id, long.label)"""
 
+# certainty of a scored method: by its vector and the centroid that stands for its type, else neutral; more if the hint agrees
+_VECTOR_SCORES = f"""
+long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+centre AS (SELECT label, i, avg(x) AS m FROM long GROUP BY label, i),
+scored_kinds AS (SELECT s.*, k.severity, k.seq - 1 AS anchor FROM scores s JOIN {SIGNATURE_TABLE} k(seq, name, severity, owasp) ON name = kind),
+near AS (SELECT file_id, method_seq, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS similarity
+  FROM scored_kinds JOIN long ON vec_id = file_id AND method_seq = 1 JOIN centre ON centre.label = anchor AND centre.i = long.i
+  GROUP BY file_id, method_seq),
+certainties AS (SELECT k.*, round(least(1.0, CASE WHEN similarity IS NULL THEN 0.5 ELSE greatest(0, least(1, (similarity + 1) / 2)) END
+    + CASE WHEN conf > 0.5 THEN 0.15 ELSE 0 END), 3) AS certain
+  FROM scored_kinds k LEFT JOIN near USING (file_id, method_seq))"""
+
 _PLACE = "file_id, vulnerability_type, line_number, method_name, confidence, detection_source"
 
 
@@ -402,7 +441,8 @@ def all_oracles() -> dict[str, str]:
             CAST(turn - CASE role WHEN 'user' THEN 1 ELSE 0 END AS INTEGER) AS start_line,
             CAST(NULL AS VARCHAR) AS static_analysis_hint FROM conversations
             WHERE turn % 5 <> 4 AND length(text) > 0 AND turn - CASE role WHEN 'user' THEN 1 ELSE 0 END >= 0""",
-        "write_results": everything + "SELECT *, '2024-01-01' AS run_date FROM records",
+        "write_results": everything + """SELECT * EXCLUDE (run) REPLACE (run || '/' || file_id AS record_id, run AS run_id),
+            '2024-01-01' AS run_date FROM records, (VALUES ('run-1'), ('run-2')) r(run)""",
         "constraint_check": _violations(),
         # structure
         "token_table": with_(CODE, _tokens()) + "SELECT file_id, pos, tok, line, kind FROM tokens",
@@ -476,8 +516,22 @@ def all_oracles() -> dict[str, str]:
         "attach_scores": with_(CODE, METHOD_ROWS) + """SELECT file_id, method_seq, method_name,
             coalesce(source, 'NONE') AS vulnerability_type, CASE WHEN source IS NULL THEN 0.0 ELSE 5.0 END::DOUBLE AS severity_score,
             CASE WHEN source IS NULL THEN 'unavailable' ELSE 'encoder-1' END AS model_version, source IS NULL AS fallback
-            FROM methods LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0)
-            ON doc_id = file_id AND method_seq = 1""",
+            FROM methods LEFT JOIN documents ON doc_id = file_id AND method_seq = 1""",
+        "score_with_vectors": with_(CODE, CATALOG, METHOD_ROWS, SCORE_ROWS, _VECTOR_SCORES) + """SELECT file_id, method_seq,
+            coalesce(kind, 'NONE') AS vulnerability_type, CAST(coalesce(severity, 0) AS DOUBLE) AS severity_score,
+            coalesce(certain, 0.0) AS confidence, 'encoder-1' AS model_version
+            FROM methods LEFT JOIN certainties USING (file_id, method_seq)""",
+        "merged_findings_vectors": with_(CODE, CATALOG, METHOD_ROWS, SCORE_ROWS, FINAL_ROWS, _VECTOR_SCORES) + f"""
+            SELECT display_seq, f.severity, file_name, f.file_id, vulnerability_type, line_number, f.method_name, detection_source,
+              CASE detection_source WHEN 'AI' THEN certain WHEN 'STATIC' THEN confidence
+                ELSE greatest(CASE WHEN vulnerability_type = 'NULL_POINTER_RISK' THEN 0 ELSE confidence END, certain) END AS confidence
+            FROM final f LEFT JOIN (
+              SELECT file_id, kind, start_line, end_line, max(certain) AS certain FROM (
+                SELECT file_id, kind, first_value(start_line) OVER w AS start_line, max(end_line) OVER w AS end_line, certain
+                FROM certainties JOIN methods USING (file_id, method_seq) JOIN code USING (file_id)
+                WINDOW w AS (PARTITION BY file_id, CASE WHEN t = 13 THEN 0 ELSE method_seq END ORDER BY method_seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY ALL) c
+            ON c.file_id = f.file_id AND c.kind = f.vulnerability_type AND line_number BETWEEN start_line AND end_line""",
         # catalog
         "catalog_lookup": with_(CATALOG, TYPED) + """SELECT event_id, typed.vulnerability_type,
             coalesce(display_name, 'Unclassified Issue') AS display_name, coalesce(severity, 'LOW') AS severity,
@@ -507,11 +561,11 @@ def all_oracles() -> dict[str, str]:
             ON f.file_id = h.file_id AND f.vulnerability_type = h.vulnerability_type AND f.line_number = h.line
             AND f.detection_source <> 'AI'""",
         "merge_ai_only": scored + """SELECT file_id, method_seq, kind AS vulnerability_type, start_line, conf AS confidence
-            FROM scores JOIN methods USING (file_id, method_seq) JOIN code USING (file_id) WHERE t IN (3, 9, 11, 13)""",
+            FROM scores JOIN methods USING (file_id, method_seq) JOIN code USING (file_id) WHERE t IN """ + ONLY_SCORED,
         "merge_nested_hits": scored + """SELECT file_id, method_seq, kind AS vulnerability_type,
             NOT (t = 13 AND method_seq = 2) AS is_appended,
             CAST(CASE WHEN t = 13 AND method_seq = 2 THEN 1 END AS INTEGER) AS absorbed_by
-            FROM scores JOIN code USING (file_id) WHERE t IN (3, 9, 11, 13)""",
+            FROM scores JOIN code USING (file_id) WHERE t IN """ + ONLY_SCORED,
         "merge_order": _static_list("""file_id, CAST(row_number() OVER (PARTITION BY file_id
             ORDER BY weight DESC, line, list_seq) AS INTEGER) AS display_seq, list_seq, vulnerability_type, severity"""),
         "merged_findings": final + f"SELECT display_seq, severity, file_name, {_PLACE} FROM final",
@@ -520,22 +574,22 @@ def all_oracles() -> dict[str, str]:
             file_id, vulnerability_type, line AS line_number, method_name, CAST(rule_confidence AS DOUBLE) AS confidence,
             'STATIC' AS detection_source"""),
         # roll-ups
-        "severity_counts": everything + """SELECT code.file_id, coalesce(total_findings, 0) AS total_findings,
-            coalesce(critical_count, 0) AS critical_count, coalesce(high_count, 0) AS high_count,
-            coalesce(medium_count, 0) AS medium_count, coalesce(low_count, 0) AS low_count
-            FROM code LEFT JOIN records USING (file_id)""",
-        "risk_score": everything + "SELECT code.file_id, coalesce(risk_score, 0) AS risk_score FROM code LEFT JOIN records USING (file_id)",
+        "severity_counts": everything + """SELECT file_id, total_findings, critical_count, high_count, medium_count, low_count
+            FROM records""",
+        "risk_score": everything + "SELECT file_id, risk_score FROM records",
         "run_status": """WITH users AS (SELECT c_custkey AS file_id FROM customer UNION SELECT user_id FROM events)
             SELECT file_id, CASE WHEN count(event_id) > 0
-              AND count(*) FILTER (event_type <> 'error' AND round(value / 50, 6) < 2) = 0
+              AND count(*) FILTER (event_type <> 'error') = 0
               THEN 'DEGRADED' ELSE 'SUCCESS' END AS ai_engine_status
             FROM users LEFT JOIN events ON user_id = file_id GROUP BY file_id""",
-        "methods_analysed": everything + """SELECT code.file_id, coalesce(methods_analysed, 0) AS methods_analysed
-            FROM code LEFT JOIN records USING (file_id)""",
+        "methods_analysed": everything + "SELECT file_id, methods_analysed FROM records",
         "analysis_records": everything + "SELECT * FROM records",
-        "analysis_of_uploads": everything + f"""SELECT code.file_id, risk_score, reason AS reject_reason FROM (SELECT *,
-            coalesce({UPLOAD_REASON.replace('4096', str(K.MAX_FILE_BYTES))}, {CONTENT_REASON}) AS reason FROM code) code
-            LEFT JOIN records USING (file_id) WHERE reason IS NOT NULL OR t <> 15""",
+        "analysis_of_uploads": everything + f"""SELECT code.file_id, risk_score,
+            coalesce({UPLOAD_REASON}, {CONTENT_REASON}, CASE t WHEN 15 THEN 'BRACKET_MISMATCH' END) AS reject_reason
+            FROM (SELECT file_id, t, file_name, src FROM code) code LEFT JOIN (SELECT file_id, risk_score FROM records) USING (file_id)""",
+        "rejected_files": with_(CODE) + f"""SELECT * FROM (SELECT file_id, file_name AS safe_name,
+            coalesce({UPLOAD_REASON}, {CONTENT_REASON}, CASE t WHEN 15 THEN 'BRACKET_MISMATCH' END) AS reject_reason,
+            CAST(CASE t WHEN 15 THEN 4 + shift END AS INTEGER) AS line FROM code) WHERE reject_reason IS NOT NULL""",
         "count_by_severity": final + "SELECT severity, count(*) AS n_findings FROM final GROUP BY severity",
         "runs_by_status": with_(RUNS) + "SELECT ai_engine_status, count(*) AS n_runs FROM runs GROUP BY ai_engine_status",
         # history and reports
@@ -547,7 +601,7 @@ def all_oracles() -> dict[str, str]:
             display_seq, vulnerability_type, line_number FROM records r LEFT JOIN final USING (file_id)""",
         "findings_for_record": final + f"SELECT {_PLACE} FROM final WHERE file_id = 12",
         "latest_run_findings": final + f"""SELECT {_PLACE}, severity FROM final
-            WHERE file_id = (SELECT max(file_id) FROM final) ORDER BY severity""",
+            WHERE file_id = (SELECT max(file_id) FROM code WHERE t <> 15) ORDER BY severity""",
         "report_findings": with_(CATALOG, TYPED) + """SELECT event_id, conf AS confidence,
             CAST(floor(coalesce(conf, 0) * 100 + 0.5) AS INTEGER) AS confidence_percent, coalesce(severity, 'LOW') AS severity,
             'sev-' || lower(coalesce(severity, 'LOW')) AS severity_css
@@ -562,9 +616,9 @@ def all_oracles() -> dict[str, str]:
             ELSE 'ONLINE (rule-only)' END AS label, CASE event_type WHEN 'error' THEN 'status-degraded'
             WHEN 'view' THEN 'status-online' ELSE 'status-partial' END AS css_class FROM events""",
         # streams
-        "stream_scan": everything + "SELECT * FROM records",
-        "stream_reupload": """SELECT sha256(text) AS checksum_sha256, CAST(any_value(strlen(text)) AS INTEGER) AS file_size_bytes
-            FROM documents GROUP BY 1""",
+        "stream_scan": everything + "SELECT * REPLACE ('batch-0/' || file_id AS record_id, 'batch-0' AS run_id) FROM records",
+        "stream_reupload": """SELECT sha256(text) AS checksum_sha256, CAST(any_value(strlen(text)) AS INTEGER) AS file_size_bytes,
+            true AS has_file FROM documents GROUP BY 1""",
         "stream_status": """SELECT w AS window_start, w + INTERVAL 6 HOUR AS window_end, count(*) AS n_runs,
             count(*) FILTER (event_type = 'error') AS n_degraded,
             round(count(*) FILTER (event_type = 'error') / count(*), 6) AS degraded_share

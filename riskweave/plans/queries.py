@@ -15,10 +15,10 @@ from riskweave.operators import (
     catalog, dedup, gates, history, merge, quality, rules, scoring, signatures, structure, summary,
 )
 from riskweave.operators.lexer import token_table
-from riskweave.plans.analysis import Analysis, analyse, analyse_uploads
+from riskweave.plans.analysis import Analysis, analyse, analyse_uploads, record_id
 from riskweave.plans.java_corpus import java_corpus
 from riskweave.plans.stage import work_folder
-from riskweave.sources.corpus import write_results
+from riskweave.sources.corpus import scan_corpus, write_results
 from riskweave.sources.score_lines import scores_json_in, snippets_json_in
 from riskweave.streaming import jobs
 
@@ -55,7 +55,7 @@ def code_methods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analysed(spark: SparkSession, sf: str) -> Analysis:
-    return analyse(code(spark, sf))
+    return analyse(code(spark, sf), run_id="run-1")
 
 
 def snippet_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,9 +107,12 @@ def logged_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 # --- scans, gates, sinks ----------------------------------------------------
 
-@query
-def scan_corpus(spark, sf):
-    return code(spark, sf).select(
+@query_as("scan_corpus")
+def scanned_corpus(spark, sf):
+    """The code corpus as a table of files on disk, read back by the scan."""
+    folder = work_folder(spark, "corpus")
+    code(spark, sf).drop("size_bytes").write.parquet(folder)
+    return scan_corpus(spark, folder, "parquet").select(
         "file_id", "file_name", "size_bytes", F.sha2(F.col("src").cast("binary"), 256).alias("content_sha256"))
 
 
@@ -124,8 +127,7 @@ def _gate_input(spark, sf):
 
 @query
 def gate_upload(spark, sf):
-    # the limit is lowered so that the shipped texts reach it
-    return gates.gate_upload(_gate_input(spark, sf), max_bytes=4096).select("file_id", "file_name", "reject_reason")
+    return gates.gate_upload(_gate_input(spark, sf)).select("file_id", "file_name", "reject_reason")
 
 
 @query
@@ -138,7 +140,7 @@ def gate_content(spark, sf):
 
 @query
 def quarantine_split(spark, sf):
-    accepted, _, reasons = gates.quarantine_split(_gate_input(spark, sf), max_bytes=4096)
+    accepted, _, reasons = gates.quarantine_split(_gate_input(spark, sf))
     taken = accepted.agg(F.lit("ACCEPTED").alias("reject_reason"), F.count("*").alias("n_files"))
     return reasons.unionByName(taken)
 
@@ -221,8 +223,11 @@ def snippets_json(spark, sf):
 
 @query_as("write_results")
 def written_results(spark, sf):
+    """Two runs of one day; the second one is written twice, as a repeated run is."""
     target = work_folder(spark, "results")
-    write_results(analysed(spark, sf).records, target, "2024-01-01")
+    records = analysed(spark, sf).records
+    for run in ("run-1", "run-2", "run-2"):
+        write_results(records.withColumn("run_id", F.lit(run)).withColumn("record_id", record_id(run)), target, "2024-01-01")
     return spark.read.parquet(target).withColumn("run_date", F.col("run_date").cast("string"))
 
 
@@ -230,13 +235,13 @@ def written_results(spark, sf):
 def constraint_check(spark, sf):
     """Runs and findings read from the events log, with many violations on purpose."""
     events = table(spark, sf, "events")
-    records = events.where(F.col("event_id") % 10 != 0).select(
+    records = events.select(
         F.col("event_id").alias("record_id"),
         F.when(F.col("event_type") != "signup", F.concat(F.lit("U"), F.col("user_id").cast("string"))).alias("file_name"),
         F.upper("event_type").alias("ai_engine_status"), F.floor("value").cast("int").alias("risk_score"),
         F.repeat("event_type", 10).alias("engine_version"), F.col("ts").cast("timestamp_ntz").alias("analysed_at"))
     findings = events.select(
-        F.col("event_id").alias("record_id"),
+        (F.col("event_id") + 7).alias("record_id"),  # the last ones point to no record
         F.when(F.col("event_type") == "error", "CRITICAL").otherwise("low").alias("severity"),
         F.when(F.col("event_type") != "view", "SECURITY").alias("category"),
         F.when(F.col("event_type") == "click", "STATIC+AI").otherwise("BOTH").alias("detection_source"),
@@ -360,11 +365,11 @@ def mean_pool(spark, sf):
 
 
 def _similarities(spark, sf):
-    """Every vector against the centroid of its label; label 0 has no vectors on file."""
+    """Every vector against the centroid of its label."""
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("kind"), F.col("embedding").alias("vector"))
     anchors = label_centroids(spark, sf).select(F.col("label").alias("kind"), F.col("pooled").alias("anchor_vector"))
     return scoring.anchor_similarity(
-        vectors.select("vec_id", "kind"), vectors.where("kind != 0"), anchors, ["vec_id"], "kind")
+        vectors.select("vec_id", "kind"), vectors, anchors, ["vec_id"], "kind")
 
 
 @query
@@ -435,12 +440,37 @@ def score_methods(spark, sf):
         "model_version", "fallback")
 
 
+@query
+def score_with_vectors(spark, sf):
+    """Methods scored by signatures whose certainty comes from vectors: an embedding for the first
+    method of a file, and the centroid of label n as anchor of signature n + 1."""
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("file_id"), F.lit(1).alias("method_seq"), F.col("embedding").alias("vector"))
+    kinds = catalog.signature_table(spark).select((F.col("sig_seq") - 1).alias("label"), "vulnerability_type")
+    anchors = label_centroids(spark, sf).join(kinds, "label").select("vulnerability_type", F.col("pooled").alias("anchor_vector"))
+    scores = scoring.score_with_vectors(code_methods(spark, sf), vectors, anchors, "encoder-1")
+    return scores.select("file_id", "method_seq", "vulnerability_type", "severity_score", "confidence", "model_version")
+
+
+@query
+def merged_findings_vectors(spark, sf):
+    """The merge with scores from vectors: a surer score raises the certainty of a structural finding."""
+    files = code(spark, sf)
+    sites = code_sites(spark, sf)
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("file_id"), F.lit(1).alias("method_seq"), F.col("embedding").alias("vector"))
+    kinds = catalog.signature_table(spark).select((F.col("sig_seq") - 1).alias("label"), "vulnerability_type")
+    anchors = label_centroids(spark, sf).join(kinds, "label").select("vulnerability_type", F.col("pooled").alias("anchor_vector"))
+    scores = scoring.score_with_vectors(structure.method_snippets(sites), vectors, anchors, "encoder-1")
+    return analyse(files, scores, run_id="run-1").findings.select("display_seq", "severity", "file_name", *_PLACE)
+
+
 @query
 def attach_scores(spark, sf):
-    """Methods with an external score table that knows the even files only."""
+    """Methods with an external score table that knows the first method of each file."""
     methods = code_methods(spark, sf).select("file_id", "method_seq", "method_name", "code")
     none = F.lit(None).cast("string")
-    scores = table(spark, sf, "documents").where("doc_id % 2 = 0").select(
+    scores = table(spark, sf, "documents").select(
         F.col("doc_id").alias("file_id"), F.lit(1).alias("method_seq"), F.col("source").alias("vulnerability_type"),
         F.lit(5.0).alias("severity_score"), F.col("lang").alias("issue_description"), none.alias("suggested_fix"),
         none.alias("owasp_category"), F.lit(0.5).alias("confidence"), F.lit("encoder-1").alias("model_version"),
@@ -553,25 +583,28 @@ def merged_findings_degraded(spark, sf):
 
 @query
 def severity_counts(spark, sf):
-    return summary.severity_counts(analysed(spark, sf).findings, code(spark, sf))
+    a = analysed(spark, sf)
+    return summary.severity_counts(a.findings, a.records)  # a broken file is no clean file
 
 
 @query
 def risk_score(spark, sf):
-    return summary.risk_score(analysed(spark, sf).findings, code(spark, sf))
+    a = analysed(spark, sf)
+    return summary.risk_score(a.findings, a.records)
 
 
 @query
 def run_status(spark, sf):
     snippets, scores = logged_scores(spark, sf)
-    filled = scoring.fallback_fill(snippets, scores.where("severity_score < 2"))
+    filled = scoring.fallback_fill(snippets, scores)
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("file_id"))
     return summary.run_status(filled, users.unionByName(snippets.select("file_id")).distinct())
 
 
 @query
 def methods_analysed(spark, sf):
-    return summary.methods_analysed(code_methods(spark, sf), code(spark, sf))
+    a = analysed(spark, sf)
+    return summary.methods_analysed(a.methods, a.records)
 
 
 @query
@@ -582,11 +615,18 @@ def analysis_records(spark, sf):
 @query
 def analysis_of_uploads(spark, sf):
     """Gates and analysis together: one row per file, analysed or rejected."""
-    result, rejected = analyse_uploads(code(spark, sf))
+    result, rejected = analyse_uploads(code(spark, sf), run_id="run-1")
     taken = result.records.select("file_id", "risk_score", F.lit(None).cast("string").alias("reject_reason"))
     return taken.unionByName(rejected.select("file_id", F.lit(None).cast("int").alias("risk_score"), "reject_reason"))
 
 
+@query
+def rejected_files(spark, sf):
+    """Files that a gate or the structure turns away, with the line of the first problem."""
+    _, rejected = analyse_uploads(code(spark, sf), run_id="run-1")
+    return rejected
+
+
 @query
 def count_by_severity(spark, sf):
     return summary.count_by_severity(analysed(spark, sf).findings)
@@ -625,13 +665,14 @@ def record_with_findings(spark, sf):
 
 @query
 def findings_for_record(spark, sf):
-    return history.findings_for_record(analysed(spark, sf).findings, 12).select(*_PLACE)
+    wanted = code(spark, sf).where("file_id = 12")  # one record needs one file
+    return history.findings_for_record(analyse(wanted, run_id="run-1").findings, 12).select(*_PLACE)
 
 
 @query
 def latest_run_findings(spark, sf):
     a = analysed(spark, sf)
-    return history.latest_run_findings(a.findings.select("file_id"), a.findings, "file_id").select(*_PLACE, "severity")
+    return history.latest_run_findings(a.records, a.findings, "file_id").select(*_PLACE, "severity")
 
 
 @query
@@ -678,7 +719,7 @@ def stream_reupload(spark, sf):
         F.col("_metadata.file_modification_time").alias("arrived"))
     sink = work_folder(spark, "reupload")
     jobs.run_to_parquet(jobs.stream_reupload(files, "arrived", "1 hour"), sink, f"{sink}-progress")
-    return spark.read.parquet(sink).select("checksum_sha256", "file_size_bytes")
+    return spark.read.parquet(sink).select("checksum_sha256", "file_size_bytes", F.col("file_id").isNotNull().alias("has_file"))
 
 
 @query

@@ -37,12 +37,19 @@ def _split(rows: DataFrame, line: str, valid: Column, fields: dict[str, str]) ->
 
 
 def scores_json_in(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(valid score rows, rejected lines)."""
-    rows = _parsed(lines, line, SCORE_FIELDS).withColumn(
+    """(valid score rows, rejected lines).
+
+    A score needs the key of its snippet. A missing confidence counts as 0; one
+    that is given as null is refused.
+    """
+    given = F.map_contains_key(F.from_json(line, "map<string, string>"), "confidence")
+    unknown = F.col("confidence").isNull() & F.coalesce(given, F.lit(False))
+    rows = _parsed(lines, line, SCORE_FIELDS).withColumn("null_confidence", unknown).withColumn(
         "confidence", F.coalesce("confidence", F.lit(0.0))).withColumn(
         "model_version", F.coalesce("model_version", F.lit("unknown")))
     valid = (
-        F.col("vulnerability_type").isNotNull() & F.col("issue_description").isNotNull()
+        F.col("file_id").isNotNull() & F.col("method_seq").isNotNull() & ~F.col("null_confidence")
+        & F.col("vulnerability_type").isNotNull() & F.col("issue_description").isNotNull()
         & F.col("severity_score").between(0.0, 10.0) & F.col("confidence").between(0.0, 1.0)
     )
     return _split(rows, line, valid, SCORE_FIELDS)

@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskweave.operators.gates import quarantine_split
-from riskweave.plans.analysis import analyse
+from riskweave.functions import constants as K
+from riskweave.plans.analysis import analyse_uploads
+from riskweave.plans.stage import staged
 
 SALTS = 32
 
 
-def stream_scan(files: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Analyse every batch of arriving files; records and findings go to Parquet.
+def stream_scan(files: DataFrame, sink: str, checkpoint: str, max_bytes: int = K.MAX_FILE_BYTES,
+                max_snippets: int | None = None, max_chars: int | None = None) -> StreamingQuery:
+    """Analyse every batch of arriving files; records, findings and rejected files go to Parquet.
 
     The windows of the analysis need whole files, not a whole stream, so each
     micro-batch runs the batch plan.  A batch writes its own folder, which a
     repeated batch replaces: results stay exactly-once.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected, _ = quarantine_split(batch)
-        result = analyse(accepted)
-        outputs = {"records": result.records, "findings": result.findings,
-                   "rejected": rejected.select("file_id", "safe_name", "reject_reason")}
+        files = staged(batch, "batch")  # every output reads the batch
+        result, rejected = analyse_uploads(
+            files, run_id=f"batch-{batch_id}", max_bytes=max_bytes, max_snippets=max_snippets, max_chars=max_chars)
+        outputs = {"records": result.records, "findings": result.findings, "rejected": rejected}
         for name, rows in outputs.items():
             rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
 
@@ -32,13 +34,13 @@ def stream_scan(files: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
 
 
 def stream_reupload(files: DataFrame, time: str, delay: str, content: str = "src") -> DataFrame:
-    """Checksums of arriving files, each once within the watermark.
+    """Arriving files, with checksum and size, each content once within the watermark.
 
     Copies are dropped per salted checksum first, so the copies of one frequent
     file are spread over tasks and at most ``SALTS`` of them meet afterwards.
     """
     sums = files.withWatermark(time, delay).select(
-        time, F.sha2(F.col(content).cast("binary"), 256).alias("checksum_sha256"),
+        "*", F.sha2(F.col(content).cast("binary"), 256).alias("checksum_sha256"),
         F.octet_length(F.col(content).cast("binary")).cast("int").alias("file_size_bytes"),
         F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt"))
     return (
@@ -49,7 +51,11 @@ def stream_reupload(files: DataFrame, time: str, delay: str, content: str = "src
 
 
 def stream_status(runs: DataFrame, width: str, delay: str, time: str = "analysed_at") -> DataFrame:
-    """Per tumbling window: runs, degraded runs and their share; late rows are dropped."""
+    """Per tumbling window: runs, degraded runs and their share; late rows are dropped.
+
+    In append mode a window comes out when the watermark has passed its end; windows
+    that are still open are withheld.
+    """
     degraded = F.count(F.when(F.col("ai_engine_status") == "DEGRADED", 1))
     return (
         runs.withWatermark(time, delay).groupBy(F.window(time, width))

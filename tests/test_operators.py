@@ -9,8 +9,9 @@ from riskweave.functions.columns import method_hint, sanitise_name
 from riskweave.operators import dedup, gates, history, scoring, structure
 from riskweave.operators.catalog import uncatalogued_signatures
 from riskweave.operators.signatures import signature_scan
-from riskweave.plans.analysis import analyse_uploads
-from riskweave.sources.corpus import scan_corpus, write_results
+from riskweave.plans.analysis import analyse, analyse_uploads
+from riskweave.sources.corpus import oversized_files, scan_corpus, write_results
+from riskweave.sources.score_lines import scores_json_in
 from tests.compare import connect, difference
 from tests.conftest import SMALL
 
@@ -50,11 +51,11 @@ def test_hints(spark):
         "possible_sql_injection", None, "possible_hardcoded_secret", "possible_swallowed_exception", None]
 
 
-@pytest.mark.parametrize("hot_copies", [1, 3, 100_000])
-def test_dedup_is_the_same_with_and_without_hot_checksums(spark, hot_copies):
+@pytest.mark.parametrize("salts", [1, 3, 64])
+def test_dedup_does_not_depend_on_the_parts(spark, salts):
     files = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i // 2}") for i in range(60)], "file_id bigint, src string")
     got = {r.file_id: (r.n_copies, r.first_file, r.is_reupload) for r in
-           dedup.reupload_dedup(files, hot_copies=hot_copies).collect()}
+           dedup.reupload_dedup(files, salts=salts).collect()}
     texts = {r.file_id: r.src for r in files.collect()}
     for i, text in texts.items():
         copies = [j for j, other in texts.items() if other == text]
@@ -88,19 +89,26 @@ def test_binary_corpus_end_to_end(spark, tmp_path):
     (tmp_path / "a" / "b" / "B.java").write_bytes(b"class B { /* \xff */ }")
     (tmp_path / "a" / "readme.txt").write_text("class")
     result, rejected = analyse_uploads(scan_corpus(spark, str(tmp_path / "a")),
-                                       analysed_at=F.lit("2024-01-01 00:00:00"))
+                                       analysed_at=F.lit("2024-01-01 00:00:00"), run_id="r1")
     rows = {r.file_name: r for r in result.records.collect()}
     assert set(rows) == {"A.java", "B.java"}
     assert (rows["A.java"].high_count, rows["A.java"].risk_score, rows["A.java"].methods_analysed) == (1, 6, 1)
     assert rows["B.java"].file_size_bytes == 19 and rows["B.java"].total_findings == 0
     assert [r.reject_reason for r in rejected.collect()] == ["NOT_JAVA"]
     target = str(tmp_path / "out")
-    for _ in range(2):  # a rerun replaces its own date
+    for _ in range(2):  # a rerun replaces its own rows
         write_results(result.records, target, "2024-01-01")
     write_results(result.records, target, "2024-01-02")
     assert spark.read.parquet(target).groupBy("run_date").count().count() == 2
     assert spark.read.parquet(target).count() == 4
-    assert history.record_with_findings(result.records, result.findings, record=12345).count() == 0
+    write_results(result.records.withColumn("run_id", F.lit("r2")), target, "2024-01-01")  # another run of a day stays beside it
+    assert spark.read.parquet(target).where("run_date = '2024-01-01'").groupBy("run_id").count().count() == 2
+    assert len({r.record_id for r in result.records.collect()}) == 2
+    assert {r.record_id for r in result.findings.collect()} <= {r.record_id for r in result.records.collect()}
+    folder = str(tmp_path / "a")
+    assert {r.file_name for r in scan_corpus(spark, folder, max_bytes=30).collect()} == {"B.java", "readme.txt"}
+    assert [(r.safe_name, r.reject_reason) for r in oversized_files(spark, folder, 30).collect()] == [("A.java", "TOO_LARGE")]
+    assert history.record_with_findings(result.records, result.findings, record="no such file").count() == 0
 
 
 def test_snippet_cap_limits_before_the_exchange(spark):
@@ -119,10 +127,104 @@ def test_vectors_raise_and_lower_confidence(spark):
         ("PATH_TRAVERSAL", 1.0), ("PATH_TRAVERSAL", 0.5), ("NONE", 0.0)]
 
 
+def test_every_file_is_analysed_or_rejected(spark):
+    good, broken = "class A { void m() { } }", "class A {\n void a( {\n }\n}"
+    files = spark.createDataFrame(
+        [(1, "A.java", good), (2, "B.java", broken), (None, "C.java", good), (4, "D.txt", good), (5, "E.java", "x" * 90)],
+        "file_id bigint, file_name string, src string").withColumn("size_bytes", F.octet_length("src"))
+    result, rejected = analyse_uploads(files, max_bytes=80)
+    assert [r.file_id for r in result.records.collect()] == [1]
+    assert sorted((r.safe_name, r.reject_reason, r.line) for r in rejected.collect()) == [
+        ("B.java", "BRACKET_MISMATCH", 4), ("C.java", "NO_FILE_ID", None), ("D.txt", "NOT_JAVA", None), ("E.java", "TOO_LARGE", None)]
+
+
+def test_limits_on_scoring_are_options(spark):
+    body = "".join(f'String p{i}(R q) {{ return q.getParameter("k").trim(); }}\n' for i in range(40))
+    files = spark.createDataFrame([(1, "A.java", f"class A {{ {body} }}")], "file_id bigint, file_name string, src string")
+    for limit, scored in ((None, 40), (25, 25)):
+        record = analyse(files, max_snippets=limit).records.first()
+        assert (record.total_findings, record.methods_analysed, record.methods_scored) == (scored, 40, scored)
+
+
+def test_one_score_per_snippet(spark):
+    snippets = spark.createDataFrame([(1, 1), (1, 2)], "file_id bigint, method_seq int")
+    row = ("d", "f", None, 0.5, "m", False)
+    scores = spark.createDataFrame(
+        [(1, 1, "A", 3.0, *row), (1, 1, "B", 7.0, *row), (1, 1, "B", 7.0, *row)],
+        "file_id bigint, method_seq int, vulnerability_type string, severity_score double, issue_description string, suggested_fix string,"
+        "owasp_category string, confidence double, model_version string, fallback boolean")
+    got = scoring.fallback_fill(snippets, scores).orderBy("method_seq").collect()
+    assert [(r.vulnerability_type, r.fallback) for r in got] == [("B", False), ("NONE", True)]
+
+
+def test_score_lines_need_a_key_and_no_null_confidence(spark):
+    line = '{"fileId":1,"methodSeq":2,"vulnerabilityType":"X","severityScore":1.0,"issueDescription":"d"%s}'
+    lines = [line % "", line % ',"confidence":0.5', line % ',"confidence":null', line.replace('"fileId":1,', "") % "", line.replace('"methodSeq":2,', "") % ""]
+    ok, bad = scores_json_in(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(r.confidence for r in ok.collect()) == [0.0, 0.5] and bad.count() == 3
+
+
+SAMPLE = """public class Sample {
+    private String dbPassword = "hunter2hunter2";
+    private String apiToken = "tok-123456";
+    public Object find(Statement st, String who) throws Exception {
+        return st.executeQuery("SELECT a FROM b WHERE c='" + who + "'");
+    }
+    public void thumb(String f) throws Exception {
+        Runtime.getRuntime().exec("convert " + f);
+    }
+    public byte[] hash(byte[] in) throws Exception {
+        return MessageDigest.getInstance("MD5").digest(in);
+    }
+    public String config(String p) {
+        try {
+            BufferedReader r = new BufferedReader(new FileReader(p));
+            return r.readLine();
+        } catch (IOException e) { }
+        return null;
+    }
+    public String user(String n) throws Exception {
+        File f = new File("/data/" + n);
+        BufferedReader r = new BufferedReader(new FileReader(f));
+        return r.readLine();
+    }
+    public String join(List<String> xs) {
+        String out = "";
+        for (String x : xs) { out += x + ","; }
+        return out;
+    }
+}
+"""
+
+
+def test_sample_with_twelve_findings(spark):
+    files = spark.createDataFrame([(1, "Sample.java", SAMPLE)], "file_id bigint, file_name string, src string")
+    result = analyse(files)
+    got = [(r.line_number, r.vulnerability_type, r.detection_source) for r in result.findings.orderBy("display_seq").collect()]
+    assert got == [
+        (5, "SQL_INJECTION", "STATIC+AI"), (8, "COMMAND_INJECTION", "STATIC+AI"), (2, "HARDCODED_SECRET", "STATIC"),
+        (3, "HARDCODED_SECRET", "STATIC"), (11, "WEAK_CRYPTOGRAPHY", "STATIC+AI"), (21, "PATH_TRAVERSAL", "STATIC+AI"),
+        (15, "RESOURCE_LEAK", "STATIC+AI"), (15, "RESOURCE_LEAK", "STATIC"), (17, "EMPTY_CATCH_BLOCK", "STATIC"),
+        (22, "RESOURCE_LEAK", "STATIC"), (22, "RESOURCE_LEAK", "STATIC"), (27, "STRING_CONCAT_IN_LOOP", "STATIC+AI")]
+    assert result.records.first().risk_score == 60
+
+
+def test_merge_plan_reads_stored_stages(spark):
+    files = spark.createDataFrame([(1, "Sample.java", SAMPLE)], "file_id bigint, file_name string, src string")
+    result = analyse(files)
+    for rows in (result.findings, result.records):
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "getParameter" not in plan and "sha2(" not in plan and "regexp_extract_all" not in plan
+        assert plan.count("Exchange hashpartitioning") <= 6
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as contract
+    from riskweave.plans.oracles import all_oracles
+    from riskweave.plans.queries import REGISTRY
     assert contract.entry(spark).count() > 0
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(all_oracles()) == set(REGISTRY) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 CHEAP = ["gate_upload", "gate_content", "quarantine_split", "sanitise_name", "checksum_size", "reupload_dedup",
@@ -130,7 +232,8 @@ CHEAP = ["gate_upload", "gate_content", "quarantine_split", "sanitise_name", "ch
          "method_snippets", "attribute_scope", "static_findings", "finding_texts", "signature_scan", "signature_stats",
          "mean_pool", "confidence_map", "hint_bonus", "best_match", "fallback_fill", "catalog_lookup", "merged_findings",
          "merged_findings_degraded", "analysis_records", "record_with_findings", "recent_runs", "report_runs",
-         "stream_scan", "stream_reupload", "stream_status"]
+         "stream_scan", "stream_reupload", "stream_status", "analysis_of_uploads", "rejected_files", "write_results",
+         "score_with_vectors", "merged_findings_vectors", "merge_nested_hits", "latest_run_findings", "severity_counts", "scan_corpus"]
 
 
 @pytest.mark.parametrize("name", CHEAP)

@@ -46,6 +46,12 @@ CASES = [
     (in_method("for (int v : vs) { sum += v; }"), []),
     (in_method('for (int i = 0; i < n; i++) if (n > i) out += "x"; else out += "y"; out += "z";'),
      [(3, "STRING_CONCAT_IN_LOOP")] * 2),
+    (in_method('if (n > 0) for (String s : xs) out += "x"; else out += "y";'), [(3, "STRING_CONCAT_IN_LOOP")]),
+    (in_method('for (String s : xs) if (n > 0) if (n > 1) out += "x"; else out += "y"; else out += "z"; out += "u";'),
+     [(3, "STRING_CONCAT_IN_LOOP")] * 3),
+    (in_method('st.execute("select " + String.join(",", new String[]{a, "b"}));'), [(3, "SQL_INJECTION")]),
+    (in_method('st.execute("select " + f(new int[][]{{1}, {2}}));'), [(3, "SQL_INJECTION")]),
+    (in_method('st.execute("select " + f(x -> { return 1; }));'), []),
     (in_method('do { out += "x"; } while (n > 0);'), []),
     (in_method('while (n > 0) { xs.forEach(x -> { out += "x"; }); }'), [(3, "STRING_CONCAT_IN_LOOP")]),
     (in_method("Socket s = new Socket(a, 1);"), [(3, "RESOURCE_LEAK")]),
@@ -95,6 +101,30 @@ enum Colour { RED("r") { void four() { } }; Colour(String s) { } }
     assert rows[1].code == "public void run() { go(); }"
 
 
+def test_methods_behind_any_type_arguments(spark):
+    deep = "List<" * 9 + "String" + ">" * 9
+    sources = {
+        f"{deep} a() {{ }}": "a", "List<@NonNull String> b() { }": "b", "int c()[] { return null; }": "c",
+        "<T extends Number & Comparable<T>> T d(Map<? super T, int[]> m) { }": "d",
+        "Map<String, Map<String, Map<String, List<String>>>> e() { }": "e",
+    }
+    files = spark.createDataFrame([(i, "class A {\n" + s + "\n}") for i, s in enumerate(sources)], "file_id bigint, src string")
+    rows = method_snippets(code_sites(files)).orderBy("file_id").collect()
+    assert [(r.method_name, r.code) for r in rows] == [(name, source) for source, name in sources.items()]
+
+
+def test_comparisons_are_no_type_arguments(spark):
+    source = in_method('boolean b = n < 3 & n > 1; if (a < b && c > d) { for (String s : xs) { out += "x"; } }')
+    assert findings(spark, [source])[0] == [(3, "STRING_CONCAT_IN_LOOP")]
+
+
+def test_comment_of_a_method_belongs_to_its_snippet(spark):
+    source = 'class A {\n /* other */ int x;\n // a\n /** key = "abcd" */\n <T> void m(String a) { st.execute("select " + a); }\n}'
+    files = spark.createDataFrame([(1, source)], "file_id bigint, src string")
+    row = method_snippets(code_sites(files)).first()
+    assert row.code.startswith('/** key = "abcd" */\n <T> void m') and row.hint is None and row.start_line == 5
+
+
 @pytest.mark.parametrize("source, line, reason", [
     ("class A {\n void a( {\n }\n}", 4, "BRACKET_MISMATCH"),
     ("class A {\n}\n}", 3, "BRACKET_MISMATCH"),
