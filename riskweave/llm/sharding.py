@@ -124,8 +124,9 @@ def cut_keys(items: Items, capacity: int, shards: int) -> list[str]:
         near = min(bisect_left(bounds, ideal), len(bounds) - 1)
         if near and ideal - bounds[near - 1] <= bounds[near] - ideal:
             near -= 1
-        place = bisect_left(bounds, max(at, earliest[j]))
-        near = max(near, place)
+        # no shard stays empty while there are pieces: one for this shard, and one for each behind it
+        least = max(bisect_left(bounds, earliest[j]), bisect_right(bounds, at))
+        near = max(min(near, len(bounds) - 1 - (shards - j)), least)
         near = min(near, bisect_right(bounds, at + capacity) - 1)
         at = bounds[near]
         keys.append(items.rows[near][0] if near < len(items.rows) else "~")
