@@ -44,4 +44,61 @@ SELECT doc_id, size, source_size, target, CAST(source_blocks AS BIGINT) AS sourc
 FROM placed
 """
 
-LLM_ORACLES: dict[str, str] = {"op2_mix_sources": MIX}
+REPETITION = r"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+counted AS (SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS word_chars, greatest(51, len(w) // 10 + 1) AS long_words,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM split),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split),
+grams AS (SELECT words.*, n, long_words,
+    word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram,
+    CASE WHEN p + long_words - 1 <= n THEN md5(string_agg(word, ' ') OVER (
+      PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND long_words - 1 FOLLOWING)) END AS long_gram
+  FROM words JOIN counted USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+twice AS (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again,
+    long_gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, long_gram) > 1 AS long_again FROM grams),
+covered AS (SELECT doc_id, word, long_again, coalesce(max(CASE WHEN again THEN p END) OVER (
+    PARTITION BY doc_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) > 0 AS inside FROM twice),
+summed AS (SELECT doc_id, count(*) FILTER (inside) AS repeat_words, coalesce(sum(length(word)) FILTER (inside), 0) AS covered_chars,
+    bool_or(long_again) AS long_repeat FROM covered GROUP BY doc_id),
+judged AS (SELECT doc_id, n, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS dup_lines, coalesce(repeat_words, 0) AS repeat_words,
+    coalesce(covered_chars, 0) AS covered_chars, coalesce(long_repeat, false) AS long_repeat FROM counted LEFT JOIN summed USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(dup_lines AS BIGINT) AS n_dup_lines, CAST(repeat_words AS BIGINT) AS n_repeat_words,
+  n < 10 OR 100 * repeat_words > 20 * n AS base_failed, CAST(covered_chars AS BIGINT) AS covered_chars,
+  NOT (n < 10 OR 100 * repeat_words > 20 * n OR 100 * covered_chars > 20 * word_chars OR long_repeat) AS kept
+FROM judged
+"""
+
+#: Every window of fifty words that occurs twice in the corpus, joined to spans.
+PASSAGES = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split WHERE len(w) >= 50),
+windows AS (SELECT doc_id, p, n, CASE WHEN p + 49 <= n THEN md5(string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h FROM words),
+again AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM windows WHERE h IS NOT NULL) WHERE c > 1),
+begun AS (SELECT *, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, 0) AS apart FROM again),
+numbered AS (SELECT *, sum(CAST(apart AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM begun)
+SELECT doc_id, CAST(min(p) - 1 AS INTEGER) AS start, CAST(max(p) + 49 AS INTEGER) AS until FROM numbered GROUP BY doc_id, span
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split),
+grams AS (SELECT doc_id, n, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o
+    || ' ' || lead(word, 4) OVER o AS gram FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+shingles AS (SELECT DISTINCT doc_id, gram FROM grams WHERE gram IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(gram) AS n FROM (SELECT doc_id FROM documents) LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 75 * (s.n + t.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.other)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op2_mix_sources": MIX, "op3_repetition_rules": REPETITION, "op4_sparse_suffix_passages": PASSAGES, "op7_odd_sketch_dedup": NEAR_DUPLICATES,
+}

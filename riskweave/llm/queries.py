@@ -34,12 +34,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(documents(spark, sf_dir)).drop("spans")
+    return repetition.repetition(documents(spark, sf_dir)).drop("spans", "longest_repeat")
 
 
 @query
 def op4_sparse_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_dedup.repeated_passages(documents(spark, sf_dir)).drop("text_order")
+    return passage_dedup.repeated_passages(documents(spark, sf_dir)).drop("text_order", "earlier_id")
 
 
 @query
