@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import runs
-from riskweave.llm.pieces import Pieces, library
+from riskweave.llm.pieces import Pieces, kept_in_worker, library
 
 LIMIT = 512
 FREQUENT = 32_768
@@ -48,17 +48,16 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     """Bytes and tokens of each document, and whether it has more tokens than ``limit``."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     local = Pieces(library(path), len)
-    local.learn(set(frequent_pieces(docs, sample)))
+    local.values([" ".join(["", *frequent_pieces(docs, sample)])])
     frequent = docs.sparkSession.sparkContext.broadcast(local.table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(library(path), len, frequent.value)
+        pieces = kept_in_worker(f"lengths {path}", lambda: Pieces(library(path), len, frequent.value))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             tokens: list[int] = []
             for a, b in runs([len(t) for t in texts], RUN_CHARS):
-                pieces.learn_all(texts[a:b])
-                tokens += [sum(pieces.values(t)) for t in texts[a:b]]
+                tokens += map(sum, pieces.values(texts[a:b]))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),

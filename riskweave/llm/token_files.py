@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import runs
-from riskweave.llm.pieces import Pieces, library
+from riskweave.llm.pieces import Pieces, kept_in_worker, library
 from riskweave.llm.wavelet import WaveletMatrix
 from riskweave.plans.stage import work_folder
 
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     kind = np.uint16 if bits <= 16 else np.uint32
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(library(vocabulary), lambda e: np.array(e.ids, kind).tobytes())
+        pieces = kept_in_worker(f"ids {vocabulary}", lambda: Pieces(library(vocabulary), lambda found: np.array(found, kind).tobytes()))
         end = np.array([END_ID], kind).tobytes()
         part, made = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
@@ -72,9 +72,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             keys = batch.column("doc_id").to_pylist()
             order = batch.column("text_order").to_pylist()
             for a, b in runs([len(t) for t in texts], RUN_CHARS):
-                pieces.learn_all(texts[a:b])
-                for i in range(a, b):
-                    coded = b"".join(pieces.values(texts[i])) + end
+                for i, found in enumerate(pieces.values(texts[a:b]), a):
+                    coded = b"".join(found) + end
                     if not doc_ids:
                         first = (keys[i], order[i])
                     ids.append(coded)

@@ -28,11 +28,11 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros = [], []
         for shift in range(bits - 1, -1, -1):
-            ones = ((ids >> ids.dtype.type(shift)) & ids.dtype.type(1)).astype(bool)
+            ones = ids & ids.dtype.type(1 << shift) != 0
             planes.append(np.packbits(ones))
-            low = ids[~ones]
+            low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[ones]))
+            ids = np.concatenate((ids.take(low), ids[ones]))
         return cls(len(ids), planes, zeros)
 
     def plane(self, p: int) -> np.ndarray:
@@ -54,12 +54,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the lowest plane to the highest, each undoing one stable sort."""
-        ids = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        ids = np.zeros(self.size, kind)
         for p in range(len(self.planes) - 1, -1, -1):
             ones = self.plane(p)
             before = np.empty_like(ids)
             before[~ones] = ids[: self.zeros[p]]
-            before[ones] = ids[self.zeros[p] :] | np.uint32(1 << (len(self.planes) - 1 - p))
+            before[ones] = ids[self.zeros[p] :] | kind(1 << (len(self.planes) - 1 - p))
             ids = before
         return ids
 
