@@ -8,10 +8,10 @@
 3. The samples are also folded into an odd sketch, a bitmap of parities. The ones in the
    XOR of two sketches estimate the number of differing samples, and so the similarity,
    with a standard error of about 0.06; pairs more than five errors below 0.75 are dropped.
-4. Rows are sorted by band key over the whole cluster and compared with the ``REACH``
-   rows before them, so a band that thousands share costs rows, not pairs. In larger
-   bands a node meets its neighbours in the order of its next band, and other neighbours
-   in each of its other bands.
+4. Rows are sorted by band key over the whole cluster and compared with rows before
+   them: all pairs of up to ``REACH + 1`` rows, and the ``NEAR`` rows before each further
+   one, so a band that thousands share costs rows, not pairs. In larger bands a node
+   meets its neighbours in the order of its next band, and others in its other bands.
 5. Links are confirmed on the full shingle sets: first each node's best candidate, then
    all candidates whose ends are still in different components. Candidates inside a
    component can't change it.
@@ -47,8 +47,8 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 256
 #: Ones in the XOR of two sketches at similarity 0.75 - 5 * 0.06, from the expected parity count.
 MAX_ODD_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * 0.55) / SKETCH_BITS)))
-#: Rows before a row, under one band key, that it is compared with.
-REACH = 12
+#: A band key's first REACH + 1 rows are all compared with each other, later ones with the NEAR rows before them.
+REACH, NEAR = 12, 4
 RUN_BYTES = 1 << 20
 
 SKETCH_WORDS = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
@@ -138,7 +138,7 @@ def candidates(nodes: DataFrame, reach: int = REACH) -> DataFrame:
     rows = rows.withColumn("next_key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1))
     found = compare_neighbours(
         rows.select("key", "next_key", "node", *SKETCH_WORDS), ["key", "next_key", "node"], reach, near,
-        "a long, b long, odd_bits long", "near-pairs",
+        "a long, b long, odd_bits long", "near-pairs", min(NEAR, reach),
     )
     return found.groupBy("a", "b").agg(F.min("odd_bits").alias("odd_bits"))
 

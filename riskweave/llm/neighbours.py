@@ -3,8 +3,8 @@
 Rows are range-partitioned and sorted by a key and further order columns, so a key of
 any frequency is spread over as many tasks as it needs. Each row is compared with the
 rows just before it that have its key, also across the borders of tasks: a task hands
-out its first and last rows, and those few are compared in a second, small pass. The
-outcome does not depend on where the borders fall.
+out its first and last rows, and those few are compared in a second, small pass. Where
+the borders fall can add comparisons of rows around them, but takes none away.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ from riskweave.llm.common import stored
 Compare = Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
 
 
-def pairs_back(keys: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (earlier, later) at most ``reach`` apart that share their key."""
+def pairs_back(keys: np.ndarray, reach: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (earlier, later) that share their key, at most ``near`` apart or ``reach`` among a key's first rows."""
     early, late = [], []
+    first = np.ones(len(keys), bool)
+    first[reach + 1 :] = keys[reach + 1 :] != keys[: -reach - 1]
     for step in range(1, min(reach, len(keys) - 1) + 1):
         at = np.flatnonzero(keys[step:] == keys[:-step])
+        if step > near:
+            at = at[first[at + step]]
         early.append(at)
         late.append(at + step)
     if not early:
@@ -36,11 +40,15 @@ def pairs_back(keys: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(early), np.concatenate(late)
 
 
-def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: Compare, found_schema: str, purpose: str) -> DataFrame:
-    """What ``compare`` finds for all pairs of rows up to ``reach`` apart with equal ``order[0]``.
+def compare_neighbours(
+    rows: DataFrame, order: list[str], reach: int, compare: Compare, found_schema: str, purpose: str, near: int | None = None,
+) -> DataFrame:
+    """What ``compare`` finds for pairs of rows up to ``reach`` apart with equal ``order[0]``.
 
-    The result is stored.
+    With ``near`` only the first ``reach + 1`` rows of a key are all compared with each
+    other, later ones with the ``near`` rows before them. The result is stored.
     """
+    near = reach if near is None else near
     names, kinds = rows.columns, dict(rows.dtypes)
     found_names = [part.split()[0] for part in found_schema.split(", ")]
     edge_schema = ", ".join(f"row_{n} {kinds[n]}" for n in names)
@@ -57,7 +65,7 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
             fresh = pa.Table.from_batches([batch])
             table = fresh if carry is None else pa.concat_tables([carry, fresh]).combine_chunks()
             old = table.num_rows - fresh.num_rows
-            early, late = pairs_back(table[key].to_numpy(), reach)
+            early, late = pairs_back(table[key].to_numpy(), reach, near)
             new = late >= old
             found = compare(table, early[new], late[new])
             if target is None:
@@ -66,8 +74,9 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
             if seen < reach:
                 yield from padded(edges(fresh.slice(0, reach - seen), part, seen, False), target)
             seen += fresh.num_rows
-            carry = table.slice(max(0, table.num_rows - reach))
+            carry = table.slice(max(0, table.num_rows - reach - 1))
         if carry is not None:
+            carry = carry.slice(max(0, carry.num_rows - reach))
             last = edges(carry, part, seen - carry.num_rows, True)
             yield from padded(last, target)
 
@@ -102,7 +111,7 @@ def compare_neighbours(rows: DataFrame, order: list[str], reach: int, compare: C
         frame["rank"] = frame.edge_place - frame.edge_part.map(per_part["min"]) + frame.edge_part.map(before)
         frame = frame.drop_duplicates("rank")
         rank, part, row = (frame[c].to_numpy() for c in ("rank", "edge_part", "row"))
-        early, late = pairs_back(np.zeros(len(frame)), reach)
+        early, late = pairs_back(np.zeros(len(frame)), reach, reach)
         close = (rank[late] - rank[early] <= reach) & (part[late] != part[early])
         table = batch.select([f"row_{n}" for n in names]).rename_columns(names)
         return compare(table, row[early[close]], row[late[close]])
