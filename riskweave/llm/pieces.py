@@ -22,7 +22,7 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Pieces that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_400_000
 
 #: What a table gives for a piece that is not known, and for one inside a longer run of white space.
 UNKNOWN, JOINED = object(), None
@@ -66,9 +66,11 @@ class Table(dict):
     def __init__(self, known: dict[Any, Any]):
         super().__init__(known)
         self.asked: set[Any] = set()
+        self.joined = False
 
     def __missing__(self, key: Any) -> Any:
         if key.__class__ is not tuple and (not key or key[0].isspace()):
+            self.joined = True
             return JOINED
         split = parts(key)
         if not split:
@@ -129,7 +131,9 @@ class Pieces:
             self.learn(asked)
             now = self.table.__getitem__
             found = [[now(x) if v is UNKNOWN else v for x, v in zip(k, f, strict=True)] for k, f in zip(keys, found, strict=True)]
-        return [
-            [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)] if JOINED in f else f
-            for text, f in zip(texts, found, strict=True)
-        ]
+        if self.table.joined:
+            self.table.joined = False
+            for i, text in enumerate(texts):
+                if JOINED in found[i]:
+                    found[i] = [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
+        return found

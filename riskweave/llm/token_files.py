@@ -17,6 +17,7 @@ written each; an empty table gives no files and no rows; other columns are ignor
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +48,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     size = library(vocabulary).get_vocab_size()
     bits = max(1, (size - 1).bit_length())
-    kind = np.uint16 if bits <= 16 else np.uint32
+    kind, code = (np.uint16, "H") if bits <= 16 else (np.uint32, "I")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = kept_in_worker(f"ids {vocabulary}", lambda: Pieces(library(vocabulary), lambda found: np.array(found, kind).tobytes()))
+        pieces = kept_in_worker(f"ids {vocabulary}", lambda: Pieces(library(vocabulary), lambda found: array(code, found).tobytes()))
         end = np.array([END_ID], kind).tobytes()
         part, made = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []

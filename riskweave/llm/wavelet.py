@@ -32,7 +32,7 @@ class WaveletMatrix:
             planes.append(np.packbits(ones))
             low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            ids = np.concatenate((ids.take(low), ids[ones]))
+            ids = np.concatenate((ids.take(low), ids.take(np.flatnonzero(ones))))
         return cls(len(ids), planes, zeros)
 
     def plane(self, p: int) -> np.ndarray:
@@ -57,10 +57,11 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         ids = np.zeros(self.size, kind)
         for p in range(len(self.planes) - 1, -1, -1):
-            ones = self.plane(p)
+            ones, zeros = self.plane(p), self.zeros[p]
+            ids[zeros:] |= kind(1 << (len(self.planes) - 1 - p))
             before = np.empty_like(ids)
-            before[~ones] = ids[: self.zeros[p]]
-            before[ones] = ids[self.zeros[p] :] | kind(1 << (len(self.planes) - 1 - p))
+            before[np.flatnonzero(~ones)] = ids[:zeros]
+            before[np.flatnonzero(ones)] = ids[zeros:]
             ids = before
         return ids
 
