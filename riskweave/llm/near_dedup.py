@@ -10,14 +10,18 @@
    with a standard error of about 0.06; pairs more than five errors below 0.75 are dropped.
 4. Rows are sorted by band key over the whole cluster and compared with rows before
    them: all pairs of up to ``REACH + 1`` rows, and the ``NEAR`` rows before each further
-   one, so a band that thousands share costs rows, not pairs. In larger bands a node
-   meets its neighbours in the order of its next band, and others in its other bands.
+   one, so a band that thousands share costs rows, not pairs.
 5. Links are confirmed on the full shingle sets: first each node's best candidate, then
    all candidates whose ends are still in different components. Candidates inside a
    component can't change it.
-6. Components come from star steps; a document's component is the least id in it.
+6. Larger bands that still hold several components are compared whole, in blocks of
+   ``BLOCK_ROWS`` rows a side, but for pairs inside a component. A pair goes on unless
+   parity bitmaps of the full sets differ in more places than sets at 0.75 can, which
+   loses no link. Again each node's best candidate is confirmed first, then what is left.
+7. Components come from star steps; a document's component is the least id in it.
 
-Only candidates' texts are read a second time, and only numbers are shuffled otherwise.
+Only the texts of candidates and of nodes in such bands are read a second time, and only
+numbers are shuffled otherwise.
 
 Defined results: a null text, an empty one and one of white space only have no shingles
 and are linked with nothing; a row without id takes part, gives no id to its component
@@ -49,6 +53,10 @@ SKETCH_BITS = 256
 MAX_ODD_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * 0.55) / SKETCH_BITS)))
 #: A band key's first REACH + 1 rows are all compared with each other, later ones with the NEAR rows before them.
 REACH, NEAR = 12, 4
+#: Rows on either side of a block in which a larger band is compared.
+BLOCK_ROWS = 512
+#: Bits of a set's parity bitmap for each shingle, at least.
+BITS_PER_SHINGLE = 4
 RUN_BYTES = 1 << 20
 
 SKETCH_WORDS = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
@@ -193,6 +201,77 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles per place, in a power of two of 64-bit words; the halves' XOR is the bitmap of half the size."""
+    words = 1 << max(0, (BITS_PER_SHINGLE * len(shingles) - 1) // 64).bit_length()
+    places, counts = np.unique(shingles & np.uint64(64 * words - 1), return_counts=True)
+    bits = np.zeros(64 * words, np.uint8)
+    bits[places.astype(np.int64)] = counts & 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """Size and parity bitmap of each set."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "node": batch.column("node"), "size": pa.array([len(x) for x in shingles], pa.int64()),
+                "bits": pa.array([parity_bitmap(x).tobytes() for x in shingles], pa.binary()),
+            })
+
+    return sets.mapInArrow(bits, "node long, size long, bits binary")
+
+
+def crowded(rows: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """Rows (key, node) of the bands that hold more nodes than ``most`` and several components, with both."""
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    return rows.join(keys.filter((F.col("held") > most) & (F.col("_a") != F.col("_b"))).drop("_a", "_b"), "key")
+
+
+def met_in_blocks(rows: DataFrame, marks: DataFrame, min_percent: int, best_only: bool) -> DataFrame:
+    """Pairs of a band's nodes in different components whose bitmaps allow a link; with ``best_only`` each node's best per block."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, root, size, part = (table[c].to_numpy() for c in ("node", "root", "size", "part"))
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        bits = [np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()]
+        widths = np.array([len(x) for x in bits])
+        found = [[np.zeros(0, np.int64)] * 3]
+        for width in np.unique(widths):
+            own = np.flatnonzero(widths == width)
+            low = np.stack([bits[i] for i in own])
+            for wide in np.unique(widths[widths >= width]):
+                other = np.flatnonzero(widths == wide)
+                high = np.bitwise_xor.reduce(np.stack([bits[i] for i in other]).reshape(len(other), wide // width, width), axis=1)
+                for at, i in enumerate(own.tolist()):
+                    open_ = (root[other] != root[i]) & ((wide > width) | (other > i))
+                    open_ &= 100 * np.minimum(size[other], size[i]) >= min_percent * np.maximum(size[other], size[i])
+                    if across:
+                        open_ &= part[other] != part[i]
+                    js = other[open_]
+                    differ = np.bitwise_count(high[open_] ^ low[at]).sum(1, dtype=np.int64)
+                    # sets of similarity p differ in at most (1 - p) / (1 + p) of their sizes' sum
+                    close = (100 + min_percent) * differ <= (100 - min_percent) * (size[js] + size[i])
+                    found.append([np.full(int(close.sum()), i), js[close], differ[close]])
+        a, b, odd = (np.concatenate(x) for x in zip(*found, strict=True))
+        if best_only and len(a):
+            share = odd / (size[a] + size[b])
+            ends, pair = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((pair, np.tile(share, 2), ends))
+            best = np.unique(pair[order[np.unique(ends[order], return_index=True)[1]]])
+            a, b = a[best], b[best]
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    parts = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", "node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")}).join(marks, "node")
+    dealt = dealt.select("key", "i", "j", "part", "node", "root", "size", "bits")
+    return dealt.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, min_percent: int = MIN_PERCENT, reach: int = REACH) -> DataFrame:
     """Component of each document under links of near-equal shingle sets."""
     rows = stored(profiles(docs, width), "near-profiles")
@@ -210,6 +289,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, min_percent: in
     rest = apart(pairs.join(tried, ["a", "b"], "left_anti"), first)
     links = confirmed(rest, sets, min_percent).unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(links, "near-stars")
+    wide = stored(crowded(nodes.select("node", F.explode("bands").alias("key")), roots, reach + 1), "near-crowded")
+    # few corpora have such bands
+    if not wide.isEmpty():
+        ends = wide.select("node").distinct()
+        sets = stored(node_sets(docs, nodes.select("node", "doc_id", "text_order").join(ends, "node"), width), "near-sets")
+        marks = stored(bitmaps(sets), "near-bitmaps")
+        for best_only in (True, False):
+            met = stored(met_in_blocks(crowded(wide.select("node", "key"), roots, reach + 1), marks, min_percent, best_only), "near-met")
+            joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = components(confirmed(met, sets, min_percent).unionByName(joined), "near-stars")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = rooted.join(least, "root").select("node", "root", "component_id")
