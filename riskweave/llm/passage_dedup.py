@@ -12,9 +12,13 @@ it. A match is extended right and left, and counts if it spans ``MIN_WORDS`` wor
 passage in a third of all documents costs rows, not pairs, and its rows are spread
 over as many tasks as they fill.
 
+A gram with more rows than are all compared may hide a match that lies on its left: the
+up to ``SIDE + 1`` windows of ``MIN_WORDS`` words through such a gram are hashed and
+counted, and each that occurs twice is a match.
+
 A word is reported if one of its matches covers it; a document's spans are their union
 (word positions, end exclusive), each with the least id among the matched documents
-where that is smaller: there the passage occurred first, as far as neighbours show.
+where that is smaller: there the passage occurred first, as far as its matches show.
 
 Defined results: words are compared as they stand; null, empty and shorter texts have
 no spans; a passage that a document repeats counts; rows without id have spans of
@@ -31,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import runs, texts_of, words_of
+from riskweave.llm.common import runs, stored, texts_of, words_of
 from riskweave.llm.neighbours import compare_neighbours
-from riskweave.llm.shingles import gram_hashes, word_hashes
+from riskweave.llm.shingles import FACTOR, gram_hashes, mixed, word_hashes
 
 MIN_WORDS = 50
 GRAM = 11
@@ -47,6 +51,7 @@ RUN_BYTES = 1 << 20
 
 SUFFIX_SCHEMA = "gram long, right binary, left binary, doc_id long, text_order long, place int"
 MATCH_SCHEMA = "doc_id long, text_order long, start int, until int, other_id long"
+WINDOW_SCHEMA = "window long, doc_id long, text_order long, start int"
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -154,11 +159,52 @@ def extended(table: pa.Table, early: np.ndarray, late: np.ndarray) -> pa.Table:
     })
 
 
+def prefix_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of the first 0, 1, ... SIDE codes of each row."""
+    out = np.zeros((len(codes), SIDE + 1), np.uint64)
+    for k in range(SIDE):
+        out[:, k + 1] = out[:, k] * np.uint64(FACTOR) + codes[:, k].astype(np.uint64)
+    return mixed(out)
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    """Hash and place of each passage of ``MIN_WORDS`` words through the gram of each suffix."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.arange(SIDE + 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                right, left = code_rows(batch.column("right")), code_rows(batch.column("left"))
+                gram = batch.column("gram").to_numpy().view(np.uint64)[:, None] + before.astype(np.uint64)
+                hashes = mixed((prefix_hashes(left) * np.uint64(FACTOR) + prefix_hashes(right)[:, SIDE - before]) * np.uint64(FACTOR) + gram)
+                n_left, n_right = (left != 0).sum(1)[:, None], (right != 0).sum(1)[:, None]
+                row, words = np.nonzero((before <= n_left) & (SIDE - before <= n_right))
+                place = batch.column("place").to_numpy()[row] - words
+                yield pa.RecordBatch.from_pydict({
+                    "window": hashes[row, words].view(np.int64), "doc_id": batch.column("doc_id").take(pa.array(row)),
+                    "text_order": batch.column("text_order").take(pa.array(row)), "start": place.astype(np.int32),
+                })
+
+    return rows.mapInArrow(cut, WINDOW_SCHEMA)
+
+
+def repeated_windows(rows: DataFrame, reach: int) -> DataFrame:
+    """Matches of the passages through grams that have more rows than are all compared."""
+    many = rows.groupBy("gram").agg(F.count("*").alias("_n")).filter(F.col("_n") > reach + 1).select("gram")
+    held = windows(stored(rows.join(many, "gram"), "passage-common-grams"))
+    twice = held.groupBy("window").agg(F.count("*").alias("_n"), F.min("doc_id").alias("other_id")).filter("_n > 1").drop("_n")
+    until = (F.col("start") + MIN_WORDS).alias("until")
+    return held.join(twice, "window").select("doc_id", "text_order", "start", until, "other_id")
+
+
 def repeated_passages(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Per document and span of repeated words: start, end, and the least document that shares some of it."""
+    rows = stored(suffixes(docs), "passage-suffixes")
     matches = compare_neighbours(
-        suffixes(docs), ["gram", "right", "left", "doc_id", "text_order", "place"], reach, extended, MATCH_SCHEMA, "passage-matches",
+        rows, ["gram", "right", "left", "doc_id", "text_order", "place"], reach, extended, MATCH_SCHEMA, "passage-matches",
     )
+    matches = matches.unionByName(repeated_windows(rows, reach))
     # a document's matches are at most as many as its words
     before = Window.partitionBy("doc_id", "text_order").orderBy("start", "until").rowsBetween(Window.unboundedPreceding, -1)
     until_here = Window.partitionBy("doc_id", "text_order").orderBy("start", "until").rowsBetween(Window.unboundedPreceding, 0)

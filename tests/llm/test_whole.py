@@ -6,7 +6,8 @@ import random
 
 import numpy as np
 
-from riskweave.llm import near_dedup
+from riskweave.llm import near_dedup, passage_dedup
+from riskweave.llm.shingles import gram_hashes, word_hashes
 from tests.llm import corpora
 
 
@@ -44,3 +45,28 @@ def test_near_duplicates_inside_a_family_of_one_template(spark):
     least = least_linked(data)
     assert len(set(least.values())) > 600
     assert got == least
+
+
+def boilerplate() -> list[str]:
+    """Twenty words with a gram of so small a hash that suffixes nearly always begin there."""
+    for seed in range(10_000):
+        words = corpora.prose(seed, 20)
+        if gram_hashes(word_hashes([w.encode() for w in words]), passage_dedup.GRAM).min() < 2**64 // 500:
+            return words
+    raise AssertionError
+
+
+def test_passages_that_lie_before_a_common_line(spark):
+    line = boilerplate()
+    data, expected = [], {}
+    for i in range(300):
+        own, after = corpora.prose(50_000 + i, 60), corpora.prose(60_000 + i, 60)
+        if i >= 290:  # shares the 35 words before the line with a document far from it
+            own[-35:] = corpora.prose(50_000 + i - 290, 60)[-35:]
+            own[-36] = "other"
+            expected |= {i: [(25, 80, i - 290)], i - 290: [(25, 80, None)]}
+        data.append((i, " ".join(own + line + after), "en", "a", 1))
+    got: dict[int, list] = {}
+    for r in passage_dedup.repeated_passages(corpora.frame(spark, data)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["until"], r["earlier_id"]))
+    assert got == expected
