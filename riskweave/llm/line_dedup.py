@@ -5,8 +5,10 @@ from the later one (the one with the larger id).
 
 1. Every line with a word is hashed. A line that occurs in several documents points each
    of them to the first one that has it; a *rare* line (in at most ``RARE`` documents)
-   points to the nearest earlier one as well. So a line costs at most two pairs per
-   document however many share it, and every shared line leads to an earlier holder.
+   points to the nearest earlier one as well. So does the shortest run of lines from each
+   line on that holds ``MIN_BLOCK_WORDS`` words, to the run's first holder. So a line costs
+   at most three pairs per document however many share it, and every common block leads
+   to an earlier document that has its beginning.
 2. A pair is aligned on the lines that either shares with any document: patience diff
    matches the lines that occur once in both parts, keeps their longest increasing
    subsequence, and repeats inside the gaps; matched lines grow over equal neighbours.
@@ -89,6 +91,33 @@ def partners(shared: DataFrame, rare: int = RARE) -> DataFrame:
     return first.unionByName(nearest.select("p.doc", "p.earlier")).distinct()
 
 
+def run_partners(sequences: DataFrame, at_least: int) -> DataFrame:
+    """Pairs (doc, first document) that share a shortest run of several lines with enough words."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = [], []
+            for row, lines in enumerate(batch.column("sequence").to_pylist()):
+                until = total = 0  # the lines from i to until follow each other and hold so many words
+                for i, line in enumerate(lines):
+                    if until <= i:
+                        until, total = i, 0
+                    while total < at_least and until < len(lines) and (until == i or lines[until]["ordinal"] == lines[until - 1]["ordinal"] + 1):
+                        total += lines[until]["words"]
+                        until += 1
+                    if total >= at_least and until > i + 1:  # a single line has its own first holder
+                        run = np.array([x["line"] for x in lines[i:until]], np.int64)
+                        rows.append(row)
+                        hashes.append(xxhash.xxh3_64_intdigest(run.tobytes()) - (1 << 63))
+                    total -= line["words"]
+            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(pa.array(rows, pa.int64())), "run": pa.array(hashes, pa.int64())})
+
+    kind = dict(sequences.dtypes)["doc"]
+    held = sequences.mapInArrow(runs, f"doc {kind}, run long")
+    several = held.groupBy("run").agg(F.min("doc").alias("earlier"), F.max("doc").alias("_last")).filter("earlier != _last").drop("_last")
+    return held.join(several, "run").filter("doc != earlier").select("doc", "earlier").distinct()
+
+
 def kept_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence that increases on both sides (pairs are sorted by the first)."""
     tails: list[int] = []
@@ -177,7 +206,9 @@ def line_cuts(docs: DataFrame, rare: int = RARE, min_block_words: int = MIN_BLOC
     shared = stored(shared_lines(rows), "shared-lines")
     # only lines that some other document has can be aligned
     sequences = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ordinal", "place", "line", "words"))).alias("sequence"))
-    blocks = aligned(partners(shared, rare), stored(sequences, "line-sequences"), min_block_words).distinct()
+    sequences = stored(sequences, "line-sequences")
+    pairs = partners(shared, rare).unionByName(run_partners(sequences, min_block_words)).distinct()
+    blocks = aligned(pairs, sequences, min_block_words).distinct()
     cuts = blocks.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "until"))).alias("blocks"), F.min("from_id").alias("first_from"))
     return cuts.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text_order", "blocks", "first_from")
 

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from riskweave.llm import near_dedup, passage_dedup
+from riskweave.llm import line_dedup, near_dedup, passage_dedup
 from riskweave.llm.shingles import gram_hashes, word_hashes
 from tests.llm import corpora
 
@@ -70,3 +70,24 @@ def test_passages_that_lie_before_a_common_line(spark):
     for r in passage_dedup.repeated_passages(corpora.frame(spark, data)).collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["until"], r["earlier_id"]))
     assert got == expected
+
+
+def test_blocks_of_lines_that_all_stand_elsewhere_before(spark):
+    data = []
+    for i in range(12):
+        block = [f"block {i} line {k}" for k in range(3)]
+        for base in (0, 500, 700):  # the lines one by one, before and between the holders of the block
+            data += [(base + 3 * i + k, f"head {base} {i} {k} of its own\n{line}\ntail {base} {i} {k} of its own") for k, line in enumerate(block)]
+        data += [(base + i, "\n".join([f"top {base} {i}", *block, f"end {base} {i}"])) for base in (400, 900)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    held: dict[tuple, int] = {}
+    expected: dict[int, set] = {}
+    for doc, text in sorted(data):
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            until = next((b for b in range(a + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[a:b]) >= line_dedup.MIN_BLOCK_WORDS), None)
+            if until and held.setdefault(tuple(lines[a:until]), doc) < doc:
+                expected.setdefault(doc, set()).update(range(a, until))
+    got = {r["doc_id"]: {i for b in r["blocks"] for i in range(b["start"], b["until"])} for r in line_dedup.line_cuts(docs).collect()}
+    assert len(expected) == 12
+    assert got == expected
