@@ -8,8 +8,11 @@ kind; a span is the whole match, in code points.
 The method adds the kind ``random``: a run of key characters that takes many tokens
 for its length under a tiktoken vocabulary. Ordinary words take few tokens a
 character; random strings have few pairs that the vocabulary knows. Digests of usual
-lengths, UUIDs, words, numbers and joined words (identifiers, paths) are set aside
-first, and so are runs that touch a base span.
+lengths, UUIDs, numbers and words or joined words (identifiers, paths) that take few
+tokens themselves are set aside first, and so are runs that touch a base span. Of a run
+that as a whole is none, what is left between the words at its ends is tested, and then
+each part between signs. Random runs of small letters only are found in part: they take
+about as many tokens as long compounds of rare words.
 
 Defined results: a null text is an empty one and has no spans (the digest of the
 empty string); rows with null or repeated ids are scanned one by one; an empty table
@@ -44,6 +47,12 @@ UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Parts of a joined name: a word in one case or capitalised, or a number.
 NAME = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)")
 MIN_NAME_PART = 3
+#: Characters per token that the words of a name have at least, each encoded alone.
+NAME_CHARS_PER_TOKEN = 2.5
+#: The same for one run of small letters: long compounds of rare words come near random ones.
+LETTERS_PER_TOKEN = 1.75
+MIN_RUN = 16
+PART = re.compile(r"[A-Za-z0-9]+")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 Span = tuple[int, int, int]
@@ -66,25 +75,52 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def is_name(run: str) -> bool:
-    """Words or numbers, joined by signs or by capitals; short changes between kinds are no name."""
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
+def is_name(run: str, tokens: tiktoken.Encoding) -> bool:
+    """Words or numbers, joined by signs or by capitals; short changes between kinds and words of many tokens are no name."""
+    if run.isalpha() and (run.islower() or run.istitle()):
+        return len(run) > LETTERS_PER_TOKEN * len(tokens.encode_ordinary(run))
+    parts = PART.findall(run)
+    pieces = [x for p in parts for x in NAME.findall(p)]
+    words = [x for x in pieces if x.isalpha() and len(x) >= MIN_NAME_PART]
+    if sum(map(len, words)) < NAME_CHARS_PER_TOKEN * sum(len(tokens.encode_ordinary(x)) for x in words):
+        return False
     if all(p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in parts):
         return True
-    pieces = [x for p in parts for x in NAME.findall(p)]
     return sum(map(len, pieces)) >= MIN_NAME_PART * len(pieces)
 
 
+def is_dense(run: str, tokens: tiktoken.Encoding) -> bool:
+    """Many tokens for its length."""
+    return len(run) <= MAX_CHARS_PER_TOKEN * len(tokens.encode_ordinary(run))
+
+
+def is_random(run: str, tokens: tiktoken.Encoding) -> bool:
+    return len(run) >= MIN_RUN and not DIGEST.fullmatch(run) and not UUID.fullmatch(run) and is_dense(run, tokens) and not is_name(run, tokens)
+
+
+def random_parts(run: str, tokens: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """Ranges of a run that are random: all of it, what is left between words at its ends, or parts."""
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
+        return []
+    if is_random(run, tokens):
+        return [(0, len(run))]
+    parts = [m.span() for m in PART.finditer(run)]
+    if len(parts) < 2 or max(b - a for a, b in parts) < MIN_RUN and len(run) < 2 * MIN_RUN:
+        return []
+    inner = [i for i, (a, b) in enumerate(parts) if not run[a:b].isdigit() and is_dense(run[a:b], tokens)]
+    if inner:
+        start, end = parts[inner[0]][0], parts[inner[-1]][1]
+        if is_random(run[start:end], tokens):
+            return [(start, end)]
+    return [(a, b) for a, b in parts if is_random(run[a:b], tokens)]
+
+
 def random_spans(text: str, base: list[Span], tokens: tiktoken.Encoding) -> list[Span]:
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or is_name(run):
-            continue
         if any(start < m.end() and m.start() < end for start, _, end in base):
             continue
-        if len(run) <= MAX_CHARS_PER_TOKEN * len(tokens.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], tokens)]
     return found
 
 

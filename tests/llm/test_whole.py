@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import public_tokenizers
 
-from riskweave.llm import line_dedup, near_dedup, passage_dedup
+from riskweave.llm import line_dedup, near_dedup, passage_dedup, secret_scan
 from riskweave.llm.shingles import gram_hashes, word_hashes
 from tests.llm import corpora
 
@@ -91,3 +92,20 @@ def test_blocks_of_lines_that_all_stand_elsewhere_before(spark):
     got = {r["doc_id"]: {i for b in r["blocks"] for i in range(b["start"], b["until"])} for r in line_dedup.line_cuts(docs).collect()}
     assert len(expected) == 12
     assert got == expected
+
+
+def test_random_keys_of_one_case_and_inside_paths():
+    tokens = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(11)
+    assert secret_scan.random_spans("JBSWY3DPEHPK3PXP", [], tokens) == [(0, 3, 16)]
+    kinds = [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 24)]
+    for letters, n in kinds:
+        for before in ("key ", "see /downloads/customers/documents/"):
+            found = 0
+            for _ in range(200):
+                key = "".join(rng.choices(letters, k=n))
+                spans = secret_scan.random_spans(f"{before}{key} end", [], tokens)
+                found += any(a <= len(before) and b == len(before) + n for a, _, b in spans)
+            assert found >= 196
+    names = "some_long_identifier_name CamelCaseIdentifierName src/main/java/example/ServiceController 2024-01-01-00-00-00 ================ MAX_RETRY_COUNT_VALUE"
+    assert secret_scan.random_spans(names, [], tokens) == []
