@@ -99,6 +99,75 @@ SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other)
 FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
 
+#: Links of sets of four-word shingles at 85 in a hundred, followed to the least id.
+NGRAM_JOIN = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split WHERE len(w) >= 4),
+grams AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS gram
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+shingles AS (SELECT DISTINCT doc_id, gram FROM grams WHERE gram IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND 3),
+sizes AS (SELECT doc_id, count(gram) AS n FROM (SELECT doc_id FROM documents) LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.other)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+def centroids_sql(rounds: int = 3) -> str:
+    """Rounds of assignment and update over (row, component) pairs."""
+    steps = [r"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+points AS MATERIALIZED (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM kept),
+seeded AS (SELECT w, row_number() OVER (ORDER BY sha256('1:' || vec_id), w) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM seeded WHERE c < 16)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+  SELECT x.r, y.c, CAST(sum((x.v - y.v) * (x.v - y.v)) AS BIGINT) AS d FROM points x JOIN c{i} y USING (p) GROUP BY x.r, y.c)) WHERE place = 1)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (SELECT c, p, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v FROM (
+  SELECT c, p, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN points USING (r) GROUP BY c, p)),
+c{i + 1} AS MATERIALIZED (SELECT o.c, o.p, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c AND m.p = o.p)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN kept USING (r)
+JOIN (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY c) t ON t.c = a.c
+"""
+
+
+#: crc32 by its table of 256 remainders, which follow from the reversed polynomial; deletions of one code point find the near words.
+SPELLING = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i:
+    list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, CAST(unicode(ch) AS BIGINT) - 64] END)) AS bytes FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM counted, crc),
+damaged AS (SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+vocabulary AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (SELECT x.word, y.word AS near FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT c.word, v.word FROM cut c JOIN vocabulary v ON v.word = c.rest
+  UNION SELECT v.word, c.word FROM cut c JOIN vocabulary v ON v.word = c.rest),
+ranked AS (SELECT near.word, near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near) AS place FROM near JOIN vocabulary v ON v.word = near.near),
+judged AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND place = 1),
+followed(word, root, steps) AS (SELECT word, word, 0 FROM judged
+  UNION ALL SELECT f.word, j.form, steps + 1 FROM followed f JOIN judged j ON j.word = f.root WHERE j.form IS NOT NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM judged JOIN (SELECT word, arg_max(root, steps) AS root FROM followed GROUP BY word) USING (word)
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op2_mix_sources": MIX, "op3_repetition_rules": REPETITION, "op4_sparse_suffix_passages": PASSAGES, "op7_odd_sketch_dedup": NEAR_DUPLICATES,
+    "op11_rotated_centroids": centroids_sql(), "op12_spelling_variants": SPELLING, "op13_ngram_rtree_join": NGRAM_JOIN,
 }

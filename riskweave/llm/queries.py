@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, line_dedup, mixing, near_dedup, passage_dedup, repetition, secret_scan, sharding, token_counts, token_files
+from riskweave.llm import (
+    centroids, decontamination, line_dedup, mixing, near_dedup, ngram_join, passage_dedup, repetition, secret_scan, sharding, spelling,
+    token_counts, token_files,
+)
 from riskweave.llm.common import documents
 
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +74,19 @@ def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir)).drop("n_random")
+
+
+@query
+def op11_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("centroid_sha256", centroids.digest(F.col("centroid"))).drop("centroid")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+@query
+def op13_ngram_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir)).drop("root")
