@@ -29,16 +29,36 @@ def scored_hits(scored: DataFrame) -> DataFrame:
 def corroborations(static: DataFrame, hits: DataFrame) -> DataFrame:
     """(file_id, method_seq, target_seq): the first structural finding each hit agrees with.
 
-    Equality on file and type plus a line range: an equi join with a residual
-    condition.  A finding meets only the snippets around its line.
+    A sweep instead of a join of findings with hits. The findings of a file and type are
+    numbered by line, so a hit's line range is a range of numbers, found by one sort of
+    findings and range borders. The least ``list_seq`` of a range comes from blocks of 1, 2,
+    4, ... findings: each finding is in one block per length and a range is made of two
+    blocks per length at most. Work is n log n in the findings and hits of a file, whatever
+    their lines; all of it keeps the one exchange by file.
     """
-    places = static.select("file_id", "list_seq", "line_number", F.lower("vulnerability_type").alias("type_key"))
-    ranges = hits.select("file_id", "method_seq", "type_key", "start_line", "end_line")
+    places = static.select("file_id", F.lower("vulnerability_type").alias("type_key"), F.col("list_seq").alias("seq"), F.lit(1).alias("finding"),
+                           F.expr("array(struct(line_number as at, 1 as turn))").alias("events"))
+    ranges = hits.where("start_line <= end_line").select("file_id", "type_key", F.col("method_seq").alias("seq"), F.lit(0).alias("finding"),
+                         F.expr("array(struct(start_line as at, 0 as turn), struct(end_line as at, 2 as turn))").alias("events"))
+    group = "partition by file_id, type_key"
+    numbered = places.unionByName(ranges).repartition("file_id").selectExpr("file_id", "type_key", "seq", "finding", "inline(events)").selectExpr(
+        "file_id", "type_key", "seq", "finding",
+        f"sum(finding) over ({group} order by at, turn rows between unbounded preceding and current row) as upto",
+        f"sum(finding) over ({group}) as held")
+    # a finding's number is upto - 1; a hit's range ends before the larger upto of its borders
+    spans = numbered.where("held > 0").groupBy("file_id", "type_key", "finding", "seq", "held").agg(F.min("upto").alias("low"), F.max("upto").alias("high"))
+    own = "array(struct(n, shiftright(low - 1, n) as block))"
+    first, end = "int(ceil(low / shiftleft(1, n)))", "shiftright(high, n)"
+    covering = (f"if({first} < {end}, array_compact(array(if({first} % 2 = 1, struct(n, bigint({first}) as block), null),"
+                f" if({end} % 2 = 1, struct(n, {end} - 1 as block), null))), array())")
+    lengths = "sequence(0, int(floor(log2(held))))"
+    blocks = spans.where("finding = 1 or low < high").selectExpr(
+        "file_id", "type_key", "finding", "seq",
+        f"inline(flatten(transform({lengths}, n -> if(finding = 1, {own}, {covering}))))")
+    least = f"min(if(finding = 1, seq, null)) over ({group}, n, block)"
     return (
-        ranges.join(places, ["file_id", "type_key"])
-        .where(F.col("line_number").between(F.col("start_line"), F.col("end_line")))
-        .groupBy("file_id", "method_seq")
-        .agg(F.min("list_seq").alias("target_seq"))
+        blocks.selectExpr("file_id", "finding", "seq", f"{least} as least").where("finding = 0 and least is not null")
+        .groupBy("file_id", F.col("seq").alias("method_seq")).agg(F.min("least").alias("target_seq"))
     )
 
 
@@ -63,11 +83,12 @@ def merge_nested_hits(hits: DataFrame) -> DataFrame:
     Inner methods come first, so an earlier hit ends no later than this one and
     lies inside of it exactly if the latest start so far is not before its start.
     Appended hits lie side by side, in the order of their lines: the first one
-    inside is the first appended one that starts at or behind this start.
+    inside is the first appended one that starts at or behind this start. Both are running
+    extrema, from the front and from the back.
     """
     same = Window.partitionBy("file_id", "type_key")
     before = same.orderBy("method_seq").rowsBetween(Window.unboundedPreceding, -1)
-    behind = same.orderBy("start_line").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = same.orderBy(F.desc("start_line")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     latest = F.coalesce(F.max("start_line").over(before), F.lit(-1))
     rows = hits.withColumn("is_appended", latest < F.col("start_line"))
     inside = F.min(F.when(F.col("is_appended"), F.col("method_seq"))).over(behind)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from riskweave.operators import merge
 
 TYPES = ["SQL_INJECTION", "RESOURCE_LEAK", "MADE_UP"]
@@ -69,3 +71,34 @@ def test_merge_equals_the_loop(spark):
         got.setdefault(r.file_id, []).append(
             (r.vulnerability_type, r.line_number, r.confidence, r.detection_source, r.severity))
     assert {k: v for k, v in expected.items() if v} == got
+
+
+def test_first_finding_of_any_line_range(spark):
+    pick = random.Random(9)
+    static, hits, expected = [], [], set()
+    for file_id in range(40):
+        findings = [(seq, pick.choice("AB"), pick.choice([None, *range(1, 60)])) for seq in range(1, pick.randint(1, 80))]
+        static += [(file_id, *f) for f in findings]
+        for seq in range(1, 40):
+            start, end, kind = pick.randint(1, 60), pick.randint(1, 60), pick.choice("ABC")  # ranges cross each other, some are empty
+            hits.append((file_id, seq, kind.lower(), start, end))
+            inside = [n for n, k, line in findings if k == kind and line is not None and start <= line <= end]
+            if inside:
+                expected.add((file_id, seq, min(inside)))
+    got = merge.corroborations(
+        spark.createDataFrame(static, "file_id bigint, list_seq int, vulnerability_type string, line_number int"),
+        spark.createDataFrame(hits, "file_id bigint, method_seq int, type_key string, start_line int, end_line int"))
+    assert len(expected) > 400 and {tuple(r) for r in got.collect()} == expected
+
+
+def test_many_methods_in_one_file_are_no_product(spark):
+    n = 20_000
+    numbers = spark.range(1, n + 1).select(F.lit(1).cast("bigint").alias("file_id"), F.col("id").cast("int").alias("i"))
+    static = numbers.selectExpr("file_id", "i as list_seq", "'SQL_INJECTION' as vulnerability_type", "3 * i as line_number")
+    hits = numbers.selectExpr("file_id", "i as method_seq", "'sql_injection' as type_key", "3 * i - 1 as start_line", "3 * i + 1 as end_line")
+    got = merge.corroborations(static, hits)
+    assert got.where("method_seq = target_seq").count() == n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    alone = merge.merge_nested_hits(hits)  # and as many without a finding
+    assert alone.where("is_appended").count() == n
