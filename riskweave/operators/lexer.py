@@ -10,25 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*+"
-_GAP = r"[ \t\r\n\f]*+"
-
-
-# Levels of nested type arguments; the pattern grows by one copy of itself per level.
-_NESTING = 16
-
-
-def _type_arguments(nesting: int = _NESTING) -> str:
-    """``<...>`` holding type names, bounds, wildcards, annotations and arrays.
-
-    An ampersand joins types behind ``extends`` only; elsewhere it is an operator.
-    """
-    inner = f"(?:{_type_arguments(nesting - 1)})?+" if nesting > 1 else ""
-    name = r"[\p{L}_$][\p{L}\p{M}\p{N}_$.]*+"
-    unit = rf"(?:\?|@{name}|{name}{_GAP}{inner}(?:{_GAP}\[{_GAP}\])*+)"
-    joint = r"(?:,|(?<=extends[ \t\r\n\f]{1,9}[^;(){}=]{1,400})&(?!&))?+"
-    return rf"<{_GAP}(?:{unit}{_GAP}{joint}{_GAP})*+>"
+from riskweave.operators.classes import BEGIN, END, token_class, with_type_turns
 
+_NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*+"
 
 TOKEN_PATTERN = "|".join([
     r"/\*(?s:.*?)\*/",                                              # block comment
@@ -41,7 +25,6 @@ TOKEN_PATTERN = "|".join([
     r"0[xX][0-9A-Fa-f_.]+(?:[pP][+-]?[0-9_]+)?[lLfFdD]?",           # hexadecimal number
     r"0[bB][01_]+[lL]?",                                            # binary number
     r"(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[lLfFdD]?",
-    _type_arguments(),                                              # type arguments
     r"\.\.\.|->|::|\+\+|--|<<=|<<|&&|\|\||[-+*/%&|^=!<>]=",         # long operators
     r"[ \t\n\r\f]+",                                                # white space
     r"(?s:.)",                                                      # anything else
@@ -63,7 +46,6 @@ def token_kind(tok: Column, first: Column) -> Column:
         .when(tok.startswith("//"), "comment")
         .when(tok.startswith("/*"),
               F.when(tok.endswith("*/") & (F.length(tok) >= 4), "comment").otherwise("bad"))
-        .when((first == "<") & tok.endswith(">"), "generic")
         .when(tok == "", "eof")
         .when(first.rlike(r"\p{L}"), "word")
         .otherwise("op")
@@ -71,7 +53,7 @@ def token_kind(tok: Column, first: Column) -> Column:
 
 
 def line_breaks(tok: Column, kind: Column) -> Column:
-    multi = kind.isin("space", "comment", "text", "generic", "bad")
+    multi = kind.isin("space", "comment", "text", "bad")
     return F.when(multi, F.regexp_count(tok, F.lit("\r\n|\r|\n"))).otherwise(0)
 
 
@@ -111,14 +93,27 @@ def up_to_here() -> Window:
 
 
 def token_table(files: DataFrame) -> DataFrame:
-    """(file_id, pos, tok, line, kind, depth); depth counts open brackets, own bracket included."""
-    tokens = cut(spread_files(files)).select(
-        "*", line_breaks(F.col("tok"), F.col("kind")).alias("breaks"),
-        bracket_step(F.col("tok"), F.col("kind")).alias("step"))
+    """(file_id, pos, tok, line, kind, depth); depth counts open brackets, own bracket included.
+
+    Tokens of type arguments, from the opening to the closing angle bracket, are of kind
+    ``generic``, whatever the depth of nesting and with the arguments of annotations.
+    """
+    tokens = cut(spread_files(files)).selectExpr(
+        "*", f"{token_class()} as k").select(
+        "*", line_breaks(F.col("tok"), F.col("kind")).alias("breaks"), bracket_step(F.col("tok"), F.col("kind")).alias("step"))
     opened, lines = F.sum("step").over(up_to_here()), F.sum("breaks").over(up_to_here())
-    return tokens.where(F.col("kind") != "eof").select(
-        "file_id", "pos", "tok",
+    placed = tokens.where(F.col("kind") != "eof").select(
+        "file_id", "pos", F.col("pos").alias("place"), "tok", "kind", "k", "step",
         (1 + lines - F.col("breaks")).cast("int").alias("line"),
-        "kind",
         (opened + F.when(F.col("step") < 0, 1).otherwise(0)).cast("int").alias("depth"),
+        F.count("k").over(up_to_here()).alias("nth"),
     )
+    # a bracket is a child of the level around it and a border of its own
+    mark = f"struct(depth as lvl, if(step > 0, {BEGIN}, {END}) as k, true as mark)"
+    levels = placed.selectExpr(
+        "file_id", "pos", "place", "tok", "kind", "line", "depth", "nth",
+        "inline(if(step = 0, array(struct(depth as lvl, k, false as mark)), array(struct(depth - 1 as lvl, k, false as mark), " + mark + ")))")
+    turned = with_type_turns(levels).where("not mark")
+    inside = (F.sum("turn").over(up_to_here()) > 0) | (F.col("turn") < 0)
+    return turned.select(
+        "file_id", "pos", "tok", "line", F.when(inside & ~F.col("kind").isin("space", "comment"), "generic").otherwise(F.col("kind")).alias("kind"), "depth")

@@ -21,31 +21,15 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
 from riskweave.functions.columns import literal_array, method_hint
+from riskweave.operators.classes import (
+    ASSIGN, AT, BAD, BEGIN, CATCH, CHAR, CLASS, CLOSING, COLONS, COMMA, DO, DOT, ELSE, END, EOF, FINALLY, FOR, ID, IF, INTERFACE, LBRACE,
+    LBRACKET, LITERAL, LOOSE, LPAREN, MINUS, NEW, NOTHING, NUMBER, OPENING, PLUS, PLUS_ASSIGN, PRIMITIVE, RBRACE, RBRACKET, RECORD, RPAREN,
+    SELF, SEMICOLON, STEP, STRING, TEXT, THROWS, TRY, WHILE, is_class, token_class, with_type_turns,
+)
 from riskweave.operators.lexer import bracket_step, cut, line_breaks, spread_files
 
 WATCHED_NAMES = sorted({*K.SQL_CALLS, "exec", "getInstance", "ProcessBuilder", *K.FILE_TYPES, *K.CLOSEABLE_TYPES})
 
-# Token classes.  Comparing small numbers keeps the generated code short
-# enough for the JIT compiler; the texts themselves are rarely needed.
-LPAREN, LBRACKET, LBRACE, RPAREN, RBRACKET, RBRACE = 1, 2, 3, 4, 5, 6
-SEMICOLON, COMMA, DOT, COLONS, ASSIGN, PLUS, MINUS, PLUS_ASSIGN, STEP, LOOSER, AT, OTHER = range(7, 19)
-ID, PRIMITIVE, RECORD, STRING, TEXT, CHAR, NUMBER = range(20, 27)
-NEW, FOR, WHILE, DO, TRY, CATCH, FINALLY, ELSE, CLASS, INTERFACE, THROWS, SELF, LITERAL, KEYWORD, IF = range(30, 45)
-BEGIN, END, EOF, BAD, NOTHING = range(50, 55)
-
-_CLASS_OF_TOKEN = {
-    **{word: KEYWORD for word in K.JAVA_KEYWORDS}, **{word: PRIMITIVE for word in K.JAVA_PRIMITIVES},
-    **{op: LOOSER for op in K.LOOSER_THAN_PLUS},
-    "(": LPAREN, "[": LBRACKET, "{": LBRACE, ")": RPAREN, "]": RBRACKET, "}": RBRACE,
-    ";": SEMICOLON, ",": COMMA, ".": DOT, "::": COLONS, "=": ASSIGN, "+": PLUS, "-": MINUS, "+=": PLUS_ASSIGN,
-    "++": STEP, "--": STEP, "@": AT, "record": RECORD,
-    "new": NEW, "for": FOR, "while": WHILE, "do": DO, "try": TRY, "catch": CATCH, "finally": FINALLY,
-    "else": ELSE, "if": IF, "class": CLASS, "interface": INTERFACE, "throws": THROWS, "this": SELF, "super": SELF,
-    "true": LITERAL, "false": LITERAL, "null": LITERAL,
-}
-_CLASS_OF_KIND = {"word": ID, "string": STRING, "text": TEXT, "char": CHAR, "number": NUMBER, "eof": EOF, "bad": BAD}
-_OPENING, _CLOSING = [LPAREN, LBRACKET, LBRACE], [RPAREN, RBRACKET, RBRACE]
-
 # A place is one number that orders tokens and holds the character offset and
 # the line: offset * 2**31 + line.  The latest place is then simply a maximum.
 _OFFSET = "cast(shiftright({0}, 31) as int)"
@@ -67,31 +51,19 @@ _UNTIL_HERE = "over (partition by file_id order by pos rows between unbounded pr
 _SO_FAR = "over (partition by file_id order by pos rows between unbounded preceding and current row)"
 
 
-def _is(column: str, *classes: int) -> str:
-    return f"({column} in ({', '.join(map(str, classes))}))"
-
-
-def _token_class() -> str:
-    """SQL text of the class of a token; one lookup in a constant map."""
-    pairs = ", ".join(f"'{tok}', {number}" for tok, number in _CLASS_OF_TOKEN.items())
-    rest = " ".join(f"when '{kind}' then {number}" for kind, number in _CLASS_OF_KIND.items())
-    return (f"coalesce(if(kind in ('word', 'op'), try_element_at(map({pairs}), tok), null),"
-            f" case kind {rest} else {OTHER} end)")
-
-
 def _level_rows(files: DataFrame) -> DataFrame:
     """Significant tokens in level order, with their begin and end marks."""
     tok, kind = F.col("tok"), F.col("kind")
     # a comment, a text block or a block is printed on lines of its own; the braces of an
     # array are not a block's (those inside of them are left to the outer ones)
-    skipped = "kind in ('space', 'comment', 'generic')"
+    skipped = "kind in ('space', 'comment')"
     before = f"last(if({skipped}, null, if(length(tok) = 1, tok, 'word')), true) {_UNTIL_HERE}"
     tokens = cut(files).select(
         "file_id", "pos", "tok", "kind", line_breaks(tok, kind).alias("breaks"), bracket_step(tok, kind).alias("step"),
     ).selectExpr(
         "file_id", "pos", "breaks", "step", "length(tok) as size",
-        "if(kind in ('space', 'comment', 'generic'), null, tok) as tok",  # long comments stop here
-        f"if(kind in ('space', 'comment', 'generic'), null, {_token_class()}) as k",
+        f"if({skipped}, null, tok) as tok",  # long comments stop here
+        f"{token_class()} as k",
         f"int(kind in ('comment', 'text') or (kind = 'op' and tok = '{{' and coalesce({before}, '') not in (']', '=', ',', '{{'))) as breaking",
         "int(kind in ('string', 'text', 'char') and contains(tok, '\"')) as quoting",
     ).selectExpr(
@@ -104,9 +76,12 @@ def _level_rows(files: DataFrame) -> DataFrame:
         f"int(count(k) {_SO_FAR}) as nth",
     ).where("k is not null")
     mark = f"struct(lvl + 1 as lvl, if(step > 0, {BEGIN}, {END}) as k)"
-    return tokens.selectExpr(
+    rows = tokens.selectExpr(
         "file_id", "tok", "place", "c1", "broken", "quoted", "nth", "k as bracket",
         f"inline(if(step = 0, array(struct(lvl, k)), array(struct(lvl, k), {mark})))")
+    # type arguments decide nothing and are left out
+    inside = "sum(turn) over (partition by file_id, lvl order by place rows between unbounded preceding and current row)"
+    return with_type_turns(rows).selectExpr("*", f"{inside} as inside").where("inside = 0 and turn = 0").drop("turn", "inside")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -123,39 +98,39 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 
 def _flags() -> dict[str, str]:
     """What a level-order row is, judged by its class and its neighbours' classes."""
-    name1 = _is("k1", ID, RECORD)
-    after_type = f"(({_is('k2', ID, PRIMITIVE)} and k3 != {AT}) or k2 = {RBRACKET})"
+    name1 = is_class("k1", ID, RECORD)
+    after_type = f"(({is_class('k2', ID, PRIMITIVE)} and k3 != {AT}) or k2 = {RBRACKET})"
     linked = (
-        f"({_is('k', *_CLOSING, DOT, COLONS)} or {_is('k1', DOT, COLONS, NEW)}"
-        f" or (k = {LPAREN} and {_is('k1', ID, RECORD, SELF)})"
-        f" or (k = {LBRACKET} and {_is('k1', ID, RECORD, PRIMITIVE, RPAREN, RBRACKET)}))"
+        f"({is_class('k', *CLOSING, DOT, COLONS)} or {is_class('k1', DOT, COLONS, NEW)}"
+        f" or (k = {LPAREN} and {is_class('k1', ID, RECORD, SELF)})"
+        f" or (k = {LBRACKET} and {is_class('k1', ID, RECORD, PRIMITIVE, RPAREN, RBRACKET)}))"
     )
-    after_operand = _is("k1", ID, RECORD, STRING, TEXT, CHAR, NUMBER, *_CLOSING, SELF, CLASS, LITERAL, STEP)
+    after_operand = is_class("k1", ID, RECORD, STRING, TEXT, CHAR, NUMBER, *CLOSING, SELF, CLASS, LITERAL, STEP)
     do_while = f"(k = {WHILE} and k1 = {RBRACE} and k2 = {LBRACE} and k3 = {DO})"
-    loop_body_end = f"(k1 = {LBRACE} and k2 = {RPAREN} and k3 = {LPAREN} and {_is('k4', FOR, WHILE)})"
-    statement_end = f"(not {_is('n1', ELSE, CATCH, FINALLY)} and not (n1 = {WHILE} and k2 = {DO}))"
+    loop_body_end = f"(k1 = {LBRACE} and k2 = {RPAREN} and k3 = {LPAREN} and {is_class('k4', FOR, WHILE)})"
+    statement_end = f"(not {is_class('n1', ELSE, CATCH, FINALLY)} and not (n1 = {WHILE} and k2 = {DO}))"
     return {
-        "boundary": _is("k", BEGIN, SEMICOLON, RBRACE),
-        "separator": _is("k", END, COMMA, SEMICOLON),
+        "boundary": is_class("k", BEGIN, SEMICOLON, RBRACE),
+        "separator": is_class("k", END, COMMA, SEMICOLON),
         "group": f"k = {BEGIN}",
         "paren_group": f"k = {BEGIN} and bracket = {LPAREN}",
-        "opening": _is("k", *_OPENING),
-        "first": _is("k1", NOTHING, BEGIN, SEMICOLON, RBRACE),
+        "opening": is_class("k", *OPENING),
+        "first": is_class("k1", NOTHING, BEGIN, SEMICOLON, RBRACE),
         "chain": f"not {linked}",
-        "header": f"k = {LPAREN} and {name1} and {after_type} and n1 = {RPAREN} and {_is('n2', LBRACE, THROWS, LBRACKET)}",
-        "klass": f"{_is('k', CLASS, INTERFACE)} and not {_is('k1', DOT, AT)} and {_is('n1', ID, RECORD)}",
-        "loop_in": f"{_is('k', FOR, WHILE)} and not {do_while}",
+        "header": f"k = {LPAREN} and {name1} and {after_type} and n1 = {RPAREN} and {is_class('n2', LBRACE, THROWS, LBRACKET)}",
+        "klass": f"{is_class('k', CLASS, INTERFACE)} and not {is_class('k1', DOT, AT)} and {is_class('n1', ID, RECORD)}",
+        "loop_in": f"{is_class('k', FOR, WHILE)} and not {do_while}",
         # an else goes on with the loop only if its body began with an if
         "loop_out": (f"k = {BEGIN} or (k = {SEMICOLON} and (n1 != {ELSE} or l_if < l_loop_in))"
                      f" or (k = {RBRACE} and ({statement_end} or {loop_body_end}))"),
         "try_in": f"k = {TRY}",
-        "try_out": f"k = {BEGIN} or (k = {RBRACE} and not {_is('n1', CATCH, FINALLY)})",
+        "try_out": f"k = {BEGIN} or (k = {RBRACE} and not {is_class('n1', CATCH, FINALLY)})",
         "newly": f"k = {NEW}",
         "plus": f"k = {PLUS} and {after_operand}",
         "minus": f"k = {MINUS} and {after_operand}",
-        "looser": _is("k", LOOSER, ASSIGN, PLUS_ASSIGN),
-        "declared": (f"{_is('k', ID, RECORD)} and ({_is('k1', ID, PRIMITIVE)} or k1 = {RBRACKET})"
-                     f" and {_is('n1', ASSIGN, COMMA, SEMICOLON)}"),
+        "looser": is_class("k", *LOOSE),
+        "declared": (f"{is_class('k', ID, RECORD)} and ({is_class('k1', ID, PRIMITIVE)} or k1 = {RBRACKET})"
+                     f" and {is_class('n1', ASSIGN, COMMA, SEMICOLON)}"),
         "typed_eq": f"k = {ASSIGN} and {name1} and {after_type}",
         "next_eq": f"k = {ASSIGN} and {name1} and k2 = {COMMA}",
     }
@@ -207,10 +182,10 @@ def _sites(rows: DataFrame) -> DataFrame:
         f"(k = {LPAREN} and k1 = {TRY}) as holds_resources",
         f"if(k1 = {STRING}, substring(tok1, 2, length(tok1) - 2), null) as literal",
         f"{plus_since.format('l_start')} as arg_plus",
-        f"(k1 = {STRING} and {_is('k2', BEGIN, COMMA)}) as arg_string",
+        f"(k1 = {STRING} and {is_class('k2', BEGIN, COMMA)}) as arg_string",
         f"""case
             when k = {BAD} then if(startswith(tok, '/*'), 'UNTERMINATED_COMMENT', 'UNTERMINATED_LITERAL')
-            when {_is('k', *_CLOSING)} and (lvl < 0 or k1 != k - 3) then 'BRACKET_MISMATCH'
+            when {is_class('k', *CLOSING)} and (lvl < 0 or k1 != k - 3) then 'BRACKET_MISMATCH'
             when k = {EOF} and lvl != 0 then 'BRACKET_NOT_CLOSED' end as reason""",
     ).selectExpr(
         "*", "if(further, l_next_eq, l_typed_eq) as eq", "if(further, l_next_name, l_typed_name) as eq_name",
@@ -219,7 +194,7 @@ def _sites(rows: DataFrame) -> DataFrame:
         "*", f"{plus_since.format('eq')} as init_plus", f"(k1 = {STRING} and before2 = eq) as init_string",
     )
     watched = ", ".join(f"'{name}'" for name in WATCHED_NAMES)
-    argument = f"{_is('k', END, COMMA)} and l_group = l_paren_group and (arg_plus or arg_string)"
+    argument = f"{is_class('k', END, COMMA)} and l_group = l_paren_group and (arg_plus or arg_string)"
     sites = {
         "eof": _site(f"k = {EOF}", "place"),
         "problem": _site("reason is not null", "place", reason="reason"),
@@ -245,7 +220,7 @@ def _sites(rows: DataFrame) -> DataFrame:
     }
     # only these classes can be a site; the test sits inside the generator because a
     # filter on k would be carried through all the expressions that use k
-    possible = _is("k", *_OPENING, *_CLOSING, SEMICOLON, COMMA, END, PLUS_ASSIGN, EOF, BAD)
+    possible = is_class("k", *OPENING, *CLOSING, SEMICOLON, COMMA, END, PLUS_ASSIGN, EOF, BAD)
     codes = ", ".join(f"if({condition}, {KIND_CODES[kind]}, null)" for kind, (condition, _) in sites.items())
 
     def column(name: str, ddl: str) -> str:

@@ -176,6 +176,12 @@ TEMPLATES = [
     <T extends Number & Comparable<T>> int cells()[] {
         return new int[0];
     }
+    Map<@Size(max = 3, message = "a<b") String, @NonNull List<int[]>> sized() {
+        return n < 3 ? null : m > 4 ? one : two;
+    }
+    A<A<A<A<A<A<A<A<A<A<A<String>>>>>>>>>>> piled() {
+        return null;
+    }
 }
 """,
     # 17 SQL beside the braces of an array; a path that rules and signature see

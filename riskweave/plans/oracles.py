@@ -34,6 +34,7 @@ METHODS = [
     (12, 1, "mix", 2, 5, "possible_hardcoded_secret"),
     (13, 1, "run", 4, 6, None), (13, 2, "outer", 2, 8, None),
     (16, 1, "deep", 2, 4, None), (16, 2, "noted", 5, 7, None), (16, 3, "cells", 8, 10, None),
+    (16, 4, "sized", 11, 13, None), (16, 5, "piled", 14, 16, None),
     (17, 1, "list", 2, 5, None),
     (18, 1, "tail", 2, 6, None),
     (19, 1, "m", 2, 2, None),
@@ -254,19 +255,24 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
-def _token_pattern() -> str:
+def _token_pattern(whole: bool) -> str:
     """Java tokens as far as the corpus has them, written apart from the engine's lexer and for RE2."""
     name = r"[a-zA-Z_$][a-zA-Z0-9_$]*"
-    arguments = ""
-    for _ in range(5):  # the corpus nests four levels
-        item = rf"@?{name}(?:\.{name})*(?:{arguments})?(?:\[\])*" if arguments else rf"@?{name}(?:\.{name})*(?:\[\])*"
-        arguments = rf"<(?:{item}|\?)(?:(?: extends | & |, |,| ){item})*>"
     return "|".join([
         r"/\*(?s:.*?)\*/", r"/\*(?s:.*)", r"//[^\n\r]*", r'"""(?s:.*?)"""', r'"(?:[^"\\\n\r]|\\[^\n\r])*"', r"'(?:[^'\\\n\r]|\\[^\n\r])*'",
-        name, r"[0-9][0-9_]*\.?[0-9]*", arguments, r"\.\.\.|->|::|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=", r"[ \t\n\r\f]+", r"(?s:.)",
+        name, r"[0-9][0-9_]*\.?[0-9]*", *([_arguments(name)] if whole else []), r"\.\.\.|->|::|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=", r"[ \t\n\r\f]+", r"(?s:.)",
     ])
 
 
+def _arguments(name: str) -> str:
+    """Type arguments, as deep as the corpus has them."""
+    arguments = ""
+    for _ in range(12):
+        unit = rf"(?:@{name}(?:\.{name})*(?:\([^()]*\))? )*(?:\?|{name}(?:\.{name})*" + (f"(?:{arguments})?" if arguments else "") + r"(?:\[\])*)"
+        arguments = rf"<(?:{unit}(?: extends | super | & |, |,)?)*>"
+    return arguments
+
+
 def _tokens() -> str:
     kind = """CASE WHEN regexp_matches(tok, '^[\\p{L}_$]') THEN 'word'
       WHEN regexp_matches(tok, '^[ \\t\\r\\n\\f]') THEN 'space'
@@ -275,11 +281,15 @@ def _tokens() -> str:
       WHEN regexp_matches(tok, '^\\.?[0-9]') THEN 'number'
       WHEN tok LIKE '//%' OR (tok LIKE '/*%*/' AND length(tok) >= 4) THEN 'comment'
       WHEN tok IN ('"', '''') OR tok LIKE '/*%' THEN 'bad'
-      WHEN tok LIKE '<%>' THEN 'generic' ELSE 'op' END"""
+      ELSE 'op' END"""
     return f"""
-cut AS (SELECT file_id, unnest(toks) AS tok, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos
-  FROM (SELECT file_id, regexp_extract_all(src, {lit(_token_pattern())}) AS toks FROM code)),
-tokens AS (SELECT file_id, pos, tok, {kind} AS kind,
+pieces AS (SELECT file_id, unnest(toks) AS piece, generate_subscripts(toks, 1) AS nth
+  FROM (SELECT file_id, regexp_extract_all(src, {lit(_token_pattern(True))}) AS toks FROM code)),
+parts AS (SELECT file_id, nth, piece LIKE '<%>' AND length(piece) > 1 AS typed,
+    CASE WHEN piece LIKE '<%>' THEN regexp_extract_all(piece, {lit(_token_pattern(False))}) ELSE [piece] END AS toks FROM pieces),
+cut AS (SELECT file_id, typed, tok, CAST(row_number() OVER (PARTITION BY file_id ORDER BY nth, part) - 1 AS INTEGER) AS pos
+  FROM (SELECT file_id, nth, typed, unnest(toks) AS tok, generate_subscripts(toks, 1) AS part FROM parts)),
+tokens AS (SELECT file_id, pos, tok, CASE WHEN typed AND NOT regexp_matches(tok, '^[ \\t\\r\\n\\f]') THEN 'generic' ELSE {kind} END AS kind,
   CAST(1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER (
     PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line
   FROM cut)"""

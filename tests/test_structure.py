@@ -107,6 +107,11 @@ def test_methods_behind_any_type_arguments(spark):
         f"{deep} a() {{ }}": "a", "List<@NonNull String> b() { }": "b", "int c()[] { return null; }": "c",
         "<T extends Number & Comparable<T>> T d(Map<? super T, int[]> m) { }": "d",
         "Map<String, Map<String, Map<String, List<String>>>> e() { }": "e",
+        "List<" * 200 + "String" + ">" * 200 + " f() { }": "f",
+        "List<@Size(max = 3) String> g(Map<@Pattern(regexp = \"a>b\") String, @A @b.C({1, 2}) int[]> m) { }": "g",
+        "Map<Outer<A>.Inner<B>, ? super @Q(@R(@S(1))) C<?>> h() { }": "h",
+        "<T extends Comparable<? super T> & Map<A, B>, U> void i(List</* c */ T\n> a, Set<U>... b) { }": "i",
+        "java.util.List<java.lang.String[][]> j() { return new ArrayList<>(); }": "j",
     }
     files = spark.createDataFrame([(i, "class A {\n" + s + "\n}") for i, s in enumerate(sources)], "file_id bigint, src string")
     rows = method_snippets(code_sites(files)).orderBy("file_id").collect()
@@ -118,6 +123,24 @@ def test_comparisons_are_no_type_arguments(spark):
     assert findings(spark, [source])[0] == [(3, "STRING_CONCAT_IN_LOOP")]
 
 
+@pytest.mark.parametrize("expression", [
+    "a < b", "a < b && c > d", "a < b & c > d", "a < b ? c > d : e", "f(a < b, c > 3)", "a < 3 > b", "a[1] < b && x[c > d ? 1 : 2]", "a < this.b | c > d",
+    "a < (b) && (c) > d", "a < -b && c > d", "a < b + c && d > e", "a < f(b) || c > d", "a < b.c == d > e",
+])
+def test_operators_of_comparisons_stay_operators(spark, expression):
+    source = in_method(f"boolean v = {expression}; List<String> w = null;")
+    kinds = [(r.tok, r.kind) for r in token_table(spark.createDataFrame([(1, source)], "file_id bigint, src string")).orderBy("pos").collect()]
+    written = [t for t, k in kinds if k == "generic"]
+    assert written == ["<", "String", ">"] * 2  # the parameter's and the last declaration's
+    assert "".join(t for t, _ in kinds) == source
+
+
+def test_type_arguments_without_end_stay_linear(spark):
+    sources = ["class A { x " + "<" * 100_000 + " }", "class A { x " + "A<" * 100_000 + "B" + ">" * 100_000 + " m() { } }", "class A { " + "a < b, " * 50_000 + "}"]
+    files = spark.createDataFrame(list(enumerate(sources)), "file_id bigint, src string")
+    assert [(r.file_id, r.method_name) for r in method_snippets(code_sites(files)).collect()] == [(1, "m")]
+
+
 def test_comment_of_a_method_belongs_to_its_snippet(spark):
     source = 'class A {\n /* other */ int x;\n // a\n /** key = "abcd" */\n <T> void m(String a) { st.execute("select " + a); }\n}'
     files = spark.createDataFrame([(1, source)], "file_id bigint, src string")
