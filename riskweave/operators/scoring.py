@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ RULE_ONLY = "rule-only"
 UNAVAILABLE = "unavailable"
 # Fixed value: an empty mask counts as this much, so the mean of nothing is 0
 _MIN_MASK = 1e-9
+_NO_WEIGHT = 1e-30
 
 
 def _by_type(column: Column, values: dict[str, object]) -> Column:
@@ -32,16 +35,19 @@ def _by_type(column: Column, values: dict[str, object]) -> Column:
 def mean_pool(vectors: DataFrame, key: str, vec: str, mask: str | None = None) -> DataFrame:
     """Element-wise mean of the vectors of a key over rows whose mask is set.
 
-    Sums are combined per (key, position) before the exchange, so a key that
-    holds a large share of all vectors stays spread out.
+    The running mean of a key is one vector in the aggregation's buffer, combined per task,
+    so a row per task and key crosses the one exchange, however many vectors a key has.
+    Vectors of a key have one length; missing and empty ones do not count, null elements are
+    0. A key whose rows are all masked out has a mean of 0.
     """
-    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) if mask else F.lit(1.0)
-    long = vectors.select(key, weight.alias("w"), F.posexplode(vec).alias("i", "x"))
-    pooled = long.groupBy(key, "i").agg(
-        (F.sum(F.col("x").cast("double") * F.col("w")) / F.greatest(F.sum("w"), F.lit(_MIN_MASK))).alias("m"))
-    # one entry per vector position: bounded by the vector length
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
-    return pooled.groupBy(key).agg(F.transform(ordered, lambda e: e["m"]).alias("pooled"))
+    given = F.greatest(F.coalesce(F.col(mask).cast("double"), F.lit(0.0)), F.lit(0.0)) if mask else F.lit(1.0)
+    numbers = F.transform(vec, lambda x: F.when(F.col("w") > 0, F.coalesce(x.cast("double"), F.lit(0.0))).otherwise(0.0))
+    rows = vectors.where(F.size(vec) > 0).withColumn("w", given).select(
+        key, "w", F.greatest("w", F.lit(_NO_WEIGHT)).alias("counted"), array_to_vector(numbers).alias("v"))
+    # the aggregate wants a weight; masked rows are zeros of a weight that adds nothing
+    means = rows.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col("counted")).alias("mean"), F.sum("w").alias("total"))
+    share = F.col("total") / F.greatest("total", F.lit(_MIN_MASK))
+    return means.select(key, F.transform(vector_to_array("mean"), lambda m: m * share).alias("pooled"))
 
 
 def anchor_similarity(hits: DataFrame, vectors: DataFrame, anchors: DataFrame, key_cols: list[str],

@@ -127,6 +127,16 @@ def test_vectors_raise_and_lower_confidence(spark):
         ("PATH_TRAVERSAL", 1.0), ("PATH_TRAVERSAL", 0.5), ("NONE", 0.0)]
 
 
+def test_mean_pool(spark):
+    rows = [("a", [1.0, 2.0], 1), ("a", [3.0, None], 1), ("a", [1e30, 5.0], 0), ("a", None, 1), ("a", [9.0, 9.0], None), ("b", [4.0, -4.0], 0),
+            ("c", [], 1), ("d", [0.0, 0.0], 1), ("e", [2.0] * 768, 1)]
+    chunks = spark.createDataFrame(rows, "k string, v array<float>, m int")
+    got = {r.k: r.pooled for r in scoring.mean_pool(chunks, "k", "v", "m").collect()}
+    assert got == {"a": [2.0, 1.0], "b": [0.0, 0.0], "d": [0.0, 0.0], "e": [2.0] * 768}
+    plan = scoring.mean_pool(chunks, "k", "v", "m")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" not in plan and "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_every_file_is_analysed_or_rejected(spark):
     good, broken = "class A { void m() { } }", "class A {\n void a( {\n }\n}"
     files = spark.createDataFrame(
