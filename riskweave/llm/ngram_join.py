@@ -14,16 +14,19 @@ two boxes' upper corners for all pairs under them.
    size is spread too. Consecutive nodes of a cell form tiles, the lower level of its tree.
 3. Each node is first confirmed against the neighbour it met in most cells. That joins
    families of copies, and cells that lie in one component are done.
-4. In the others an R-tree finds what is left: tiles have boxes over a few wide groups, and
+4. In the others pairs are left. A link needs as many common groups as its sets' sizes and
+   the class demand, so pairs are counted over small cells, and their points compared once.
+   Inside larger cells an R-tree finds them: tiles have boxes over a few wide groups, and
    pairs of tiles whose boxes allow a link meet in a task. There the points of the
-   cell's own groups are packed into a tree by median cuts, both trees are descended together, and
-   pairs of points that the bound leaves are verified on the full sets, most similar first,
-   unless their components have been joined by then.
+   cell's own groups are packed into a tree by median cuts, and both trees are descended together.
+   Pairs of points that the bound leaves, each once for all cells, are verified on the full
+   sets. Where two tiles have many such pairs the sets come to the tiles instead, and pairs
+   are verified there, most similar first, unless their components have been joined by then.
 5. Components come from star steps; a document's component is the least id in it.
 
 Words, shingles and sets are compared by 64-bit hashes. In a cell whose nodes stay apart
 (many variants of one text that differ too much) work grows with the square of its nodes,
-spread over pairs of tiles; no pair but a confirmed one leaves a task.
+spread over pairs of tiles; at most ``DENSE`` pairs per row leave a task unconfirmed.
 
 Defined results: a null text, an empty one and one of white space only have no shingles and
 are linked with nothing; a row without id takes part but gives no id to its component; repeated
@@ -38,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import runs, stored, texts_of
@@ -59,6 +62,10 @@ WIDE = 32
 TILE_ROWS, TILE_SHINGLES = 512, 1 << 21
 #: Points of a leaf in a task's tree.
 LEAF_ROWS = 16
+#: Nodes of a cell up to which its pairs are counted together with those of other cells.
+SMALL = 16
+#: Close pairs per row from which on two tiles are verified as a whole, where their sets meet.
+DENSE = 8
 #: Rows whose groups are handed on together, and sets seen that a task remembers.
 RUN_ROWS, SEEN = 2_048, 1 << 20
 RUN_BYTES = 1 << 20
@@ -67,6 +74,11 @@ PROFILE_SCHEMA = "doc_id long, text_order long, n_shingles long, node long, cell
 CELL_SCHEMA = "key long, node long, size int, previous long, tile long"
 
 
+def differing(sizes, min_percent: int):
+    """Most shingles in which linked sets differ whose sizes have this sum."""
+    return sizes * (100 - min_percent) // (100 + min_percent)
+
+
 class Classes:
     """Size classes, and the groups into which the shingles of a class are hashed."""
 
@@ -82,12 +94,15 @@ class Classes:
         last = int(np.searchsorted(np.array(self.least) * self.min_percent, 100 * size, "right")) - 1
         return list(range(own, last + 1))
 
-    def groups(self, number: int) -> tuple[int, int]:
-        """(groups, groups that may be empty in both sets of a pair); no groups if only equal sets link."""
+    def differ(self, number: int) -> int:
+        """Most shingles in which linked sets of a class differ."""
         while len(self.least) <= number + 1:
             self.of(self.least[-1])
-        largest = self.least[number + 1] - 1
-        differ = 2 * largest * (100 - self.min_percent) // (100 + self.min_percent)
+        return differing(2 * (self.least[number + 1] - 1), self.min_percent)
+
+    def groups(self, number: int) -> tuple[int, int]:
+        """(groups, groups that may be empty in both sets of a pair); no groups if only equal sets link."""
+        differ = self.differ(number)
         spare = 1 + differ // 32
         return (differ + 1 + spare, spare) if differ else (0, 0)
 
@@ -204,27 +219,69 @@ def met_in_cells(rows: DataFrame, min_percent: int) -> DataFrame:
 
 
 def unsettled(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, tile, node, root) of the cells that hold several components."""
-    rows = cells.select("key", "tile", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    return rows.join(ends.select("key"), "key")
+    """(key, tile, node, size, root, held) of the cells that hold several components, and how many nodes."""
+    rows = cells.select("key", "tile", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return rows.join(ends.filter("least != most").select("key", "held"), "key")
+
 
+def class_column(key: str = "key") -> Column:
+    return F.col(key).bitwiseAND(F.lit((1 << CLASS_BITS) - 1).cast("long"))
 
-def with_points(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows with size, set and counts per wide group."""
+
+def often_met(rows: DataFrame, min_percent: int) -> DataFrame:
+    """(a, b, number): pairs of different components that share as many cells of a class as a link needs.
+
+    Linked sets that differ in d shingles agree in all groups but d, of which some may be empty
+    in both. Only small cells are counted; a pair that also meets in a larger one is found there.
+    """
+    classes = Classes(min_percent)
+    classes.of(1 << 31)
+    allowed = F.array(*(F.lit(classes.differ(c)) for c in range(len(classes.least) - 1)))
+    x = rows.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    y = rows.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    close = (100 * F.least("size_a", "size_b") >= min_percent * F.greatest("size_a", "size_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    met = x.join(y, "key").filter(close).withColumn("number", class_column())
+    counted = met.groupBy("a", "b", "number").agg(F.count("*").alias("n"), F.first(F.col("size_a") + F.col("size_b")).alias("sizes"))
+    own = F.floor(F.col("sizes") * (100 - min_percent) / (100 + min_percent))
+    return counted.filter(F.col("n") > F.element_at(allowed, F.col("number").cast("int") + 1) - own).select("a", "b", "number")
+
+
+def within_bound(pairs: DataFrame, points: DataFrame, min_percent: int) -> DataFrame:
+    """(a, b): the pairs whose points allow a link."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)
+                kept.append((100 + min_percent) * int(np.minimum(x, y).sum()) >= min_percent * int(x.sum() + y.sum()))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = points.select(F.col("node").alias("a"), "number", F.col("point").alias("left"))
+    right = points.select(F.col("node").alias("b"), "number", F.col("point").alias("right"))
+    return pairs.join(left, ["a", "number"]).join(right, ["b", "number"]).select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
+
+
+def points_of(sets: DataFrame, min_percent: int) -> DataFrame:
+    """Counts per group of each class of a node, and per wide group."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(min_percent)
         for batch in batches:
-            every = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-            wide = np.array([np.bincount(grouped(x, WIDE), minlength=WIDE) for x in every], np.int32).reshape(-1, WIDE)
-            offsets = np.arange(0, wide.size + 1, WIDE, dtype=np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "node": batch.column("node"), "shingles": batch.column("shingles"), "size": pa.array([len(x) for x in every], pa.int32()),
-                "wide": pa.ListArray.from_arrays(pa.array(offsets), pa.array(wide.ravel())),
-            })
+            found: dict[str, list] = {"node": [], "number": [], "point": [], "wide": []}
+            for node, shingles in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                shingles = np.frombuffer(shingles, np.uint64)
+                wide = np.bincount(grouped(shingles, WIDE), minlength=WIDE)
+                for number in classes.of(len(shingles)):
+                    groups, _ = classes.groups(number)
+                    point = np.bincount(grouped(shingles, groups), minlength=groups) if groups else np.zeros(0)
+                    for name, value in zip(found, (node, number, point.astype(np.int32).tobytes(), wide), strict=True):
+                        found[name].append(value)
+            yield pa.RecordBatch.from_pydict(found, schema=pa.schema([
+                ("node", pa.int64()), ("number", pa.int64()), ("point", pa.binary()), ("wide", pa.list_(pa.int32()))]))
 
-    points = sets.mapInArrow(count, "node long, shingles binary, size int, wide array<int>")
-    return rows.join(points, "node")
+    return sets.mapInArrow(count, "node long, number long, point binary, wide array<int>")
 
 
 def tile_pairs(rows: DataFrame, min_percent: int) -> DataFrame:
@@ -293,8 +350,46 @@ def linked(x: np.ndarray, y: np.ndarray, p: int) -> bool:
     return 100 * common >= p * (len(x) + len(y) - common)
 
 
-def tree_links(rows: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
-    """(a, b): confirmed links between components, enough of them to join what belongs together in two tiles."""
+def in_tile_pairs(rows: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of both tiles of each pair of tiles."""
+    sides = pairs.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
+    return sides.join(rows, ["key", "tile"]).select("key", "a", "b", "tile", "node", "root", *columns)
+
+
+def tiles_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two tiles of a group; the same array if they are one."""
+    tile = table["tile"].to_numpy()
+    left, right = (np.flatnonzero(tile == table[c][0].as_py()) for c in ("a", "b"))
+    return (left, left) if table["a"][0] == table["b"][0] else (left, right)
+
+
+def close_pairs(rows: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
+    """Pairs of nodes in different components that the bound allows: (x, y), or (key, a, b) of two tiles with many."""
+    schema = "x long, y long, key long, a long, b long"
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["key", "a", "b"], RUN_ROWS):
+            found: list[tuple] = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                found += in_tiles(table.slice(s, e - s))
+            yield pa.RecordBatch.from_pydict({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("x", "y", "key", "a", "b"))})
+
+    def in_tiles(table: pa.Table) -> list[tuple]:
+        left, right = tiles_of(table)
+        if not len(left) or not len(right):
+            return []
+        node, root, size = (table[c].to_numpy() for c in ("node", "root", "size"))
+        points = np.stack([np.frombuffer(x, np.int32) for x in table["point"].to_pylist()])
+        close = close_points(left, right, points, size.astype(np.int64), root, min_percent)
+        if len(close) > DENSE * table.num_rows:
+            return [(None, None, *(table[c][0].as_py() for c in ("key", "a", "b")))]
+        return [(*sorted((int(node[i]), int(node[j]))), None, None, None) for _, i, j in close]
+
+    return together(in_tile_pairs(rows, pairs, ["size", "point"]), ["key", "a", "b"]).mapInArrow(join, schema)
+
+
+def dense_links(rows: DataFrame, pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """(a, b): confirmed links between the components of two tiles with many close pairs, enough to join what belongs together."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(min_percent)
@@ -306,13 +401,10 @@ def tree_links(rows: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame
 
     def in_tiles(table: pa.Table, classes: Classes) -> list[tuple[int, int]]:
         groups, _ = classes.groups(class_of(table["key"][0].as_py()))
-        node, root, tile = (table[c].to_numpy() for c in ("node", "root", "tile"))
+        node, root = (table[c].to_numpy() for c in ("node", "root"))
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
         points = np.array([np.bincount(grouped(x, groups), minlength=groups) for x in sets], np.int32)
-        left, right = (np.flatnonzero(tile == table[c][0].as_py()) for c in ("a", "b"))
-        if table["a"][0] == table["b"][0]:
-            right = left
         above: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -321,15 +413,14 @@ def tree_links(rows: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame
             return x
 
         links = []
-        for _, i, j in sorted(close_points(left, right, points, sizes, root, min_percent), reverse=True) if len(left) and len(right) else []:
+        for _, i, j in sorted(close_points(*tiles_of(table), points, sizes, root, min_percent), reverse=True):
             x, y = top(int(root[i])), top(int(root[j]))
             if x != y and linked(sets[i], sets[j], min_percent):
                 above[max(x, y)] = min(x, y)
                 links.append((int(node[i]), int(node[j])))
         return links
 
-    sides = pairs.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    dealt = sides.join(rows, ["key", "tile"]).select("key", "a", "b", "tile", "node", "root", "shingles")
+    dealt = in_tile_pairs(rows, pairs, []).join(sets, "node")
     return together(dealt, ["key", "a", "b"]).mapInArrow(join, "a long, b long")
 
 
@@ -346,10 +437,20 @@ def ngram_components(docs: DataFrame, width: int = SHINGLE_WORDS, min_percent: i
     best = often.groupBy("node").agg(F.max(F.struct("n", "previous")).alias("best"))
     tried = best.select(F.col("node").alias("a"), F.col("best.previous").alias("b"))
     roots = components(confirmed(tried, sets, min_percent), "join-stars")
-    left = stored(with_points(unsettled(cells, roots), sets), "join-points")
-    links = tree_links(left, tile_pairs(left, min_percent), min_percent)
+    left = stored(unsettled(cells, roots), "join-unsettled")
+    points = stored(points_of(sets.join(left.select("node").distinct(), "node"), min_percent), "join-points")
+    few = within_bound(often_met(left.filter(F.col("held") <= SMALL), min_percent), points, min_percent)
+    many = left.filter(F.col("held") > SMALL).withColumn("number", class_column()).join(points, ["node", "number"])
+    many = stored(many.select("key", "tile", "node", "size", "root", "point", "wide"), "join-tiles")
+    close = stored(close_pairs(many, tile_pairs(many, min_percent), min_percent), "join-close")
+    pairs = few.unionByName(close.filter("x IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(links.unionByName(known), "join-stars")
+    roots = components(confirmed(pairs, sets, min_percent).unionByName(known), "join-stars")
+    dense = close.filter("key IS NOT NULL").select("key", "a", "b")
+    if not dense.isEmpty():  # few corpora have such cells
+        now = many.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(dense_links(now, dense, sets, min_percent).unionByName(known), "join-stars")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = rooted.join(least, "root").select("node", "root", "component_id")
