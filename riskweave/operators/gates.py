@@ -9,6 +9,10 @@ from riskweave.functions import constants as K
 from riskweave.functions.columns import contains_any, sanitise_name
 
 
+#: Reasons of both gates, in the order of their tests.
+REASONS = ["EMPTY", "NO_NAME", "PATH_CHARS", "NOT_JAVA", "TOO_LARGE", "BINARY", "NO_TYPE_DECL"]
+
+
 def upload_reason(name: Column, size: Column, max_bytes: int = K.MAX_FILE_BYTES) -> Column:
     """First failing rule on name and size, null when the file passes."""
     return (

@@ -66,15 +66,15 @@ def bracket_step(tok: Column, kind: Column) -> Column:
     )
 
 
-def spread_files(files: DataFrame) -> DataFrame:
-    """Files hashed by ``file_id``, before they are cut into tokens.
+def spread_files(files: DataFrame, about: list[str] | None = None) -> DataFrame:
+    """Files hashed by ``file_id``, before they are cut into tokens; ``about`` names further narrow columns.
 
     Moving the text once is several times cheaper than moving its tokens; all
     later windows, groupings and the join back to the text keep this layout.
     The null test is spelled out so that both readers of the exchange, tokens
     and text, have the same plan and share it; the gates reject files without id.
     """
-    return files.select("file_id", "src").where("file_id is not null").repartition("file_id")
+    return files.select("file_id", "src", *(about or [])).where("file_id is not null").repartition("file_id")
 
 
 def cut(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ One file is one window partition; the size gate bounds it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
@@ -288,8 +288,8 @@ def _with_scope(sites: DataFrame) -> DataFrame:
     )
 
 
-def _with_text(sites: DataFrame, spread: DataFrame) -> DataFrame:
-    """Cut names and code out of the file's text."""
+def _with_text(sites: DataFrame, spread: DataFrame, about: list[str]) -> DataFrame:
+    """Cut names and code out of the file's text; the end of a file has what is known about it."""
     src = F.col("src")
 
     def word(pos: Column, end: Column) -> Column:
@@ -314,14 +314,24 @@ def _with_text(sites: DataFrame, spread: DataFrame) -> DataFrame:
         (F.col("name_pos") - F.col("pos")).alias("scope_chars"),
         (F.col("has_plus") | (F.size("plus_args") > 0)).alias("has_plus"),
         sql_arg.alias("sql_arg"),
+        *[F.when(F.col("kind") == "eof", F.col(name)).alias(name) for name in about],
     )
 
 
-def all_sites(files: DataFrame) -> DataFrame:
-    """Sites of every file, broken files included (see ``code_sites``)."""
-    spread = spread_files(files)
-    rows = _remembered(_neighbours(_level_rows(spread)))
-    sites = _with_text(_with_scope(_with_arguments(_sites(rows))), spread)
+def all_sites(files: DataFrame, about: list[str] | None = None, counts: dict[str, Column] | None = None,
+              observation: Observation | None = None) -> DataFrame:
+    """Sites of every file, broken files included (see ``code_sites``).
+
+    ``about``: columns of the files that the one ``eof`` site of each file carries, so that
+    nothing has to be read from the files again. ``counts`` are observed on the way.
+    """
+    about = about or []
+    spread = spread_files(files, about)
+    # the counts use all columns, so tokens and text still read the same exchange
+    used = {f"with_{name}": F.count(name) for name in about} | (counts or {})
+    watched = spread.observe(observation or Observation(), *[c.alias(name) for name, c in used.items()]) if used else spread
+    rows = _remembered(_neighbours(_level_rows(watched)))
+    sites = _with_text(_with_scope(_with_arguments(_sites(rows))), spread, about)
     same_try = Window.partitionBy("file_id", "try_pos")
     managed = F.filter(literal_array(K.CLOSEABLE_TYPES), lambda name: F.contains(F.col("code"), name))
     return (

@@ -148,6 +148,43 @@ def test_every_file_is_analysed_or_rejected(spark):
         ("B.java", "BRACKET_MISMATCH", 4), ("C.java", "NO_FILE_ID", None), ("D.txt", "NOT_JAVA", None), ("E.java", "TOO_LARGE", None)]
 
 
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_content_is_read_once(spark, tmp_path):
+    files = [(i, f"F{i}.java" if i % 5 else "x.txt", b"class A { void m() { } }" if i % 7 else b"\0") for i in range(40)] + [(None, "N.java", b"class N { }")]
+    source = str(tmp_path / "source")
+    spark.createDataFrame(files, "file_id bigint, file_name string, content binary").selectExpr(
+        "*", "octet_length(content) as size_bytes", "make_valid_utf8(string(content)) as src").write.parquet(source)
+    stored = spark.read.parquet(source)
+    for about in (["file_name", "size_bytes"], ["file_name", "checksum", "reject_reason"]):
+        judged = stored.withColumns({"reject_reason": gates.content_reason(F.col("content")), "checksum": F.sha2("content", 256)})
+        plan = executed(structure.all_sites(judged, about))
+        assert plan.count("- Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+    result, rejected = analyse_uploads(stored)
+    for rows in (result.records, result.findings):
+        plan = executed(rows)
+        assert "/source" not in plan and "content:" not in plan
+    plan = executed(rejected)
+    assert "content:" not in plan and plan.count("/source") == 1  # names of files without id
+    counts = {r.reject_reason: r["count"] for r in rejected.groupBy("reject_reason").count().collect()}
+    assert counts == {**result.reject_counts, "NO_FILE_ID": 1} == {"NOT_JAVA": 8, "BINARY": 4, "NO_FILE_ID": 1}
+    assert result.records.count() == 28
+
+
+def test_parts_of_an_analysis_are_built_when_asked_for(spark, monkeypatch):
+    from riskweave.plans import analysis
+    stages = []
+    monkeypatch.setattr(analysis, "staged", lambda df, purpose: (stages.append(purpose), df)[1])
+    result = analyse(spark.createDataFrame([(1, "A.java", "class A { void m() { } }")], "file_id bigint, file_name string, src string"))
+    assert stages == []
+    assert result.methods.count() == 1 and stages == ["sites"]
+    assert result.scored.count() == 1 and result.records.count() == 1 and result.findings.count() == 0
+    assert stages == ["sites", "scored", "findings"]
+
+
 def test_limits_on_scoring_are_options(spark):
     body = "".join(f'String p{i}(R q) {{ return q.getParameter("k").trim(); }}\n' for i in range(40))
     files = spark.createDataFrame([(1, "A.java", f"class A {{ {body} }}")], "file_id bigint, file_name string, src string")
