@@ -53,10 +53,17 @@ def record_with_findings(records: DataFrame, findings: DataFrame, record: int |
     return joined.withColumn("findings", F.coalesce("findings", empty))
 
 
-def latest_run_findings(records: DataFrame, findings: DataFrame, key: str = "record_id") -> DataFrame:
-    """Findings of the run with the largest id, ordered by severity as text."""
-    latest = records.agg(F.max(key).alias(key))  # one row
-    return findings.join(F.broadcast(latest), key, "left_semi").orderBy("severity")
+def latest_run_findings(records: DataFrame, findings: DataFrame, key: str = "record_id", time: str = "analysed_at",
+                        file: str = "file_id") -> DataFrame:
+    """Findings of the newest record, ordered by severity as text.
+
+    The newest is the one with the latest time; records of one time, or of no time, go by
+    their file id, which is a number where the files have numbers, and then by their own id.
+    An id as text says nothing about which record is newer.
+    """
+    order = F.struct(*[F.col(name) for name in dict.fromkeys([time, file, key]) if name in records.columns])
+    latest = records.agg(F.max_by(key, order)).scalar()
+    return findings.where(F.col(key) == latest).orderBy("severity")
 
 
 def severity_css(severity: Column) -> Column:

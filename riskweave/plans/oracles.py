@@ -388,6 +388,14 @@ records AS (SELECT code.file_id, file_name, CAST(strlen(src) AS INTEGER) AS file
     '""" + K.ENGINE_VERSION + """' AS engine_version
   FROM code LEFT JOIN found USING (file_id) LEFT JOIN counted USING (file_id) WHERE t <> 15)"""
 
+_STORED_RECORD = "run_date, run_id, record_id, file_id, file_name, total_findings, risk_score, analysed_at"
+_STORED = """
+stored AS (SELECT day AS run_date, run AS run_id, run || '/' || file_id AS record_id, file_id, file_name, total_findings, risk_score,
+    CAST(day || ' 12:00:00' AS TIMESTAMP) AS analysed_at
+  FROM records JOIN (VALUES ('run-10', '2024-01-02', 2, 0), ('run-9', '2024-01-01', 3, 0)) r(run, day, n, rest) ON file_id % n = rest
+  UNION ALL SELECT '2024-01-01', 'run-8', 'run-8/' || file_id, file_id, file_name, total_findings, risk_score, TIMESTAMP '2024-01-01 12:00:00'
+  FROM records WHERE file_id = 1)"""
+
 _COSINES = """
 long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 centre AS (SELECT label, i, avg(x) AS m FROM long GROUP BY label, i),
@@ -416,6 +424,7 @@ def _static_list(extra: str) -> str:
 def all_oracles() -> dict[str, str]:
     final = with_(CODE, CATALOG, FINAL_ROWS)
     everything = with_(CODE, CATALOG, METHOD_ROWS, FINAL_ROWS, _RECORDS)
+    stored = with_(CODE, CATALOG, METHOD_ROWS, FINAL_ROWS, _RECORDS, _STORED)
     scored = with_(CODE, CATALOG, METHOD_ROWS, SCORE_ROWS)
     patterns = {name: pattern for name, pattern, _, _ in K.SIGNATURES}
     sql = {f"sig_{short}": _scored_text(f"regexp_matches(text, {lit(patterns[kind])})") for short, kind in {
@@ -625,6 +634,14 @@ def all_oracles() -> dict[str, str]:
         "service_labels": """SELECT event_id, CASE event_type WHEN 'error' THEN 'DEGRADED' WHEN 'view' THEN 'ONLINE'
             ELSE 'ONLINE (rule-only)' END AS label, CASE event_type WHEN 'error' THEN 'status-degraded'
             WHEN 'view' THEN 'status-online' ELSE 'status-partial' END AS css_class FROM events""",
+        # history of stored results
+        "published_records": stored + f"SELECT {_STORED_RECORD} FROM stored",
+        "published_findings": stored + f"""SELECT run_date, s.run_id, s.record_id, display_seq, {_PLACE.replace("file_id", "final.file_id", 1)}
+            FROM stored s JOIN final ON final.file_id = s.file_id""",
+        "stored_recent_runs": stored + f"SELECT {_STORED_RECORD} FROM stored ORDER BY analysed_at DESC, record_id DESC LIMIT 20",
+        "stored_runs_for_file": stored + f"SELECT {_STORED_RECORD} FROM stored WHERE file_name = 'C12.java'",
+        "stored_latest_findings": stored + f"""SELECT s.run_id, s.record_id, severity, {_PLACE.replace("file_id", "final.file_id", 1)}
+            FROM (SELECT * FROM stored ORDER BY analysed_at DESC, file_id DESC LIMIT 1) s JOIN final ON final.file_id = s.file_id""",
         # streams
         "stream_scan": everything + "SELECT * REPLACE ('batch-0/' || file_id AS record_id, 'batch-0' AS run_id) FROM records",
         "stream_reupload": """SELECT sha256(text) AS checksum_sha256, CAST(any_value(strlen(text)) AS INTEGER) AS file_size_bytes,

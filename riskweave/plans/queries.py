@@ -20,6 +20,7 @@ from riskweave.plans.java_corpus import java_corpus
 from riskweave.plans.stage import work_folder
 from riskweave.sources.corpus import scan_corpus, write_results
 from riskweave.sources.score_lines import scores_json_in, snippets_json_in
+from riskweave.sources.store import attempt_folder, publish, published, stored_latest_findings, stored_recent_runs, stored_runs_for_file
 from riskweave.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -697,6 +698,55 @@ def service_labels(spark, sf):
         history.service_css(reachable, loaded).alias("css_class"))
 
 
+# --- history of stored results ----------------------------------------------
+
+def _store(spark, sf):
+    """Three runs of two days; the first one was repeated, and an attempt at another was cut short."""
+    root, result = work_folder(spark, "store"), analysed(spark, sf)
+
+    def run(run_id, day, keep):
+        own = {"run_id": F.lit(run_id), "record_id": record_id(run_id)}
+        at = F.lit(f"{day} 12:00:00").cast("timestamp_ntz")
+        return {"records": result.records.where(keep).withColumns(own | {"analysed_at": at}),
+                "findings": result.findings.where(keep).withColumns(own | {"created_at": at})}
+
+    publish(run("run-10", "2024-01-02", "file_id % 2 = 0"), root, "2024-01-02", "run-10")
+    for keep in ("file_id % 7 = 0", "file_id % 3 = 0"):
+        publish(run("run-9", "2024-01-01", keep), root, "2024-01-01", "run-9")
+    publish(run("run-8", "2024-01-01", "file_id = 1"), root, "2024-01-01", "run-8")
+    cut = attempt_folder(root, "records", "2024-01-03", "run-11", "never-committed")
+    run("run-11", "2024-01-03", "true")["records"].drop("run_id").write.parquet(cut)
+    return root
+
+
+_RECORD = ["run_date", "run_id", "record_id", "file_id", "file_name", "total_findings", "risk_score", "analysed_at"]
+
+
+@query
+def published_records(spark, sf):
+    return published(spark, _store(spark, sf), "records").select(*_RECORD)
+
+
+@query
+def published_findings(spark, sf):
+    return published(spark, _store(spark, sf), "findings").select("run_date", "run_id", "record_id", "display_seq", *_PLACE)
+
+
+@query_as("stored_recent_runs")
+def recent_of_store(spark, sf):
+    return stored_recent_runs(spark, _store(spark, sf)).select(*_RECORD)
+
+
+@query_as("stored_runs_for_file")
+def runs_of_file_in_store(spark, sf):
+    return stored_runs_for_file(spark, _store(spark, sf), "C12.java").select(*_RECORD)
+
+
+@query_as("stored_latest_findings")
+def latest_of_store(spark, sf):
+    return stored_latest_findings(spark, _store(spark, sf)).select("run_id", "record_id", "severity", *_PLACE)
+
+
 # --- streams ----------------------------------------------------------------
 
 def _stream(spark, sf, name):
@@ -709,7 +759,9 @@ def stream_scan(spark, sf):
     sink = work_folder(spark, "scan")
     job = jobs.stream_scan(java_corpus(_stream(spark, sf, "documents")), sink, f"{sink}/_progress")
     job.awaitTermination()
-    return spark.read.parquet(f"{sink}/records").drop("batch", "analysed_at")
+    run = F.concat(F.lit("batch-"), F.substring_index("run_id", "-", -1))  # the query's id is made up by Spark
+    return published(spark, sink, "records").withColumn("run_id", run).withColumn(
+        "record_id", F.concat_ws("/", run, "file_id")).drop("run_date", "analysed_at")
 
 
 @query

@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGES: ContextVar[list[str] | None] = ContextVar("stages", default=None)
+
 
 def work_root(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
@@ -34,8 +39,32 @@ def staged(df: DataFrame, purpose: str = "stage") -> DataFrame:
 
     Several plans read the result without computing it again, each only the columns
     it needs, and a lost executor costs nothing but reading it once more. The
-    folder belongs to the session's owner, who clears it after the run.
+    folder belongs to the session's owner, who clears it after the run; inside
+    ``stages_removed`` it goes with the block.
     """
     path = work_folder(df.sparkSession, purpose)
+    stages = _STAGES.get()
+    if stages is not None:
+        stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextmanager
+def stages_removed(spark: SparkSession) -> Iterator[None]:
+    """Stages that are stored in this block are deleted at its end."""
+    made: list[str] = []
+    token = _STAGES.set(made)
+    try:
+        yield
+    finally:
+        _STAGES.reset(token)
+        for path in made:
+            remove(spark, path)

@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from threading import Event
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskweave.functions import constants as K
 from riskweave.plans.analysis import analyse_uploads
-from riskweave.plans.stage import staged
+from riskweave.plans.stage import stages_removed
+from riskweave.sources.store import has_run, publish
 
 SALTS = 32
 
 
 def stream_scan(files: DataFrame, sink: str, checkpoint: str, max_bytes: int = K.MAX_FILE_BYTES,
-                max_snippets: int | None = None, max_chars: int | None = None) -> StreamingQuery:
-    """Analyse every batch of arriving files; records, findings and rejected files go to Parquet.
+                max_snippets: int | None = None, max_chars: int | None = None, run_date: str | None = None) -> StreamingQuery:
+    """Analyse every batch of arriving files; records, findings and rejected files are published to ``sink``.
 
     The windows of the analysis need whole files, not a whole stream, so each
-    micro-batch runs the batch plan.  A batch writes its own folder, which a
-    repeated batch replaces: results stay exactly-once.
+    micro-batch runs the batch plan. A batch is one run, named after the query and the
+    batch's number, and its tables are committed together (``sources.store``). The query's
+    id lives in its checkpoint: a restarted query goes on with its own runs, a batch that
+    was committed already is not run again, and any number of queries share a sink.
+    Intermediate stages of a batch are deleted when it is committed.
     """
+    begun = Event()
+    name: list[str] = []
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        files = staged(batch, "batch")  # every output reads the batch
-        result, rejected = analyse_uploads(
-            files, run_id=f"batch-{batch_id}", max_bytes=max_bytes, max_snippets=max_snippets, max_chars=max_chars)
-        outputs = {"records": result.records, "findings": result.findings, "rejected": rejected}
-        for name, rows in outputs.items():
-            rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
-
-    return (files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        begun.wait()
+        spark, run_id = batch.sparkSession, f"{name[0]}-{batch_id}"
+        if has_run(spark, sink, run_id):
+            return
+        day = run_date or datetime.now(UTC).date().isoformat()
+        with stages_removed(spark):
+            result, rejected = analyse_uploads(
+                batch, analysed_at=F.current_timestamp(), run_id=run_id, max_bytes=max_bytes, max_snippets=max_snippets, max_chars=max_chars)
+            publish({"records": result.records, "findings": result.findings, "rejected": rejected}, sink, day, run_id)
+
+    query = (files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    name.append(str(query.id))
+    begun.set()
+    return query
 
 
 def stream_reupload(files: DataFrame, time: str, delay: str, content: str = "src") -> DataFrame:
