@@ -66,15 +66,17 @@ def bracket_step(tok: Column, kind: Column) -> Column:
     )
 
 
-def spread_files(files: DataFrame, about: list[str] | None = None) -> DataFrame:
+def spread_files(files: DataFrame, about: list[str] | None = None, in_buckets: bool = False) -> DataFrame:
     """Files hashed by ``file_id``, before they are cut into tokens; ``about`` names further narrow columns.
 
     Moving the text once is several times cheaper than moving its tokens; all
     later windows, groupings and the join back to the text keep this layout.
     The null test is spelled out so that both readers of the exchange, tokens
     and text, have the same plan and share it; the gates reject files without id.
+    Files that lie in buckets of their id (``sources.bucketed``) are where they belong already.
     """
-    return files.select("file_id", "src", *(about or [])).where("file_id is not null").repartition("file_id")
+    known = files.select("file_id", "src", *(about or [])).where("file_id is not null")
+    return known if in_buckets else known.repartition("file_id")
 
 
 def cut(files: DataFrame) -> DataFrame:
@@ -92,13 +94,13 @@ def up_to_here() -> Window:
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def token_table(files: DataFrame) -> DataFrame:
+def token_table(files: DataFrame, in_buckets: bool = False) -> DataFrame:
     """(file_id, pos, tok, line, kind, depth); depth counts open brackets, own bracket included.
 
     Tokens of type arguments, from the opening to the closing angle bracket, are of kind
     ``generic``, whatever the depth of nesting and with the arguments of annotations.
     """
-    tokens = cut(spread_files(files)).selectExpr(
+    tokens = cut(spread_files(files, in_buckets=in_buckets)).selectExpr(
         "*", f"{token_class()} as k").select(
         "*", line_breaks(F.col("tok"), F.col("kind")).alias("breaks"), bracket_step(F.col("tok"), F.col("kind")).alias("step"))
     opened, lines = F.sum("step").over(up_to_here()), F.sum("breaks").over(up_to_here())

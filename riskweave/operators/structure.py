@@ -319,14 +319,15 @@ def _with_text(sites: DataFrame, spread: DataFrame, about: list[str]) -> DataFra
 
 
 def all_sites(files: DataFrame, about: list[str] | None = None, counts: dict[str, Column] | None = None,
-              observation: Observation | None = None) -> DataFrame:
+              observation: Observation | None = None, in_buckets: bool = False) -> DataFrame:
     """Sites of every file, broken files included (see ``code_sites``).
 
     ``about``: columns of the files that the one ``eof`` site of each file carries, so that
     nothing has to be read from the files again. ``counts`` are observed on the way.
+    ``in_buckets``: the files come from a table in buckets of ``file_id``, so no text is moved.
     """
     about = about or []
-    spread = spread_files(files, about)
+    spread = spread_files(files, about, in_buckets)
     # the counts use all columns, so tokens and text still read the same exchange
     used = {f"with_{name}": F.count(name) for name in about} | (counts or {})
     watched = spread.observe(observation or Observation(), *[c.alias(name) for name, c in used.items()]) if used else spread
@@ -342,9 +343,9 @@ def all_sites(files: DataFrame, about: list[str] | None = None, counts: dict[str
     )
 
 
-def code_sites(files: DataFrame) -> DataFrame:
+def code_sites(files: DataFrame, in_buckets: bool = False) -> DataFrame:
     """Sites of the files whose structure holds; the others are quarantined."""
-    return all_sites(files).where(~F.col("broken"))
+    return all_sites(files, in_buckets=in_buckets).where(~F.col("broken"))
 
 
 def first_problems(sites: DataFrame) -> DataFrame:

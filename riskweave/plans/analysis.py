@@ -40,10 +40,10 @@ class Analysis:
     """
 
     def __init__(self, files: DataFrame, reject_reason: Column | None, scores: DataFrame | None, analysed_at: Column | None, run_id: str | None,
-                 max_snippets: int | None, max_chars: int | None) -> None:
+                 max_snippets: int | None, max_chars: int | None, in_buckets: bool) -> None:
         self.files, self.reject_reason, self.scores, self.run_id = files, reject_reason, scores, run_id or uuid.uuid4().hex
         self.analysed_at, self.max_snippets, self.max_chars = analysed_at, max_snippets, max_chars
-        self._observed = Observation()
+        self.in_buckets, self._observed = in_buckets, Observation()
 
     @cached_property
     def everything(self) -> DataFrame:
@@ -51,13 +51,13 @@ class Analysis:
         raw = F.col(_raw(self.files)).cast("binary")
         described = [F.sha2(raw, 256).alias("checksum_sha256"), F.octet_length(raw).cast("int").alias("file_size_bytes")]
         if self.reject_reason is None:
-            sites = all_sites(self.files.select("file_id", "src", "file_name", *described), ABOUT, observation=self._observed)
+            sites = all_sites(self.files.select("file_id", "src", "file_name", *described), ABOUT, observation=self._observed, in_buckets=self.in_buckets)
             return staged(sites.withColumn("reject_reason", F.lit(None).cast("string")), "sites")
         judged = self.files.withColumn("reject_reason", self.reject_reason)
         taken = F.when(F.col("reject_reason").isNull(), F.col("src")).alias("src")
         counts = {reason: F.count(F.when(F.col("reject_reason") == reason, 1)) for reason in REASONS}
         files = judged.select("file_id", taken, "file_name", *described, "reject_reason")
-        return staged(all_sites(files, [*ABOUT, "reject_reason"], counts, self._observed), "sites")
+        return staged(all_sites(files, [*ABOUT, "reject_reason"], counts, self._observed, self.in_buckets), "sites")
 
     @cached_property
     def reject_counts(self) -> dict[str, int]:
@@ -138,26 +138,27 @@ class Analysis:
 
 
 def analyse(files: DataFrame, scores: DataFrame | None = None, analysed_at: Column | None = None, run_id: str | None = None,
-            max_snippets: int | None = None, max_chars: int | None = None) -> Analysis:
+            max_snippets: int | None = None, max_chars: int | None = None, in_buckets: bool = False) -> Analysis:
     """``files``: file_id, file_name, src.  ``scores``: optional external score table.
 
     Without ``scores`` the signatures score every snippet; an empty score table
     stands for a scorer that was not reachable.  ``analysed_at`` stamps records and
     findings, ``run_id`` tells runs of the same files apart (one is made up if none is given).
     All methods are scored, with their whole text, unless ``max_snippets`` per file or
-    ``max_chars`` per snippet are given; records say how many were.
+    ``max_chars`` per snippet are given; records say how many were. ``in_buckets``: the files
+    come from a table in buckets of their id (``sources.bucketed``) and are not moved.
     """
-    return Analysis(files, None, scores, analysed_at, run_id, max_snippets, max_chars)
+    return Analysis(files, None, scores, analysed_at, run_id, max_snippets, max_chars, in_buckets)
 
 
 def analyse_uploads(files: DataFrame, scores: DataFrame | None = None, analysed_at: Column | None = None, run_id: str | None = None,
                     max_bytes: int = K.MAX_FILE_BYTES, max_snippets: int | None = None, max_chars: int | None = None,
-                    ) -> tuple[Analysis, DataFrame]:
+                    in_buckets: bool = False) -> tuple[Analysis, DataFrame]:
     """Gates first: (analysis of the accepted files, all other files).
 
     Rejected files have ``reject_reason`` and, where their structure does not hold,
     the line of the first problem; every file is in the records or among them.
     """
     reason = F.coalesce(upload_reason(F.col("file_name"), F.col("size_bytes"), max_bytes), content_reason(F.col(_raw(files))))
-    result = Analysis(files, reason, scores, analysed_at, run_id, max_snippets, max_chars)
+    result = Analysis(files, reason, scores, analysed_at, run_id, max_snippets, max_chars, in_buckets)
     return result, result.rejected

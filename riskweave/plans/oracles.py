@@ -453,6 +453,13 @@ def all_oracles() -> dict[str, str]:
             doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_reupload FROM documents""",
         "structure_quarantine": with_(CODE) + """SELECT file_id, CAST(4 + shift AS INTEGER) AS line,
             'BRACKET_MISMATCH' AS reason FROM code WHERE t = 15""",
+        "reupload_across_runs": """WITH sums AS (SELECT doc_id AS file_id, sha256(text) AS checksum_sha256 FROM documents),
+            day1 AS (SELECT checksum_sha256, min(file_id) AS f FROM sums WHERE file_id % 2 = 0 GROUP BY 1),
+            day2 AS (SELECT *, count(*) OVER w AS n_copies, min(file_id) OVER w AS first_file FROM sums WHERE file_id % 2 = 1
+              WINDOW w AS (PARTITION BY checksum_sha256))
+            SELECT file_id, checksum_sha256, n_copies, first_file, CAST(f AS VARCHAR) AS seen_file, CASE WHEN f IS NOT NULL THEN '2024-01-01' END AS seen_date,
+              CASE WHEN f IS NOT NULL THEN 'run-1' END AS seen_run, file_id <> first_file OR f IS NOT NULL AS is_reupload
+            FROM day2 LEFT JOIN day1 USING (checksum_sha256)""",
         "scores_json_in": with_(_JSON_LINES) + "SELECT * EXCLUDE (value, valid) FROM judged WHERE valid",
         "scores_json_rejected": with_(_JSON_LINES) + "SELECT value, count(*) AS n_lines FROM judged WHERE NOT valid GROUP BY value",
         "snippets_json_in": """SELECT conv_id AS file_id, CAST(turn AS INTEGER) AS method_seq, role AS class_name,
@@ -602,6 +609,7 @@ def all_oracles() -> dict[str, str]:
               THEN 'DEGRADED' ELSE 'SUCCESS' END AS ai_engine_status
             FROM users LEFT JOIN events ON user_id = file_id GROUP BY file_id""",
         "methods_analysed": everything + "SELECT file_id, methods_analysed FROM records",
+        "analysis_of_stored_sources": everything + "SELECT * FROM records",
         "analysis_records": everything + "SELECT * FROM records",
         "analysis_of_uploads": everything + f"""SELECT code.file_id, risk_score,
             coalesce({UPLOAD_REASON}, {CONTENT_REASON}, CASE t WHEN 15 THEN 'BRACKET_MISMATCH' END) AS reject_reason

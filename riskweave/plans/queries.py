@@ -18,6 +18,8 @@ from riskweave.operators.lexer import token_table
 from riskweave.plans.analysis import Analysis, analyse, analyse_uploads, record_id
 from riskweave.plans.java_corpus import java_corpus
 from riskweave.plans.stage import work_folder
+from riskweave.sources.bucketed import store_sources, stored_sources
+from riskweave.sources.checksum_index import ChecksumIndex
 from riskweave.sources.corpus import scan_corpus, write_results
 from riskweave.sources.score_lines import scores_json_in, snippets_json_in
 from riskweave.sources.store import attempt_folder, publish, published, stored_latest_findings, stored_recent_runs, stored_runs_for_file
@@ -199,6 +201,16 @@ def _score_input(spark, sf):
     return lines.unionByName(table(spark, sf, "events").select(F.col("props").alias("value")))
 
 
+@query
+def reupload_across_runs(spark, sf):
+    """The documents with odd ids as a second day's uploads, matched with the first day's by its index alone."""
+    index = ChecksumIndex(spark, work_folder(spark, "checksum-index"), buckets=8)
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"))
+    index.add(dedup.stored_checksums(files.where("file_id % 2 = 0")), "2024-01-01", "run-1")
+    sums = dedup.stored_checksums(files.where("file_id % 2 = 1"))
+    return dedup.reupload_across_runs(sums, index.lookup(sums))
+
+
 @query_as("scores_json_in")
 def scores_json(spark, sf):
     ok, _ = scores_json_in(_score_input(spark, sf))
@@ -613,6 +625,15 @@ def analysis_records(spark, sf):
     return analysed(spark, sf).records
 
 
+@query
+def analysis_of_stored_sources(spark, sf):
+    """Records of files kept in buckets of their id."""
+    files, path = code(spark, sf), work_folder(spark, "sources")
+    store_sources(files, path, buckets=8)
+    stored = stored_sources(spark, path, "file_id bigint, file_name string, src string, size_bytes int", buckets=8)
+    return analyse_uploads(stored, run_id="run-1", in_buckets=True)[0].records
+
+
 @query
 def analysis_of_uploads(spark, sf):
     """Gates and analysis together: one row per file, analysed or rejected."""
