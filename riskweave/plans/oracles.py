@@ -11,6 +11,7 @@ from riskweave.functions import constants as K
 from riskweave.functions.texts import RULE_TEXTS
 from riskweave.operators.quality import FINDING_LENGTHS, FINDING_REQUIRED, RECORD_LENGTHS, RECORD_REQUIRED
 from riskweave.plans.java_corpus import N_TEMPLATES, TEMPLATES, WEAK_METHODS
+from riskweave.plans.queries import ODD_SCORE_LINES
 
 # ---------------------------------------------------------------------------
 # expected results per template (line numbers are relative to the template)
@@ -133,6 +134,16 @@ PLACES = [
     (18, "init", 3, "out", "tail"), (18, "append", 4, None, "tail"), (18, "append", 4, None, "tail"),
     (19, "call", 2, "execute", "m"),
 ]
+# (line of ODD_SCORE_LINES, field, reason)
+ODD_REASONS = [
+    (2, "file_id", "MISSING"),
+    (3, "method_seq", "WRONG_TYPE"), (3, "vulnerability_type", "WRONG_TYPE"), (3, "severity_score", "WRONG_TYPE"), (3, "issue_description", "WRONG_TYPE"),
+    (4, "severity_score", "TOO_LARGE"), (4, "confidence", "TOO_SMALL"),
+    (5, "vulnerability_type", "NULL"), (5, "severity_score", "TOO_SMALL"), (5, "confidence", "NULL"), (5, "model_version", "NULL"),
+    (6, "file_id", "WRONG_TYPE"), (6, "method_seq", "NULL"),
+    (7, None, "NOT_JSON"), (8, None, "NOT_JSON"), (9, None, "NOT_JSON"), (10, None, "NOT_JSON"),
+    *[(12, field, "MISSING") for field in ("file_id", "method_seq", "vulnerability_type", "severity_score", "issue_description")],
+]
 # templates in which some method is scored and no structural finding agrees
 ONLY_SCORED = "(3, 9, 11, 13, 20, 21, 22)"
 
@@ -462,6 +473,19 @@ def all_oracles() -> dict[str, str]:
             FROM day2 LEFT JOIN day1 USING (checksum_sha256)""",
         "scores_json_in": with_(_JSON_LINES) + "SELECT * EXCLUDE (value, valid) FROM judged WHERE valid",
         "scores_json_rejected": with_(_JSON_LINES) + "SELECT value, count(*) AS n_lines FROM judged WHERE NOT valid GROUP BY value",
+        "scores_json_reasons": f"""SELECT value, field, reason, count(*) AS n_lines FROM (
+            SELECT replace(line, '@ID@', 'f-' || doc_id) AS value, field, reason FROM documents
+            JOIN {values(list(enumerate(ODD_SCORE_LINES)))} l(t, line) ON doc_id % {len(ODD_SCORE_LINES)} = l.t
+            JOIN {values(ODD_REASONS)} r(t, field, reason) ON r.t = l.t) GROUP BY ALL""",
+        "scores_json_text_ids": f"""SELECT 'f-' || doc_id AS file_id, CAST(1 AS INTEGER) AS method_seq, 'X' AS vulnerability_type,
+            CAST(score AS DOUBLE) AS severity_score, 'd' AS issue_description, CAST(NULL AS VARCHAR) AS suggested_fix,
+            CAST(NULL AS VARCHAR) AS owasp_category, CAST(sure AS DOUBLE) AS confidence, 'unknown' AS model_version
+            FROM documents JOIN (VALUES (0, 1.0, 0.0), (1, 1.5, 0.5), (11, 10.0, 1.0)) v(t, score, sure) ON doc_id % {len(ODD_SCORE_LINES)} = t""",
+        "scores_for_scanned_files": with_(CODE, METHOD_ROWS) + f"""SELECT substr(sha256('file:/corpus/' || file_name), 1, 32) AS file_id, method_seq,
+            method_name, CASE method_seq WHEN 1 THEN 'RESOURCE_LEAK' ELSE 'NONE' END AS vulnerability_type,
+            CAST(CASE method_seq WHEN 1 THEN 5.5 ELSE 0 END AS DOUBLE) AS severity_score,
+            CAST(CASE method_seq WHEN 1 THEN 0.75 ELSE 0 END AS DOUBLE) AS confidence, method_seq > 1 AS fallback
+            FROM methods JOIN code USING (file_id) WHERE {UPLOAD_REASON} IS NULL""",
         "snippets_json_in": """SELECT conv_id AS file_id, CAST(turn AS INTEGER) AS method_seq, role AS class_name,
             CAST(NULL AS VARCHAR) AS method_name, text AS code_snippet,
             CAST(turn - CASE role WHEN 'user' THEN 1 ELSE 0 END AS INTEGER) AS start_line,

@@ -20,8 +20,8 @@ from riskweave.plans.java_corpus import java_corpus
 from riskweave.plans.stage import work_folder
 from riskweave.sources.bucketed import store_sources, stored_sources
 from riskweave.sources.checksum_index import ChecksumIndex
-from riskweave.sources.corpus import scan_corpus, write_results
-from riskweave.sources.score_lines import scores_json_in, snippets_json_in
+from riskweave.sources.corpus import as_source_files, scan_corpus, write_results
+from riskweave.sources.score_lines import refused_fields, scores_json_in, snippets_json_in
 from riskweave.sources.store import attempt_folder, publish, published, stored_latest_findings, stored_recent_runs, stored_runs_for_file
 from riskweave.streaming import jobs
 
@@ -213,7 +213,7 @@ def reupload_across_runs(spark, sf):
 
 @query_as("scores_json_in")
 def scores_json(spark, sf):
-    ok, _ = scores_json_in(_score_input(spark, sf))
+    ok, _ = scores_json_in(_score_input(spark, sf), key_type="bigint")
     return ok
 
 
@@ -230,10 +230,61 @@ def snippets_json(spark, sf):
         F.when(F.col("turn") % 5 != 4, F.col("text")).otherwise("").alias("codeSnippet"),
         (F.col("turn") - F.when(F.col("role") == "user", 1).otherwise(0)).alias("startLine"),
         F.col("role").alias("className"), F.col("role").alias("unknownKey"))).alias("value"))
-    ok, _ = snippets_json_in(turns)
+    ok, _ = snippets_json_in(turns, key_type="bigint")
     return ok
 
 
+#: Score lines with a text id (@ID@) each; what is wrong with them is written down beside the SQL.
+ODD_SCORE_LINES = [
+    '{"fileId":"@ID@","methodSeq":1,"vulnerabilityType":"X","severityScore":1.0,"issueDescription":"d"}',
+    '{"file_id":"@ID@","method_seq":"1","vulnerability_type":"X","severity_score":"1.5","issue_description":"d","confidence":"0.5"}',
+    '{"methodSeq":1.0,"vulnerabilityType":"X","severityScore":1,"issueDescription":"d","suggestedFix":null}',
+    '{"fileId":"@ID@","methodSeq":1.5,"vulnerabilityType":7,"severityScore":"high","issueDescription":["d"]}',
+    '{"fileId":"@ID@","methodSeq":1,"vulnerabilityType":"X","severityScore":10.5,"issueDescription":"d","confidence":-0.1}',
+    '{"fileId":"@ID@","methodSeq":1,"vulnerabilityType":null,"severityScore":-1,"issueDescription":"d","confidence":null,"modelVersion":null}',
+    '{"fileId":{"a":"@ID@"},"file_id":"@ID@","methodSeq":null,"vulnerabilityType":"X","severityScore":0,"issueDescription":""}',
+    '["@ID@"]', '{"fileId":"@ID@"', "", "null",
+    '{"fileId":"@ID@","methodSeq":1,"vulnerabilityType":"X","severityScore":10,"issueDescription":"d","confidence":1,"more":{"x":[null]}}',
+    '{}',
+]
+
+
+def _odd_lines(spark, sf):
+    template = F.element_at(F.array(*[F.lit(x) for x in ODD_SCORE_LINES]), (F.col("doc_id") % len(ODD_SCORE_LINES)).cast("int") + 1)
+    line = F.replace(template, F.lit("@ID@"), F.concat(F.lit("f-"), F.col("doc_id").cast("string")))
+    return table(spark, sf, "documents").select("doc_id", line.alias("value"))
+
+
+@query
+def scores_json_reasons(spark, sf):
+    """Rejected score lines: one row per line and field, with the reason."""
+    _, bad = scores_json_in(_odd_lines(spark, sf))
+    return refused_fields(bad).groupBy("value", "field", "reason").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def scores_json_text_ids(spark, sf):
+    """Score lines of files whose ids are text."""
+    ok, _ = scores_json_in(_odd_lines(spark, sf))
+    return ok
+
+
+@query
+def scores_for_scanned_files(spark, sf):
+    """Files as a folder gives them, and an external scorer's lines for the first method of each, under the ids of the scan."""
+    raw = code(spark, sf).select(
+        F.concat(F.lit("file:/corpus/"), F.col("file_name")).alias("path"), F.octet_length("src").cast("bigint").alias("length"),
+        F.col("src").cast("binary").alias("content"))
+    files = as_source_files(raw)
+    lines = files.select(F.to_json(F.struct(
+        F.col("file_id").alias("fileId"), F.lit(1).alias("methodSeq"), F.lit("RESOURCE_LEAK").alias("vulnerabilityType"),
+        F.lit(5.5).alias("severityScore"), F.lit("left open").alias("issueDescription"), F.lit(0.75).alias("confidence"))).alias("value"))
+    scores, _ = scores_json_in(lines)
+    scored = scores.withColumn("fallback", F.lit(False))
+    result, _ = analyse_uploads(files, scores=scored, run_id="run-1")
+    return result.scored.select("file_id", "method_seq", "method_name", "vulnerability_type", "severity_score", "confidence", "fallback")
+
+
 @query_as("write_results")
 def written_results(spark, sf):
     """Two runs of one day; the second one is written twice, as a repeated run is."""

@@ -11,7 +11,7 @@ from riskweave.operators.catalog import uncatalogued_signatures
 from riskweave.operators.signatures import signature_scan
 from riskweave.plans.analysis import analyse, analyse_uploads
 from riskweave.sources.corpus import oversized_files, scan_corpus, write_results
-from riskweave.sources.score_lines import scores_json_in
+from riskweave.sources.score_lines import refused_fields, scores_json_in, snippets_json_in
 from tests.compare import connect, difference
 from tests.conftest import SMALL
 
@@ -211,6 +211,25 @@ def test_score_lines_need_a_key_and_no_null_confidence(spark):
     assert sorted(r.confidence for r in ok.collect()) == [0.0, 0.5] and bad.count() == 3
 
 
+def test_score_lines_of_scanned_files_and_reasons_of_others(spark):
+    line = '{"fileId":"0af3","methodSeq":2,"vulnerabilityType":"X","severityScore":1.0,"issueDescription":"d"}'
+    lines = spark.createDataFrame([(line,), (line.replace('"0af3"', "12"),), (line.replace("1.0", '"NaN"'),), (line.replace("1.0", "true"),), (None,)], "value string")
+    ok, bad = scores_json_in(lines)
+    assert sorted((r.file_id, r.severity_score) for r in ok.collect()) == [("0af3", 1.0), ("0af3", 1.0), ("12", 1.0)]
+    assert sorted((r.field or "", r.reason) for r in refused_fields(bad).collect()) == [("", "NOT_JSON"), ("severity_score", "TOO_SMALL")]
+    ok, bad = scores_json_in(lines, key_type="bigint")
+    assert [r.file_id for r in ok.collect()] == [12] and ok.schema["file_id"].dataType.simpleString() == "bigint"
+
+
+def test_snippet_lines_need_a_key_and_code(spark):
+    lines = ['{"fileId":"a","methodSeq":1,"codeSnippet":"x","startLine":3}', '{"codeSnippet":"x"}', '{"fileId":"a","methodSeq":1,"codeSnippet":"","startLine":-1}',
+             '{"fileId":"a","methodSeq":1,"codeSnippet":null,"startLine":null}']
+    ok, bad = snippets_json_in(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [(r.file_id, r.start_line) for r in ok.collect()] == [("a", 3)]
+    assert sorted((r.field, r.reason) for r in refused_fields(bad).collect()) == [
+        ("code_snippet", "EMPTY"), ("code_snippet", "NULL"), ("file_id", "MISSING"), ("method_seq", "MISSING"), ("start_line", "NULL"), ("start_line", "TOO_SMALL")]
+
+
 SAMPLE = """public class Sample {
     private String dbPassword = "hunter2hunter2";
     private String apiToken = "tok-123456";
@@ -280,7 +299,9 @@ CHEAP = ["gate_upload", "gate_content", "quarantine_split", "sanitise_name", "ch
          "mean_pool", "confidence_map", "hint_bonus", "best_match", "fallback_fill", "catalog_lookup", "merged_findings",
          "merged_findings_degraded", "analysis_records", "record_with_findings", "recent_runs", "report_runs",
          "stream_scan", "stream_reupload", "stream_status", "analysis_of_uploads", "rejected_files", "write_results",
-         "score_with_vectors", "merged_findings_vectors", "merge_nested_hits", "latest_run_findings", "severity_counts", "scan_corpus"]
+         "score_with_vectors", "merged_findings_vectors", "merge_nested_hits", "latest_run_findings", "severity_counts", "scan_corpus",
+         "scores_json_reasons", "scores_json_text_ids", "scores_for_scanned_files", "reupload_across_runs", "analysis_of_stored_sources",
+         "published_records", "published_findings", "stored_recent_runs", "stored_runs_for_file", "stored_latest_findings", "merge_corroborate"]
 
 
 @pytest.mark.parametrize("name", CHEAP)
