@@ -16,6 +16,8 @@ One file is one window partition; the size gate bounds it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -174,30 +176,34 @@ def _site(condition: str, start: str, end: str | None = None, end_c1: str | None
 def _sites(rows: DataFrame) -> DataFrame:
     at = _OFFSET.format
     plus_since = "(l_plus > {0} and l_minus < l_plus and l_looser <= {0})"
-    # a further declarator counts when its statement began as a declaration
-    rows = rows.selectExpr(
-        "*", "(l_next_eq > l_typed_eq and l_declared > l_boundary) as further",
-        "(l_newly >= l_chain and l_newly > l_opening) as creation",
-        "(l_loop_in > l_loop_out) as in_loop", "(l_try_in > l_try_out) as in_try",
-        f"(k = {LPAREN} and k1 = {TRY}) as holds_resources",
-        f"if(k1 = {STRING}, substring(tok1, 2, length(tok1) - 2), null) as literal",
-        f"{plus_since.format('l_start')} as arg_plus",
-        f"(k1 = {STRING} and {is_class('k2', BEGIN, COMMA)}) as arg_string",
-        f"""case
-            when k = {BAD} then if(startswith(tok, '/*'), 'UNTERMINATED_COMMENT', 'UNTERMINATED_LITERAL')
-            when {is_class('k', *CLOSING)} and (lvl < 0 or k1 != k - 3) then 'BRACKET_MISMATCH'
-            when k = {EOF} and lvl != 0 then 'BRACKET_NOT_CLOSED' end as reason""",
-    ).selectExpr(
-        "*", "if(further, l_next_eq, l_typed_eq) as eq", "if(further, l_next_name, l_typed_name) as eq_name",
-        f"if(creation and n2 = {LBRACE}, after3, after1) as call_end",
-    ).selectExpr(
-        "*", f"{plus_since.format('eq')} as init_plus", f"(k1 = {STRING} and before2 = eq) as init_string",
-    )
+    terms = {  # each may use the ones before it
+        # a further declarator counts when its statement began as a declaration
+        "further": "(l_next_eq > l_typed_eq and l_declared > l_boundary)",
+        "creation": "(l_newly >= l_chain and l_newly > l_opening)",
+        "in_loop": "(l_loop_in > l_loop_out)", "in_try": "(l_try_in > l_try_out)",
+        "holds_resources": f"(k = {LPAREN} and k1 = {TRY})",
+        "literal": f"if(k1 = {STRING}, substring(tok1, 2, length(tok1) - 2), null)",
+        "arg_plus": plus_since.format("l_start"),
+        "arg_string": f"(k1 = {STRING} and {is_class('k2', BEGIN, COMMA)})",
+        "mismatch": f"({is_class('k', *CLOSING)} and (lvl < 0 or k1 != k - 3))",
+        "left_open": f"(k = {EOF} and lvl != 0)",
+        "eq": "if(further, l_next_eq, l_typed_eq)", "eq_name": "if(further, l_next_name, l_typed_name)",
+        "call_end": f"if(creation and n2 = {LBRACE}, after3, after1)",
+        "init_plus": plus_since.format("eq"), "init_string": f"(k1 = {STRING} and before2 = eq)",
+        "reason": f"""case when k = {BAD} then if(startswith(tok, '/*'), 'UNTERMINATED_COMMENT', 'UNTERMINATED_LITERAL')
+            when mismatch then 'BRACKET_MISMATCH' when left_open then 'BRACKET_NOT_CLOSED' end""",
+    }
+
+    def spelt_out(expression: str) -> str:
+        for term in reversed(terms):
+            expression = re.sub(rf"\b{term}\b", lambda _, t=term: f"({terms[t]})", expression)
+        return expression
+
     watched = ", ".join(f"'{name}'" for name in WATCHED_NAMES)
     argument = f"{is_class('k', END, COMMA)} and l_group = l_paren_group and (arg_plus or arg_string)"
     sites = {
         "eof": _site(f"k = {EOF}", "place"),
-        "problem": _site("reason is not null", "place", reason="reason"),
+        "problem": _site(f"(k = {BAD} or mismatch or left_open)", "place", reason="reason"),
         "call": _site(f"k = {LPAREN} and k1 = {ID} and tok1 in ({watched})", "l_chain", "call_end",
                       is_new="creation", owner=at("place"), name_pos=at("before1"), name_end=at("place")),
         "arg": _site(argument, "(l_start + shiftleft(1L, 31))", c1="tail_c1", has_plus="arg_plus",
@@ -218,23 +224,22 @@ def _sites(rows: DataFrame) -> DataFrame:
         "try": _site("is_opening and in_try and not holds_resources", "place", "after1", owner=at("l_try_in")),
         "resources": _site("is_opening and in_try and holds_resources", "place", "after1", owner=at("l_try_in")),
     }
-    # only these classes can be a site; the test sits inside the generator because a
-    # filter on k would be carried through all the expressions that use k
+    # only these classes can be a site
     possible = is_class("k", *OPENING, *CLOSING, SEMICOLON, COMMA, END, PLUS_ASSIGN, EOF, BAD)
-    codes = ", ".join(f"if({condition}, {KIND_CODES[kind]}, null)" for kind, (condition, _) in sites.items())
+    bits = " + ".join(f"if({spelt_out(condition)}, {1 << KIND_CODES[kind]}, 0)" for kind, (condition, _) in sites.items())
+    codes = f"filter(array({', '.join(map(str, KIND_CODES.values()))}), c -> getbit(kinds, c) = 1)"
 
     def column(name: str, ddl: str) -> str:
         own = {"kind": lambda kind: f"'{kind}'", "key": lambda kind: f"{at('place')} * 16L + {KIND_CODES[kind]}"}
         default = own.get(name, lambda kind: None)
         cases = {kind: fields.get(name, default(kind)) for kind, (_, fields) in sites.items()}
         whens = " ".join(f"when {KIND_CODES[kind]} then {value}" for kind, value in cases.items() if value)
-        return f"cast(case code {whens} end as {ddl}) as {name}"
+        return f"cast({spelt_out(f'case code {whens} end')} as {ddl}) as {name}"
 
-    return (
-        rows.selectExpr("*", f"explode(if({possible}, array({codes}), null)) as code")
-        .where("code is not null")
-        .selectExpr("file_id", *[column(name, ddl) for name, ddl in SITE_FIELDS.items()])
-    )
+    # few rows are a site: which ones is decided by numbers, everything else is worked out for those only.
+    # The test sits inside the generator because a filter would be carried through all the expressions it uses
+    found = rows.selectExpr("*", f"if({possible}, {bits}, 0) as kinds").selectExpr("*", f"explode(if(kinds != 0, {codes}, null)) as code")
+    return found.selectExpr("file_id", *[column(name, ddl) for name, ddl in SITE_FIELDS.items()])
 
 
 def _with_arguments(sites: DataFrame) -> DataFrame:
