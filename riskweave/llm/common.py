@@ -30,6 +30,19 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def hidden(docs: DataFrame, **terms: Column) -> DataFrame:
+    """The documents as one column ``row`` and further terms: whatever names documents have, they meet none of an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[term.alias(name) for name, term in terms.items()])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or its first numbered form that is not taken (in any case)."""
+    known, n, found = {t.lower() for t in taken}, 1, name
+    while found.lower() in known:
+        n, found = n + 1, f"{name}_{n + 1}"
+    return found
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,15 +5,18 @@ from the later one (the one with the larger id).
 
 1. Every line with a word is hashed. A line that occurs in several documents points each
    of them to the first one that has it; a *rare* line (in at most ``RARE`` documents)
-   points to the nearest earlier one as well. So does the shortest run of lines from each
-   line on that holds ``MIN_BLOCK_WORDS`` words, to the run's first holder. So a line costs
-   at most three pairs per document however many share it, and every common block leads
-   to an earlier document that has its beginning.
+   points to the nearest earlier one as well. So do the shortest runs of lines from each
+   line on and up to it that hold ``MIN_BLOCK_WORDS`` words, to the run's first holder. So a
+   line costs at most four pairs per document however many share it, and every part of a
+   common block leads to an earlier document that has it.
 2. A pair is aligned on the lines that either shares with any document: patience diff
    matches the lines that occur once in both parts, keeps their longest increasing
    subsequence, and repeats inside the gaps; matched lines grow over equal neighbours.
 3. Runs of consecutive aligned lines that hold ``MIN_BLOCK_WORDS`` words are common
-   blocks. The later document loses their lines; what several partners cover is joined.
+   blocks. One alignment has one order and leaves gaps without a line that occurs once, so
+   what it left is aligned again at unique places of another kind: the shortest runs with
+   enough words. The later document loses the lines of all blocks of a pair, in whatever
+   order they stand; what several partners cover is joined.
 
 Copies are no special case: a copy is aligned with the first of them and loses all lines.
 
@@ -21,7 +24,7 @@ Defined results: lines are compared as they stand, without line ends; lines of w
 space only are never anchors and go only inside a block; null and empty texts have no
 lines and stay as they are; rows without id are later than all others and have no
 partner among themselves unless their text hashes differ; repeated rows (one id and
-text) are one document; an empty table gives no rows; other columns are ignored.
+text) are one document; an empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import stored, texts_of
+from riskweave.llm.common import free_name, hidden, stored, texts_of
 
 #: Documents that a rare line occurs in at the most.
 RARE = 50
@@ -98,18 +101,11 @@ def run_partners(sequences: DataFrame, at_least: int) -> DataFrame:
         for batch in batches:
             rows, hashes = [], []
             for row, lines in enumerate(batch.column("sequence").to_pylist()):
-                until = total = 0  # the lines from i to until follow each other and hold so many words
-                for i, line in enumerate(lines):
-                    if until <= i:
-                        until, total = i, 0
-                    while total < at_least and until < len(lines) and (until == i or lines[until]["ordinal"] == lines[until - 1]["ordinal"] + 1):
-                        total += lines[until]["words"]
-                        until += 1
-                    if total >= at_least and until > i + 1:  # a single line has its own first holder
+                for i, until in sorted(shortest_runs(lines, at_least)):
+                    if until > i + 1:  # a single line has its own first holder
                         run = np.array([x["line"] for x in lines[i:until]], np.int64)
                         rows.append(row)
                         hashes.append(xxhash.xxh3_64_intdigest(run.tobytes()) - (1 << 63))
-                    total -= line["words"]
             yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(pa.array(rows, pa.int64())), "run": pa.array(hashes, pa.int64())})
 
     kind = dict(sequences.dtypes)["doc"]
@@ -138,6 +134,36 @@ def kept_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found[::-1]
 
 
+def shortest_runs(lines: list[dict], at_least: int) -> set[tuple[int, int]]:
+    """From each line on, and up to each line, the shortest run of lines that follow each other and hold so many words.
+
+    Each line of a run with enough words lies in one of these that is a part of it.
+    """
+    found = set()
+    step = [i > 0 and lines[i]["ordinal"] == lines[i - 1]["ordinal"] + 1 for i in range(len(lines))]
+    until = total = 0
+    for i, line in enumerate(lines):
+        if until <= i:
+            until, total = i, 0
+        while total < at_least and until < len(lines) and (until == i or step[until]):
+            total += lines[until]["words"]
+            until += 1
+        if total >= at_least:
+            found.add((i, until))
+        total -= line["words"]
+    start = total = 0
+    for i, line in enumerate(lines):
+        if not step[i]:
+            start, total = i, 0
+        total += line["words"]
+        while total - lines[start]["words"] >= at_least:
+            total -= lines[start]["words"]
+            start += 1
+        if total >= at_least:
+            found.add((start, i + 1))
+    return found
+
+
 def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
     """Aligned places of two sequences, by unique common values and their neighbours."""
     matched: list[tuple[int, int]] = []
@@ -165,18 +191,44 @@ def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(own: list[dict], other: list[dict], at_least: int) -> list[tuple[int, int]]:
-    """Line ranges of ``own`` that are aligned with no other line between, in either text, and hold enough words."""
+    """Line ranges of ``own`` that stand in ``other`` with no other line between, in either text, and hold enough words.
+
+    First the blocks that patience aligns; one order of blocks leaves out those that stand in
+    another, so what is left is aligned again, at the shortest runs with enough words.
+    """
+    x, y = [line["line"] for line in own], [line["line"] for line in other]
+    covered = [False] * len(own)
+
+    def follows(lines: list[dict], i: int) -> bool:
+        return lines[i]["ordinal"] == lines[i - 1]["ordinal"] + 1
+
+    def accept(i: int, until: int) -> None:
+        if sum(line["words"] for line in own[i:until]) >= at_least:
+            covered[i:until] = [True] * (until - i)
+
+    start, last = 0, None
+    matched = patience(x, y)
+    for n, (i, j) in enumerate(matched):
+        if last is not None and not ((i, j) == (last[0] + 1, last[1] + 1) and follows(own, i) and follows(other, j)):
+            accept(matched[start][0], last[0] + 1)
+            start = n
+        last = (i, j)
+    if last is not None:
+        accept(matched[start][0], last[0] + 1)
+    runs = [(i, until) for i, until in shortest_runs(own, at_least) if not all(covered[i:until])]
+    if runs:
+        known = {tuple(y[j:until]) for j, until in shortest_runs(other, at_least)}
+        for i, until in runs:
+            if tuple(x[i:until]) in known:
+                covered[i:until] = [True] * (until - i)
     blocks: list[list[int]] = []
-    next_own = next_other = None
-    for i, j in patience([line["line"] for line in own], [line["line"] for line in other]):
-        x, y = own[i], other[j]
-        if (x["ordinal"], y["ordinal"]) == (next_own, next_other):
-            blocks[-1][1] = x["place"] + 1
-            blocks[-1][2] += x["words"]
-        else:
-            blocks.append([x["place"], x["place"] + 1, x["words"]])
-        next_own, next_other = x["ordinal"] + 1, y["ordinal"] + 1
-    return [(a, b) for a, b, n in blocks if n >= at_least]
+    for i, line in enumerate(own):
+        if covered[i]:
+            if blocks and i and covered[i - 1] and follows(own, i):
+                blocks[-1][1] = line["place"] + 1
+            else:
+                blocks.append([line["place"], line["place"] + 1])
+    return [(a, b) for a, b in blocks]
 
 
 def aligned(pairs: DataFrame, sequences: DataFrame, at_least: int) -> DataFrame:
@@ -214,19 +266,26 @@ def line_cuts(docs: DataFrame, rare: int = RARE, min_block_words: int = MIN_BLOC
 
 
 def line_dedup(docs: DataFrame, rare: int = RARE, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """The documents without the lines of their blocks, which stand beside (null: none)."""
+    """The documents without the lines of their blocks, which stand beside (null: none).
+
+    Adds n_lines, n_deleted, blocks and first_from; where a document has a column of
+    such a name, its own goes on as blocks_2 and so on.
+    """
     cuts = line_cuts(docs, rare, min_block_words).select(
-        F.col("doc_id").alias("_id"), F.col("text_order").alias("_order"), "blocks", "first_from",
+        F.col("doc_id").alias("cut_id"), F.col("text_order").alias("cut_order"), "blocks", "first_from",
     )
-    mine = docs.drop("blocks", "first_from", "n_lines", "n_deleted").withColumn("_lines", F.split("text", "\n"))
-    joined = mine.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_order")), "left")
-    numbered = F.transform("_lines", lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    mine = hidden(docs, text=F.col("text"), id=F.col("doc_id").cast("long"), text_order=F.xxhash64("text"), lines=F.split("text", "\n"))
+    joined = mine.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("text_order") == F.col("cut_order")), "left")
+    numbered = F.transform("lines", lambda line, i: F.struct(line.alias("line"), i.alias("i")))
     left = F.filter(numbered, lambda p: ~F.exists("blocks", lambda b: (b["start"] <= p["i"]) & (p["i"] < b["until"])))
-    kept = F.when(F.col("blocks").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda p: p["line"]))
-    lines = F.when(F.octet_length("text") > 0, F.size("_lines")).otherwise(0)
-    return (
-        joined.withColumn("_kept", kept).withColumn("n_lines", lines.cast("long"))
-        .withColumn("n_deleted", F.when(F.col("blocks").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
-        .withColumn("text", F.when(F.col("blocks").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-        .drop("_lines", "_kept", "_id", "_order")
-    )
+    whole = F.col("blocks").isNull()
+    kept = joined.withColumn("kept", F.when(whole, F.col("lines")).otherwise(F.transform(left, lambda p: p["line"])))
+    added = {
+        "n_lines": F.when(F.octet_length("text") > 0, F.size("lines")).otherwise(0).cast("long"),
+        "n_deleted": F.when(whole, 0).otherwise(F.size("lines") - F.size("kept")).cast("long"),
+        "blocks": F.col("blocks"), "first_from": F.col("first_from"),
+    }
+    new_text = F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n"))
+    names = {c: free_name(c, [*added, *(x for x in docs.columns if x != c)]) for c in docs.columns}
+    own = [new_text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(names[c]) for c in docs.columns]
+    return kept.select(*own, *[term.alias(name) for name, term in added.items()])

@@ -26,7 +26,8 @@ numbers are shuffled otherwise.
 Defined results: a null text, an empty one and one of white space only have no shingles
 and are linked with nothing; a row without id takes part, gives no id to its component
 and is kept only if no row of the component has an id; repeated rows form one node;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows. ``near_duplicates`` ignores other columns; ``without_near_duplicates``
+returns the rows as they are, whatever their columns are called.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import runs, stored, texts_of
+from riskweave.llm.common import hidden, runs, stored, texts_of
 from riskweave.llm.components import components
 from riskweave.llm.neighbours import compare_neighbours
 from riskweave.llm.shingles import FACTOR, mixed, shingle_set, word_hashes
@@ -314,12 +315,12 @@ def without_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     The one that stays has the component's least id; of rows that share that id and
     the component, the one with the least text hash; of equal rows, any.
     """
-    found = near_duplicates(docs, **options).withColumn("_no_id", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0).cast("long")))
-    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_no_id", "_id", "text_order")).alias("first"))
-    keep = first.select("first._no_id", "first._id", F.col("first.text_order").alias("_order"), F.lit(False).alias("_empty"))
-    no_words = found.filter("root IS NULL").select("_no_id", "_id", F.col("text_order").alias("_order"), F.lit(True).alias("_empty")).distinct()
-    keyed = docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_order": F.xxhash64("text")})
-    key = ["_no_id", "_id", "_order"]
+    found = near_duplicates(docs, **options).withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("no_id", "id", "text_order")).alias("first"))
+    keep = first.select("first.*", F.lit(False).alias("empty"))
+    no_words = found.filter("root IS NULL").select("no_id", "id", "text_order", F.lit(True).alias("empty")).distinct()
+    key = ["no_id", "id", "text_order"]
+    keyed = hidden(docs, no_id=F.col("doc_id").isNull(), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), text_order=F.xxhash64("text"))
     # repeated rows of a document without words all stay
-    joined = keyed.join(keep.unionByName(no_words), key).withColumn("_copy", F.when(F.col("_empty"), F.monotonically_increasing_id()))
-    return joined.dropDuplicates([*key, "_copy"]).select(*docs.columns)
+    joined = keyed.join(keep.unionByName(no_words), key).withColumn("copy", F.when(F.col("empty"), F.monotonically_increasing_id()))
+    return joined.dropDuplicates([*key, "copy"]).select("row.*")

@@ -116,9 +116,14 @@ def random_parts(run: str, tokens: tiktoken.Encoding) -> list[tuple[int, int]]:
 
 
 def random_spans(text: str, base: list[Span], tokens: tiktoken.Encoding) -> list[Span]:
+    """Random runs that no base span touches; both lists are in order, so one pass decides."""
     found = []
+    passed, reach = 0, 0  # base spans that begin before the run's end, and where they end
     for m in CANDIDATE.finditer(text):
-        if any(start < m.end() and m.start() < end for start, _, end in base):
+        while passed < len(base) and base[passed][0] < m.end():
+            reach = max(reach, base[passed][2])
+            passed += 1
+        if reach > m.start():
             continue
         found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], tokens)]
     return found
