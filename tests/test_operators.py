@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +297,14 @@ def test_entry_and_contract(spark):
     assert set(all_oracles()) == set(REGISTRY) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
+@pytest.mark.parametrize("missing", ["tiktoken", "xxhash", "riskweave.llm", "corpus_pipeline"])
+def test_entry_without_the_corpus_operators(missing):
+    code = (f"import sys; sys.modules['{missing}'] = None\nimport __spark_entry__ as e\n"
+            "assert len(e.queries()) > 90 and not [q for q in e.queries() if q.startswith('op')] and set(e.oracle_sql()) == set(e.queries())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
 CHEAP = ["gate_upload", "gate_content", "quarantine_split", "sanitise_name", "checksum_size", "reupload_dedup",
          "scores_json_in", "scores_json_rejected", "snippets_json_in", "constraint_check", "token_table", "nesting_groups",
          "method_snippets", "attribute_scope", "static_findings", "finding_texts", "signature_scan", "signature_stats",
