@@ -31,11 +31,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int)
     A group is never cut, so a table holds more rows only if a single group does.
     """
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, enough = 0, limit
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n < limit:
+        if n < enough:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         starts = starts_of(table, keys)
@@ -43,6 +43,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int)
             yield table.slice(0, int(starts[-2])), starts[:-1]
             table = table.slice(int(starts[-2]))
         held, n = table.to_batches(), table.num_rows
+        enough = max(limit, 2 * n)
     if n:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, starts_of(table, keys)
+
+
+def with_ends(tables: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[tuple[pa.Table, np.ndarray, bool, bool]]:
+    """The same, saying which table is a task's first and which its last."""
+    held, first = None, True
+    for item in tables:
+        if held is not None:
+            yield *held, first, False
+            first = False
+        held = item
+    if held is not None:
+        yield *held, first, True
