@@ -119,6 +119,18 @@ class Pieces:
         encoded = self.tokenizer.encode_batch_fast([k[0] if k.__class__ is tuple else f" {k}" for k in rest], add_special_tokens=False)
         self.table.update(zip(rest, (self.value(e.ids) for e in encoded), strict=True))
 
+    def looked_up(self, keys: list[Any]) -> list[Any]:
+        """The value of each key; ``JOINED`` for one inside a longer run of white space."""
+        self.forget()
+        found = list(map(self.table.__getitem__, keys))
+        self.table.joined = False
+        if self.table.asked:
+            asked, self.table.asked = self.table.asked, set()
+            self.learn(asked)
+            now = self.table.__getitem__
+            found = [now(k) if v is UNKNOWN else v for k, v in zip(keys, found, strict=True)]
+        return found
+
     def values(self, texts: list[str]) -> list[list[Any]]:
         """For each text, values that add up to the whole text's."""
         self.forget()
