@@ -37,7 +37,9 @@ END_ID = 0
 #: Ids of a file, roughly: a file ends with the document that reaches this.
 SHARD_IDS = 2_000_000
 #: Bytes of texts whose distinct pieces are looked up together.
-RUN_BYTES = 1 << 23
+RUN_BYTES = 1 << 24
+#: Pieces that a worker remembers.
+REMEMBERED = 1_800_000
 
 FILE_SCHEMA = (
     "file string, first_doc long, first_order long, n_ids long, doc_ids array<long>, doc_lengths array<long>, matrix binary"
@@ -93,7 +95,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     kind, code = (np.uint16, "H") if bits <= 16 else (np.uint32, "I")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = kept_in_worker(f"ids {vocabulary}", lambda: Pieces(library(vocabulary), lambda found: array(code, found).tobytes()))
+        pieces = kept_in_worker(f"ids {vocabulary}", lambda: Pieces(library(vocabulary), lambda found: array(code, found).tobytes(), remembered=REMEMBERED))
         part, made = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
