@@ -15,6 +15,10 @@ item in that space are checked word by word: the longest common subsequence with
 item must hold ``LEAK_PERCENT`` of the item's words, or ``PARAPHRASE_PERCENT`` of them and
 the item's answer (its last ``ANSWER_WORDS`` words) in one piece.
 
+Retrieval alone would miss items whose words are spread thin or frequent. A match has at
+least as many words in common as it has in order, so every pair of a passage and an item
+with enough words in common is checked in the same way, near or not (``possible_pairs``).
+
 The benchmark is handled in blocks of bounded size, each against all documents.
 
 Defined results: words are compared without ASCII case and punctuation; items of under
@@ -56,7 +60,8 @@ SEED = 20_240_101
 PUNCTUATION = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 BLANKED = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 
-PASSAGE_SCHEMA = "doc_id long, text_order long, start long, terms array<int>, counts array<int>, length double, region binary"
+PASSAGE_SCHEMA = ("doc_id long, text_order long, start long, terms array<int>, counts array<int>, length double, region binary,"
+                  " likely boolean, items array<int>")
 LEAK_SCHEMA = "doc_id long, text_order long, item_id long, start long, lcs_words long, item_words long, cosine double, has_answer boolean"
 
 
@@ -173,10 +178,100 @@ def likely(passage: np.ndarray, term: np.ndarray, shares: tuple[np.ndarray, np.n
     return np.unique(pair[100 * held >= MIN_SHARE_PERCENT] // n_items)
 
 
+def in_order_at_least(percent: int, size: int) -> int:
+    """Words in order that hold this part of an item of so many words."""
+    return -(-percent * size // 100)
+
+
+def hashed(words: np.ndarray) -> np.ndarray:
+    """A number for each run of ``ANSWER_WORDS`` words."""
+    n = max(0, len(words) - ANSWER_WORDS + 1)
+    total = np.zeros(n, np.uint64)
+    for i in range(ANSWER_WORDS):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n].astype(np.uint64)
+    return total
+
+
+class WordBounds:
+    """What a text must hold of each item's words for a match to be possible.
+
+    A match of ``LEAK_PERCENT`` leaves out so few words that some of the item's rarest half
+    are bound to be there; the other kind of match holds the answer.
+    """
+
+    def __init__(self, block: Block, idf: np.ndarray):
+        self.words = [np.unique(words, return_counts=True) for words in block.words]
+        self.sizes = np.array([len(words) for words in block.words])
+        rare, self.needed = [], np.zeros(len(block.words))
+        for i, (terms, counts) in enumerate(self.words):
+            order = np.argsort(-idf[terms], kind="stable")
+            order = order[: np.searchsorted(np.cumsum(counts[order]), (self.sizes[i] + 1) // 2) + 1]
+            rare += zip(terms[order].tolist(), [i] * len(order), counts[order].tolist(), strict=True)
+            left_out = self.sizes[i] - in_order_at_least(LEAK_PERCENT, int(self.sizes[i]))
+            self.needed[i] = counts[order].sum() - left_out
+        term, self.item, self.weight = (np.array(x, np.int64) for x in zip(*sorted(rare), strict=True))
+        self.starts = np.searchsorted(term, np.arange(len(block.terms) + 1))
+        answers = np.array([hashed(words[-ANSWER_WORDS:])[0] for words in block.words])
+        self.answer_item = np.argsort(answers, kind="stable")
+        self.answers = answers[self.answer_item]
+
+    def by_rare_words(self, sizes: np.ndarray, text: np.ndarray, place: np.ndarray, terms: np.ndarray, span: int) -> np.ndarray:
+        """(text * items + item): two neighbouring stretches of ``span`` words hold enough of the item's rarest words."""
+        n_items, n_terms = len(self.words), len(self.starts) - 1
+        first = np.cumsum(sizes // span + 2) - (sizes // span + 2)  # an empty stretch ends each text
+        known = np.flatnonzero(terms >= 0)
+        counts = self.starts[terms[known] + 1] - self.starts[terms[known]]
+        posting = np.repeat(self.starts[terms[known]] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        word = np.repeat(known, counts)
+        cells = (first[text[word]] + place[word] // span) * n_items + self.item[posting]
+        _, once = np.unique(cells * n_terms + terms[word], return_index=True)
+        cell, at = np.unique(cells[once], return_inverse=True)
+        held = np.append(np.bincount(at, self.weight[posting[once]], minlength=len(cell)), 0)
+        after = np.searchsorted(cell, cell + n_items)
+        follows = np.append(cell, -1)[after] == cell + n_items
+        cell = cell[held[:-1] + np.where(follows, held[after], 0) >= self.needed[cell % n_items]]
+        return (np.searchsorted(first, cell // n_items, "right") - 1) * n_items + cell % n_items
+
+    def by_answer(self, text: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text * items + item) with the answer in one piece, and the word where it begins."""
+        found = hashed(terms)
+        lo, hi = np.searchsorted(self.answers, found), np.searchsorted(self.answers, found, "right")
+        hi = np.where(text[: len(found)] == text[len(text) - len(found) :], hi, lo)  # inside one text
+        word = np.repeat(np.arange(len(found)), hi - lo)
+        posting = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange(len(word))
+        return text[word] * len(self.words) + self.answer_item[posting], word
+
+    def possible_pairs(self, sizes: np.ndarray, terms: np.ndarray, first: np.ndarray, around: int) -> dict[int, list[int]]:
+        """The items of each passage whose region has enough words in common with them for a match."""
+        n_items = len(self.words)
+        starts = np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        answered, word = self.by_answer(text, terms)
+        pairs = np.union1d(self.by_rare_words(sizes, text, np.arange(len(terms)) - starts[text], terms, 2 * (HALF + around)), answered)
+        found: dict[int, list[int]] = {}
+        for pair in pairs.tolist():
+            d, i = divmod(pair, n_items)
+            words = terms[starts[d] : starts[d] + sizes[d]]
+            begin = np.arange(int(first[d + 1] - first[d])) * HALF
+            from_, to = np.maximum(begin - around, 0), np.minimum(begin + 2 * HALF + around, sizes[d])
+            common = np.zeros(len(begin), np.int64)
+            own = np.flatnonzero(np.isin(words, self.words[i][0]))
+            for term, count in zip(*self.words[i], strict=True):
+                at = own[words[own] == term]
+                common += np.minimum(np.searchsorted(at, to) - np.searchsorted(at, from_), count)
+            at = word[answered == pair] - starts[d]
+            has_answer = np.searchsorted(at, to - ANSWER_WORDS, "right") > np.searchsorted(at, from_)
+            size = int(self.sizes[i])
+            enough = (common >= in_order_at_least(LEAK_PERCENT, size)) | (has_answer & (common >= in_order_at_least(PARAPHRASE_PERCENT, size)))
+            for p in (first[d] + np.flatnonzero(enough)).tolist():
+                found.setdefault(p, []).append(i)
+        return found
+
+
 def likely_passages(docs: DataFrame, block: Block, idf: np.ndarray, other: float) -> DataFrame:
-    """Passages with enough of the benchmark's words, each with the words around it."""
+    """Passages with enough of the benchmark's words or with items that they may match, each with the words around it."""
     n_terms, around = len(block.terms), block.longest + block.longest // 4
-    shares = energy_shares(block, idf)
+    shares, bounds = energy_shares(block, idf), WordBounds(block, idf)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,14 +279,17 @@ def likely_passages(docs: DataFrame, block: Block, idf: np.ndarray, other: float
             for a, sizes, terms in parsed(batch, block):
                 first, here, before = cut(sizes)
                 passage, term, count = term_counts(terms, here, before, n_terms)
-                chosen = likely(passage, term, shares)
+                near, possible = likely(passage, term, shares), bounds.possible_pairs(sizes, terms, first, around)
+                chosen = np.union1d(near, np.fromiter(possible, np.int64, len(possible)))
                 inside = np.bincount(passage, (count * idf[term]) ** 2, minlength=first[-1])
                 outside = sum(np.bincount(p[(p >= 0) & (terms < 0)], minlength=first[-1]) for p in (here, before)) * other**2
                 ends = np.cumsum(sizes)
                 from_, to = np.searchsorted(passage, chosen), np.searchsorted(passage, chosen, "right")
                 owner = np.searchsorted(first, chosen, "right") - 1
-                rows: dict[str, list] = {name: [] for name in ("doc_id", "text_order", "start", "terms", "counts", "length", "region")}
-                for p, lo, hi, d in zip(chosen.tolist(), from_.tolist(), to.tolist(), owner.tolist(), strict=True):
+                names = ("doc_id", "text_order", "start", "terms", "counts", "length", "region", "likely", "items")
+                rows: dict[str, list] = {name: [] for name in names}
+                retrieved = np.isin(chosen, near)
+                for p, lo, hi, d, is_near in zip(chosen.tolist(), from_.tolist(), to.tolist(), owner.tolist(), retrieved.tolist(), strict=True):
                     start, begin = int(p - first[d]) * HALF, int(ends[d] - sizes[d])
                     region = terms[begin + max(0, start - around) : min(int(ends[d]), begin + start + 2 * HALF + around)]
                     rows["doc_id"].append(keys[a + d])
@@ -201,8 +299,11 @@ def likely_passages(docs: DataFrame, block: Block, idf: np.ndarray, other: float
                     rows["counts"].append(count[lo:hi].astype(np.int32))
                     rows["length"].append(float(np.sqrt(inside[p] + outside[p])))
                     rows["region"].append(region.tobytes())
+                    rows["likely"].append(is_near)
+                    rows["items"].append(possible.get(p, []))
                 if rows["start"]:
-                    kinds = {"terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "length": pa.float64(), "region": pa.binary()}
+                    kinds = {"terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "length": pa.float64(), "region": pa.binary(),
+                             "likely": pa.bool_(), "items": pa.list_(pa.int32())}
                     yield pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.int64())) for n, v in rows.items()})
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_order")).mapInArrow(find, PASSAGE_SCHEMA)
@@ -217,8 +318,9 @@ def projected(batch: pa.RecordBatch, idf: np.ndarray, matrix: np.ndarray) -> tup
     value = batch.column("counts").flatten().to_numpy() * idf[term] / batch.column("length").to_numpy()[row]
     out = np.zeros((batch.num_rows, matrix.shape[1]))
     if len(term):
-        starts = np.cumsum(sizes) - sizes
-        out = np.add.reduceat(matrix[term] * value[:, None], starts)  # every likely passage has a term
+        filled = sizes > 0  # the region of a passage may hold an item of which the passage itself has no word
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        out[filled] = np.add.reduceat(matrix[term] * value[:, None], starts)
     return out, row, term, value
 
 
@@ -292,7 +394,7 @@ def holds(region: np.ndarray, answer: np.ndarray) -> bool:
 
 
 def checked(passages: DataFrame, block: Block, idf: np.ndarray, space: np.ndarray, items: np.ndarray, owner: np.ndarray) -> DataFrame:
-    """Items near a passage in the latent space that its words confirm."""
+    """Items near a passage in the latent space, or possible by its words, that the words' order confirms."""
     latent = items @ space
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     sent = passages.sparkSession.sparkContext.broadcast((idf, space, latent, owner, block.words, block.ids))
@@ -308,6 +410,10 @@ def checked(passages: DataFrame, block: Block, idf: np.ndarray, space: np.ndarra
                 for p, q in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
                     key = int(p), int(owner[q])
                     near[key] = max(near.get(key, 0.0), float(cosine[p, q]))
+                for p, possible in enumerate(batch.column("items").to_pylist()):
+                    for i in possible:
+                        if (p, i) not in near:
+                            near[p, i] = float(cosine[p, owner == i].max())
                 for (p, i), value in near.items():
                     region, item = np.frombuffer(batch.column("region")[p].as_py(), np.int32), words[i]
                     common = lcs(item, region)
@@ -342,12 +448,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         idf, other = inverse_frequencies(docs, block)
         passages = stored(likely_passages(docs, block, idf, other), "likely-passages")
         items, owner = block.passages(idf)
-        space = latent_space(passages, block, idf, items)
+        space = latent_space(passages.filter("likely"), block, idf, items)
         rows = checked(passages, block, idf, space, items, owner)
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         found = spark.createDataFrame([], LEAK_SCHEMA)
-    best = F.max_by(F.struct("start", "lcs_words", "item_words", "cosine", "has_answer"), F.struct("lcs_words", "cosine", -F.col("start")))
+    # what retrieval found goes before what only the words showed
+    order = F.struct(F.col("cosine") >= MIN_COSINE, "lcs_words", "cosine", -F.col("start"))
+    best = F.max_by(F.struct("start", "lcs_words", "item_words", "cosine", "has_answer"), order)
     return found.groupBy("doc_id", "text_order", "item_id").agg(best.alias("best")).select("doc_id", "text_order", "item_id", "best.*")
 
 
