@@ -182,3 +182,19 @@ def test_plan_has_one_exchange_and_no_python(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("- Exchange hashpartitioning") == 1 and "ReusedExchange" in plan
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_parts_go_by_the_size_of_the_texts(spark, monkeypatch):
+    from riskweave.operators import lexer
+    files = spark.createDataFrame([(i, f"class A{i} {{ void m() {{ }} }}" + " " * 1000) for i in range(200)] + [(None, "x"), (500, None)],
+                                  "file_id bigint, src string")
+    assert lexer.parts_for(files) == spark.sparkContext.defaultParallelism == lexer.parts_for(files.limit(0))
+    monkeypatch.setattr(lexer, "TASK_BYTES", 5_000)
+    assert lexer.parts_for(files) > 200 * 1000 // 5_000
+    assert lexer.spread_files(files).rdd.getNumPartitions() == lexer.parts_for(files.where("file_id is not null"))
+
+
+def test_stored_places_change_nothing(spark):
+    files = spark.createDataFrame(list(enumerate(["class A { void m(Statement s, String x) { s.execute(\"select \" + x); } }", "class B { (", None])),
+                                  "file_id bigint, src string")
+    assert sorted(map(str, code_sites(files, apart=True).collect())) == sorted(map(str, code_sites(files).collect()))
