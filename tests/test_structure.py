@@ -198,3 +198,17 @@ def test_stored_places_change_nothing(spark):
     files = spark.createDataFrame(list(enumerate(["class A { void m(Statement s, String x) { s.execute(\"select \" + x); } }", "class B { (", None])),
                                   "file_id bigint, src string")
     assert sorted(map(str, code_sites(files, apart=True).collect())) == sorted(map(str, code_sites(files).collect()))
+
+
+def test_pieces_are_cut_without_counting_through_the_text(spark):
+    head = "\ufeff/* \U0001f600 é " + "x" * 5_000 + " */"
+    body = 'class Ä { /* \U0001f600 */ void m(Statement s, String x) { String p = "\U0001f600k"; s.execute("select é" + x); } }'
+    files = spark.createDataFrame([(1, head + body), (2, "\ufeffint m(int a) { }"), (3, None)], "file_id bigint, src string")
+    sites = code_sites(files).where("kind in ('method', 'call', 'init')")
+    got = {(r.file_id, r.kind): (r.name, r.code, r.class_name, r.value) for r in sites.collect()}
+    assert got == {
+        (1, "method"): ("m", body[8:-2][2:], "Ä", None), (1, "init"): ("p", 'p = "\U0001f600k"', "Ä", "\U0001f600k"),
+        (1, "call"): ("execute", 's.execute("select é" + x)', "Ä", None), (2, "method"): ("m", "\ufeffint m(int a) { }", None, None)}
+    plan = sites._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    encoded = [line for line in plan.splitlines() if "UTF-32" in line and "encode" in line.lower() and "Generate explode" in line]
+    assert len(encoded) == 1 and "substring(src" not in "".join(line for line in plan.splitlines() if "Project" in line and "UTF-32" not in line)
