@@ -23,11 +23,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write the rows to the shared folder and go on from the files.
 
     Unlike a checkpoint this keeps columns apart, so that later plans read only
-    those they need. A lost executor costs reading them once more.
+    those they need. A lost executor costs reading them once more. The schema is
+    known, so no job has to look it up in the files.
     """
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hidden(docs: DataFrame, **terms: Column) -> DataFrame:

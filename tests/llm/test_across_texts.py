@@ -195,3 +195,18 @@ def test_patience_aligns_equal_values_in_order(x, y):
     assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
     if x == y:
         assert len(pairs) == len(x)
+
+
+def test_a_step_that_changes_nothing_ends_the_components_without_a_shuffle(spark, monkeypatch):
+    """Jobs of one call on stars: the edges and one step are written, and the files are asked for an edge that moved."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # one job a query
+    try:
+        edges = spark.createDataFrame([(9, 1), (8, 1), (7, 2)], "a long, b long")
+        spark.sparkContext.setJobGroup("stars", "stars")
+        found = components(edges, "test")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("stars")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r["node"]: r["root"] for r in found.collect()} == {9: 1, 8: 1, 7: 2}
+    assert len(jobs) <= 8, len(jobs)
