@@ -43,6 +43,8 @@ from riskweave.llm.common import free_name, hidden, stored, texts_of
 
 #: Documents that a rare line occurs in at the most.
 RARE = 50
+#: Rows that a task holds as Python objects at a time; they take many times the memory of the Arrow batch.
+SLICE_ROWS = 256
 MIN_BLOCK_WORDS = 10
 
 LINE_SCHEMA = "no_id boolean, doc_id long, text_order long, n_lines int, places array<int>, lines array<long>, words array<int>"
@@ -50,11 +52,18 @@ BLOCK_SCHEMA = "no_id boolean, doc_id long, text_order long, start int, until in
 KEY = ["no_id", "doc_id", "text_order"]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of a few rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """Lines with a word of each document: place, hash and number of words."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, places, hashes, words = [], [], [], []
             for text in texts_of(batch):
                 parts = text.split(b"\n")
@@ -98,7 +107,7 @@ def run_partners(sequences: DataFrame, at_least: int) -> DataFrame:
     """Pairs (doc, first document) that share a shortest run of several lines with enough words."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, hashes = [], []
             for row, lines in enumerate(batch.column("sequence").to_pylist()):
                 for i, until in sorted(shortest_runs(lines, at_least)):
@@ -235,7 +244,7 @@ def aligned(pairs: DataFrame, sequences: DataFrame, at_least: int) -> DataFrame:
     """Common blocks of each pair, as line ranges of the later document."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: dict[str, list] = {name: [] for name in ("no_id", "doc_id", "text_order", "start", "until", "from_id")}
             for doc, earlier, own, other in zip(*(batch.column(c).to_pylist() for c in ("doc", "earlier", "own", "other")), strict=True):
                 for start, until in common_blocks(own, other, at_least):

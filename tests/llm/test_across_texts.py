@@ -187,6 +187,20 @@ def test_deleted_lines_stand_in_earlier_documents(spark):
         texts[r["whole"]] = r["doc_id"]
 
 
+def test_line_dedup_holds_few_rows_at_a_time(spark):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1, 700)]
+    cut = list(line_dedup.slices(iter(batches)))
+    assert [x for b in cut for x in b.column("x").to_pylist()] == [0, *range(700)]
+    assert max(b.num_rows for b in cut) == line_dedup.SLICE_ROWS < 700
+    texts = [(i, "\n".join(f"line {i} {k}" for k in range(i % 7)) if i % 11 else None) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.n_lines, r.places, r.words) for r in line_dedup.line_table(docs).collect()}
+    assert got == {i: (n := len(text.split("\n")) if text else 0, list(range(n)), [3] * n) for i, text in texts}
+
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=15), st.lists(st.integers(0, 9), max_size=15))
 def test_patience_aligns_equal_values_in_order(x, y):
