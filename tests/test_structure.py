@@ -200,6 +200,47 @@ def test_stored_places_change_nothing(spark):
     assert sorted(map(str, code_sites(files, apart=True).collect())) == sorted(map(str, code_sites(files).collect()))
 
 
+def test_texts_meet_stored_places_where_they_lie(spark):
+    from riskweave.operators.structure import all_sites
+    files = spark.createDataFrame([(i, f"class A{i} {{ void m() {{ }} }}") for i in range(50)], "file_id bigint, src string")
+    kept, partitions = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 64)  # more than the files are dealt into
+    try:
+        plan = all_sites(files, apart=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    # one exchange for the texts and one for the places; none moves the encoded texts again
+    assert plan.count("- Exchange hashpartitioning") == 2 and "ENSURE_REQUIREMENTS" not in plan and "SortMergeJoin" in plan
+
+
+def test_blanks_have_no_rows_of_their_own(spark):
+    from itertools import accumulate
+
+    from riskweave.operators import lexer, structure
+    sources = [
+        "  class A {\r\n\tint a = 1 ; // x  \r  /* y\n */ \f String s = \"p \\\" q\" + 'c' ;\n}\n", " \n", "", None, "/**/ /*/ ", "a \u000b b\u00a0 \x00 c '\n' \" \n x",
+        'x = """\n two\n""" \n; f( a , ( b) ) /* open \n ', "\U0001f600 /*\U0001f600*/ \U0001f600 \r\n[é ]",
+    ]
+    files = spark.createDataFrame(list(enumerate(sources)), "file_id bigint, src string")
+    old, new, placed = {}, {}, {}
+    for r in sorted(lexer.cut(files).select("*", lexer.line_breaks(F.col("tok"), F.col("kind")).alias("breaks")).collect()):
+        old.setdefault(r.file_id, []).append(r)
+    for r in sorted(lexer.cut_with_blanks(files).collect()):
+        new.setdefault(r.file_id, []).append(r)
+    for r in structure._level_rows(files).where(f"k not in ({structure.BEGIN}, {structure.END})").collect():
+        placed.setdefault(r.file_id, set()).add((r.place, None if r.k == structure.BAD else r.c1))
+    for i, source in enumerate(sources):
+        assert "".join(r.piece for r in new[i]) == (source or "")
+        assert [(r.kind, r.tok.rstrip(lexer.BLANKS)) for r in old[i] if r.kind != "space"] == [(r.kind, r.tok) for r in new[i] if r.kind != "space"]
+        assert all(n == 0 for n, r in enumerate(new[i]) if r.kind == "space")
+        ends, lines = list(accumulate(len(r.tok) for r in old[i])), list(accumulate(r.breaks for r in old[i]))
+        wanted = {(((end - len(r.tok) + 1) << 31) + 1 + line - r.breaks, None if r.kind == "bad" else end)
+                  for r, end, line in zip(old[i], ends, lines, strict=True) if r.kind not in ("space", "comment")}
+        assert placed[i] == wanted
+
+
 def test_pieces_are_cut_without_counting_through_the_text(spark):
     head = "\ufeff/* \U0001f600 é " + "x" * 5_000 + " */"
     body = 'class Ä { /* \U0001f600 */ void m(Statement s, String x) { String p = "\U0001f600k"; s.execute("select é" + x); } }'
